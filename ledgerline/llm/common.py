@@ -161,9 +161,9 @@ def token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
 
 
 def summed_tables(df: DataFrame, partial, size: int, slices: int = 32, fan: int = 16) -> np.ndarray:
-    """Sum one float64 table of ``size`` cells over all partitions of ``df``.
+    """Sum one table of ``size`` cells over all partitions of ``df``.
 
-    ``partial(batches)`` returns a partition's table.  Tables travel in compressed
+    ``partial(batches)`` returns a partition's table (float32 or float64).  Tables travel in compressed
     slices, are merged in two rounds (``fan`` merges a slice, then one) and reach the
     driver once: ``size`` cells, whatever the input.
     """
@@ -179,8 +179,8 @@ def summed_tables(df: DataFrame, partial, size: int, slices: int = 32, fan: int
     def first(batches):
         from pyspark import TaskContext
 
-        cells = np.asarray(partial(batches), np.float64)
-        own = ((k, cells[k * width : (k + 1) * width]) for k in range(slices))
+        cells = partial(batches)
+        own = ((k, cells[k * width : (k + 1) * width].astype(np.float64)) for k in range(slices))
         yield from pack(((k, c) for k, c in own if c.any()), TaskContext.get().partitionId() % fan)
 
     def merge(batches):
@@ -198,3 +198,13 @@ def summed_tables(df: DataFrame, partial, size: int, slices: int = 32, fan: int
         c = np.frombuffer(zlib.decompress(bytes(r["cells"])), np.float64)
         out[r["slice"] * width : r["slice"] * width + len(c)] += c
     return out[:size]
+
+
+def joined_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Inner join of texts with label rows; labels (a few numbers a row) are broadcast up to a counted size, shuffled beyond."""
+    return docs.join(F.broadcast(labels) if labels.count() <= broadcast_rows else labels, key)
+
+
+def label_sample(labels: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
+    """At most ``limit`` label rows, those with the smallest hash of their id: the same rows whatever the partitions."""
+    return labels.orderBy(F.xxhash64(key), *labels.columns).limit(limit)
