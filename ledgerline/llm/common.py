@@ -160,7 +160,7 @@ def token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     return span_hash(prefix_hash(byte_values(seed)[data]), starts, ends)
 
 
-def summed_tables(df: DataFrame, partial, size: int, slices: int = 32, fan: int = 16) -> np.ndarray:
+def summed_tables(df: DataFrame, partial, size: int, slices: int = 32, fan: int = 16, dtype=np.float64) -> np.ndarray:
     """Sum one table of ``size`` cells over all partitions of ``df``.
 
     ``partial(batches)`` returns a partition's table (float32 or float64).  Tables travel in compressed
@@ -193,7 +193,7 @@ def summed_tables(df: DataFrame, partial, size: int, slices: int = 32, fan: int
 
     rows = df.mapInArrow(first, schema).repartition(slices * 2, "slice", "salt").mapInArrow(merge, schema)
     rows = rows.repartition(slices, "slice").mapInArrow(merge, schema).collect()
-    out = np.zeros(width * slices)
+    out = np.zeros(width * slices, dtype)
     for r in rows:
         c = np.frombuffer(zlib.decompress(bytes(r["cells"])), np.float64)
         out[r["slice"] * width : r["slice"] * width + len(c)] += c
