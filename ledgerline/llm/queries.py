@@ -1,9 +1,10 @@
 """Queries of the subpackage and their SQL, for the entry module."""
 
-from . import op2_quality, op5_toxicity, op9_langid
+from . import op2_quality, op4_pii, op5_toxicity, op9_langid
 
 QUERIES = {
     "op2_quality": op2_quality.op2_quality,
+    "op4_pii": op4_pii.op4_pii,
     "op5_toxicity": op5_toxicity.op5_toxicity,
     "op9_language_id": op9_langid.op9_language_id,
 }
