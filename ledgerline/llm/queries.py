@@ -1,6 +1,6 @@
 """Queries of the subpackage and their SQL, for the entry module."""
 
-from . import op2_quality, op4_pii, op5_toxicity, op7_minhash, op8_topk, op9_langid
+from . import op10_decontam, op2_quality, op4_pii, op5_toxicity, op7_minhash, op8_topk, op9_langid
 
 QUERIES = {
     "op2_quality": op2_quality.op2_quality,
@@ -9,5 +9,9 @@ QUERIES = {
     "op7_minhash": op7_minhash.op7_minhash,
     "op8_topk": op8_topk.op8_topk,
     "op9_language_id": op9_langid.op9_language_id,
+    "op10_decontaminate": op10_decontam.op10_decontaminate,
+}
+ORACLES: dict[str, str] = {
+    "op8_topk": op8_topk.ORACLE,
+    "op10_decontaminate": op10_decontam.ORACLE,
 }
-ORACLES: dict[str, str] = {"op8_topk": op8_topk.ORACLE}
