@@ -7,12 +7,14 @@ count estimates high similarities closely, and pairs far below the threshold are
 dropped by it before the full sets are compared.
 
 Buckets are never expanded into all pairs.  Up to SMALL members are compared pair
-by pair.  A larger bucket is compared with one pivot; two members that are both
-linked to the pivot need no more.  If one is not, a link between them needs a
-shingle on which both differ from the pivot: with D the difference set from the
-pivot, |x ^ y| = |D(x) ^ D(y)|, and J >= t leaves no room for disjoint D(x) and
-D(y) once J(x, pivot) < t.  So those members go to buckets by (pivot, differing
-shingle), and the same step repeats until no large bucket is left.
+by pair.  A larger bucket is compared with one pivot p.  Two members in one
+component need no more; nor do two that are both linked to p.  For the others let
+D(x) be the difference set x ^ p.  Then |x ^ y| = |D(x) ^ D(y)|, and J(x, y) >= t
+with J(x, p) < t means that D(x) and D(y) share more than t / (1 + t) of either,
+and all but |x| (1 - t) / t of D(x).  So in an order that all share (shingles that p
+lacks first, as they are rare) the fronts of D(x) and D(y) meet: those members are
+dealt again by (pivot, shingle of the front), where only members outside a
+bucket's main component are compared with the rest.  Nothing is capped.
 
 With 32 bands of 4 rows a pair at similarity 0.8 meets in some band but for a
 chance of 5e-8, and the sketch passes it but for 1e-8.
@@ -140,48 +142,58 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _bucket_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From members (key, rep, out): pairs (a, b) of small buckets, and (pivot, rep) of large ones.
-
-    Where ``out`` is false for both ends of a pair of a later round, they are linked already.
-    """
-    size = members.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.max("out").alias("any")).where("size > 1 and any")
+def _bucket_pairs(members: DataFrame) -> DataFrame:
+    """(a, b, star) from members (key, rep): all pairs of small buckets, pairs with the smallest member of large ones."""
+    size = members.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
     known = members.join(size, "key")
-    small = known.where(f"size <= {SMALL}").select("key", "rep", "out")
-    pairs = small.alias("x").join(small.alias("y"), "key").where("x.rep < y.rep and (x.out or y.out)").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    stars = known.where(f"size > {SMALL} and rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    return pairs.distinct(), stars.distinct()
+    small = known.where(f"size <= {SMALL}").select("key", "rep")
+    pairs = small.alias("x").join(small.alias("y"), "key").where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.lit(False).alias("star"))
+    stars = known.where(f"size > {SMALL} and rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("star"))
+    return pairs.unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
+
+
+def _compared(docs: DataFrame, pairs: DataFrame, sketch: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b, star) that the sketches don't rule out, with ``linked`` and, for stars, the difference set's size and front."""
+    lanes = range(BITS // 64)
+    pairs = pairs.join(sketch.select(F.col("rep").alias("a"), F.col("n").alias("na"), *(F.col(f"s{i}").alias(f"a{i}") for i in lanes)), "a")
+    pairs = pairs.join(sketch.select(F.col("rep").alias("b"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"b{i}") for i in lanes)), "b")
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in lanes), F.lit(0))
+    close = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (apart <= FAR)
+    todo = common.checkpointed(pairs.where(close | F.col("star")).select("a", "b", "star"))
+    sets = common.checkpointed(_sets(docs, todo.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width))
+    full = todo.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    full = full.withColumn("linked", F.lit(100) * both >= F.lit(percent) * (F.size("x") + F.size("y") - both))
+    full = full.withColumn("d", F.size("x") + F.size("y") - F.lit(2) * both)
+    front = F.col("d") - F.ceil(F.col("d") * percent / (100 + percent)) + 1
+    front = F.least(F.col("d"), front, F.when(~F.col("linked"), F.floor(F.size("y") * (100 - percent) / percent) + 1)).cast("int")
+    order = F.concat(F.array_sort(F.array_except("y", "x")), F.array_sort(F.array_except("x", "y")))
+    return common.checkpointed(full.select("a", "b", "star", "linked", "d", F.size("y").alias("n"), F.when(F.col("star"), F.slice(order, 1, front)).alias("front")))
 
 
 def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """All pairs needed to connect representatives (rep, n, bands, s0..) whose similarity reaches percent / 100."""
-    lanes = BITS // 64
-    sketch = reps.select("rep", "n", *(f"s{i}" for i in range(lanes)))
-    members = reps.select("rep", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "rep", F.lit(True).alias("out"))
-    found = None
-    while True:
-        pairs, stars = _bucket_pairs(members)
-        pairs = pairs.join(sketch.select(F.col("rep").alias("a"), F.col("n").alias("na"), *(F.col(f"s{i}").alias(f"a{i}") for i in range(lanes))), "a")
-        pairs = pairs.join(sketch.select(F.col("rep").alias("b"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"b{i}") for i in range(lanes))), "b")
-        apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, lanes)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-        close = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (apart <= FAR)
-        todo = pairs.where(close).select("a", "b", F.lit(False).alias("star")).unionByName(stars.select("a", "b", F.lit(True).alias("star")))
-        todo = common.checkpointed(todo.groupBy("a", "b").agg(F.max("star").alias("star")))
-        ids = common.checkpointed(todo.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        sets = common.checkpointed(_sets(docs, ids, width))
-        full = todo.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        full = full.withColumn("linked", F.lit(100) * both >= F.lit(percent) * (F.size("x") + F.size("y") - both))
-        differ = F.when(F.col("star"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")))
-        full = common.checkpointed(full.select("a", "b", "star", "linked", differ.alias("differ")))
-        new = full.where("linked").select("a", "b")
-        found = new if found is None else found.unionByName(new)
-        left = full.where("star").groupBy("a").agg(F.max(~F.col("linked")).alias("out")).where("out").select("a")
-        left = full.where("star").join(left, "a", "left_semi")
-        if left.isEmpty():
-            return found
-        members = left.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (~F.col("linked")).alias("out"), F.explode("differ").alias("e"))
-        members = common.checkpointed(members.select(F.xxhash64("pivot", "e").alias("key"), "rep", "out").distinct())
+    """Edges (a, b) between representatives (rep, n, bands, s0..) that give the components of all pairs at percent / 100."""
+    sketch = reps.select("rep", "n", *(f"s{i}" for i in range(BITS // 64)))
+    members = reps.select("rep", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "rep")
+    first = _compared(docs, _bucket_pairs(members), sketch, width, percent)
+    found = first.where("linked").select("a", "b")
+    stars = first.where("star")
+    if stars.isEmpty():
+        return found
+    label = components(found)
+    # members of each pivot with their components; the pivot itself differs in nothing and is done
+    stars = stars.join(label.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    mixed = stars.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all")).where("low <> high and not all").select("a")
+    dealt = stars.join(mixed, "a", "left_semi").select(F.col("b").alias("rep"), "component", "linked", "d", "n", "a", F.explode("front").alias("e"))
+    dealt = common.checkpointed(dealt.select(F.xxhash64("a", "e").alias("key"), "rep", "component", "linked", "d", "n"))
+    size = dealt.groupBy("key").agg(F.mode("component").alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all"))
+    known = dealt.join(size.where("low <> high and not all").select("key", "main"), "key")
+    x, y = known.where("component <> main").alias("x"), known.alias("y")
+    c = (100 - percent, 100 + percent)
+    near = f"x.component <> y.component and not (x.linked and y.linked) and abs(x.d - y.d) * {c[1]} <= (x.n + y.n) * {c[0]}"
+    pairs = x.join(y, "key").where(near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.lit(False).alias("star")).distinct()
+    second = _compared(docs, pairs, sketch, width, percent)
+    return found.unionByName(second.where("linked").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
