@@ -1,11 +1,12 @@
 """Queries of the subpackage and their SQL, for the entry module."""
 
-from . import op10_decontam, op2_quality, op4_pii, op5_toxicity, op7_minhash, op8_topk, op9_langid
+from . import op10_decontam, op2_quality, op4_pii, op5_toxicity, op6_packing, op7_minhash, op8_topk, op9_langid
 
 QUERIES = {
     "op2_quality": op2_quality.op2_quality,
     "op4_pii": op4_pii.op4_pii,
     "op5_toxicity": op5_toxicity.op5_toxicity,
+    "op6_packing": op6_packing.op6_packing,
     "op7_minhash": op7_minhash.op7_minhash,
     "op8_topk": op8_topk.op8_topk,
     "op9_language_id": op9_langid.op9_language_id,
