@@ -1,9 +1,11 @@
 """Queries of the subpackage and their SQL, for the entry module."""
 
-from . import op10_decontam, op2_quality, op4_pii, op5_toxicity, op6_packing, op7_minhash, op8_topk, op9_langid
+from . import op1_suffix, op10_decontam, op2_quality, op3_recompression, op4_pii, op5_toxicity, op6_packing, op7_minhash, op8_topk, op9_langid
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix.op1_suffix_dedup,
     "op2_quality": op2_quality.op2_quality,
+    "op3_recompression": op3_recompression.op3_recompression,
     "op4_pii": op4_pii.op4_pii,
     "op5_toxicity": op5_toxicity.op5_toxicity,
     "op6_packing": op6_packing.op6_packing,
@@ -13,6 +15,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontam.op10_decontaminate,
 }
 ORACLES: dict[str, str] = {
+    "op3_recompression": op3_recompression.ORACLE,
     "op8_topk": op8_topk.ORACLE,
     "op10_decontaminate": op10_decontam.ORACLE,
 }
