@@ -208,3 +208,9 @@ def joined_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", broad
 def label_sample(labels: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
     """At most ``limit`` label rows, those with the smallest hash of their id: the same rows whatever the partitions."""
     return labels.orderBy(F.xxhash64(key), *labels.columns).limit(limit)
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id", broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Rows of docs whose id is not in ids (one column of that name); a null id equals a null id."""
+    gone = ids.select(F.col(key).alias("_gone"))
+    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, docs[key].eqNullSafe(gone["_gone"]), "left_anti")

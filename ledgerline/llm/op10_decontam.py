@@ -73,8 +73,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that overlap no item, with all their columns."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
+    found = common.checkpointed(overlaps(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct())
+    return common.without(docs, found)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
