@@ -7,14 +7,16 @@ count estimates high similarities closely, and pairs far below the threshold are
 dropped by it before the full sets are compared.
 
 Buckets are never expanded into all pairs.  Up to SMALL members are compared pair
-by pair.  A larger bucket is compared with one pivot p.  Two members in one
-component need no more; nor do two that are both linked to p.  For the others let
-D(x) be the difference set x ^ p.  Then |x ^ y| = |D(x) ^ D(y)|, and J(x, y) >= t
-with J(x, p) < t means that D(x) and D(y) share more than t / (1 + t) of either,
-and all but |x| (1 - t) / t of D(x).  So in an order that all share (shingles that p
-lacks first, as they are rare) the fronts of D(x) and D(y) meet: those members are
-dealt again by (pivot, shingle of the front), where only members outside a
-bucket's main component are compared with the rest.  Nothing is capped.
+by pair; a larger bucket is compared with one pivot.  Large buckets that share
+members form a group, whose centre c is the pivot with most links.  Two members of
+one component need no more, nor do two that are both linked to c.  For the others
+let D(x) be the difference set x ^ c.  Then |x ^ y| = |D(x) ^ D(y)|, and J(x, y) >= t
+with J(x, c) < t means that D(x) and D(y) share more than t / (1 + t) of either,
+and all but |x| (1 - t) / t of D(x).  Shingles that occur in the differences of one
+component only cannot be shared with another; a member with too few others has no
+link left to find.  The rest are dealt by the first of their shared shingles,
+rarest first, as many as a link cannot avoid, and only members outside a shingle's
+main component meet the others there.  Nothing is capped.
 
 With 32 bands of 4 rows a pair at similarity 0.8 meets in some band but for a
 chance of 5e-8, and the sketch passes it but for 1e-8.
@@ -28,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -152,23 +154,54 @@ def _bucket_pairs(members: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
+def _with_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """pairs (a, b, ...) with the shingle sets x of a and y of b and the size of their intersection."""
+    sets = common.checkpointed(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width))
+    full = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+    return full.withColumn("both", F.size(F.array_intersect("x", "y")))
+
+
+def _linked(percent: int):
+    return F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("both"))
+
+
 def _compared(docs: DataFrame, pairs: DataFrame, sketch: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b, star) that the sketches don't rule out, with ``linked`` and, for stars, the difference set's size and front."""
+    """Pairs (a, b, star) that sizes and sketches don't rule out, or stars, with ``linked`` from the full sets."""
     lanes = range(BITS // 64)
     pairs = pairs.join(sketch.select(F.col("rep").alias("a"), F.col("n").alias("na"), *(F.col(f"s{i}").alias(f"a{i}") for i in lanes)), "a")
     pairs = pairs.join(sketch.select(F.col("rep").alias("b"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"b{i}") for i in lanes)), "b")
     apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in lanes), F.lit(0))
     close = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (apart <= FAR)
-    todo = common.checkpointed(pairs.where(close | F.col("star")).select("a", "b", "star"))
-    sets = common.checkpointed(_sets(docs, todo.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width))
-    full = todo.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    full = full.withColumn("linked", F.lit(100) * both >= F.lit(percent) * (F.size("x") + F.size("y") - both))
-    full = full.withColumn("d", F.size("x") + F.size("y") - F.lit(2) * both)
-    front = F.col("d") - F.ceil(F.col("d") * percent / (100 + percent)) + 1
-    front = F.least(F.col("d"), front, F.when(~F.col("linked"), F.floor(F.size("y") * (100 - percent) / percent) + 1)).cast("int")
-    order = F.concat(F.array_sort(F.array_except("y", "x")), F.array_sort(F.array_except("x", "y")))
-    return common.checkpointed(full.select("a", "b", "star", "linked", "d", F.size("y").alias("n"), F.when(F.col("star"), F.slice(order, 1, front)).alias("front")))
+    todo = common.checkpointed(pairs.select("a", "b", "star", close.alias("close")).where("close or star"))
+    done = _with_sets(docs, todo.where("close").select("a", "b", "star"), width).select("a", "b", "star", _linked(percent).alias("linked"))
+    return common.checkpointed(done.unionByName(todo.where("not close").select("a", "b", "star", F.lit(False).alias("linked"))))
+
+
+def _rest(docs: DataFrame, stars: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b, star) of members of large buckets that may be linked and are in no common component yet."""
+    label = components(found).select(F.col("node").alias("b"), "component")
+    group = components(stars.select("a", "b"))
+    centre = stars.groupBy("a").agg(F.count_if("linked").alias("links")).join(group, F.col("a") == F.col("node"))
+    centre = centre.groupBy(F.col("component").alias("group")).agg(F.max_by("a", F.struct("links", -F.col("a"))).alias("a"))
+    member = group.select(F.col("component").alias("group"), F.col("node").alias("b")).join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    mixed = member.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group")
+    pairs = common.checkpointed(member.join(mixed, "group").join(centre, "group").where("a <> b").select("a", "b", "component"))
+    full = _with_sets(docs, pairs, width)
+    full = full.select("a", F.col("b").alias("rep"), "component", _linked(percent).alias("linked"), F.size("y").alias("n"), F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("differ"))
+    dealt = full.withColumn("d", F.size("differ")).select("a", "rep", "component", "linked", "n", "d", F.explode("differ").alias("e"))
+    dealt = common.checkpointed(dealt.select(F.xxhash64("a", "e").alias("key"), "a", "rep", "component", "linked", "n", "d"))
+    shared = dealt.groupBy("key").agg(F.count("*").alias("size"), F.mode("component").alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all"))
+    dealt = dealt.join(shared.where("low <> high and not all").select("key", "size", "main"), "key")
+    own = Window.partitionBy("a", "rep")
+    dealt = dealt.withColumn("s", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("size", "key")))
+    # what a link takes: more than t / (1 + t) of the differences, and for those not linked to the centre all but n (1 - t) / t
+    need = F.floor(F.col("d") * percent / (100 + percent)) + 1
+    need = F.greatest(need, F.when(~F.col("linked"), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent)))
+    dealt = common.checkpointed(dealt.where(F.col("at") <= F.col("s") - need + 1).drop("at"))
+    x, y = dealt.where("component <> main").alias("x"), dealt.alias("y")
+    apart = f"(x.d + y.d) * {100 + percent} - (x.n + y.n) * {100 - percent} <= 2 * {100 + percent} * least(x.s, y.s)"
+    near = f"x.component <> y.component and not (x.linked and y.linked) and abs(x.d - y.d) * {100 + percent} <= (x.n + y.n) * {100 - percent} and {apart}"
+    return x.join(y, "key").where(near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.lit(False).alias("star")).distinct()
 
 
 def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
@@ -176,23 +209,10 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
     sketch = reps.select("rep", "n", *(f"s{i}" for i in range(BITS // 64)))
     members = reps.select("rep", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "rep")
     first = _compared(docs, _bucket_pairs(members), sketch, width, percent)
-    found = first.where("linked").select("a", "b")
-    stars = first.where("star")
+    found, stars = first.where("linked").select("a", "b"), first.where("star")
     if stars.isEmpty():
         return found
-    label = components(found)
-    # members of each pivot with their components; the pivot itself differs in nothing and is done
-    stars = stars.join(label.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-    mixed = stars.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all")).where("low <> high and not all").select("a")
-    dealt = stars.join(mixed, "a", "left_semi").select(F.col("b").alias("rep"), "component", "linked", "d", "n", "a", F.explode("front").alias("e"))
-    dealt = common.checkpointed(dealt.select(F.xxhash64("a", "e").alias("key"), "rep", "component", "linked", "d", "n"))
-    size = dealt.groupBy("key").agg(F.mode("component").alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all"))
-    known = dealt.join(size.where("low <> high and not all").select("key", "main"), "key")
-    x, y = known.where("component <> main").alias("x"), known.alias("y")
-    c = (100 - percent, 100 + percent)
-    near = f"x.component <> y.component and not (x.linked and y.linked) and abs(x.d - y.d) * {c[1]} <= (x.n + y.n) * {c[0]}"
-    pairs = x.join(y, "key").where(near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.lit(False).alias("star")).distinct()
-    second = _compared(docs, pairs, sketch, width, percent)
+    second = _compared(docs, _rest(docs, stars, found, width, percent), sketch, width, percent)
     return found.unionByName(second.where("linked").select("a", "b"))
 
 
