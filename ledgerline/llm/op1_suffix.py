@@ -4,8 +4,8 @@ Prefix doubling ranks positions by ever longer prefixes and goes on only with
 positions whose rank is not unique.  Here the positions are a content-defined
 sample (the least of the KMER-byte ranks in every window), which equal strings
 share, and a rank is a fingerprint, so a round needs one sort of (rank, rank at
-the next offset) pairs: KMER bytes, then the whole stretch that a position answers
-for, then single windows of the full length for those still open.  Texts
+the next offset) pairs: KMER bytes, then all that a position answers for, then
+stretches of GROUP windows, then single windows for those still open.  Texts
 themselves are shuffled once, when the cuts are made.
 
 Defined cases: null and empty texts have no bytes and give 0, 0, 0 and the digest
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 from .windows import NO_ID, Block, Scheme, covered, fold_min, repeated
 
-LENGTH, KMER = 400, 160
+#: Bytes of a string, of the first rank, and windows of a stretch.
+LENGTH, KMER, GROUP = 400, 160, 16
 CHUNK = 1 << 20
 
 
@@ -56,8 +57,8 @@ def _anchors(length: int, kmer: int):
     return anchors
 
 
-def scheme(length: int = LENGTH, kmer: int = KMER) -> Scheme:
-    return Scheme(length, _blocks(length), _anchors(length, kmer))
+def scheme(length: int = LENGTH, kmer: int = KMER, group: int = GROUP) -> Scheme:
+    return Scheme(length, _blocks(length), _anchors(length, kmer), group)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, text_out: bool = True) -> DataFrame:
@@ -75,7 +76,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, text_out: boo
             for block in way.blocks(b.column(1)):
                 part, shift = block.extra
                 at = int(offsets[block.first]) + shift
-                cut[at : at + len(part)] |= covered(block, way, b.column(2), b.column(3))
+                cut[at : at + len(part)] |= covered(block, way, b.column(2), b.column(3), b.column(4))
             out = {k: [] for k in names[1:]}
             for r in range(n):
                 gone, text = cut[offsets[r] : offsets[r + 1]], data[offsets[r] : offsets[r + 1]]
@@ -90,7 +91,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, text_out: boo
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[k], t) for k, t in zip(names[1:], kinds, strict=True))], names=names)
 
     schema = docs.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
-    return found.select("doc_id", "text", "segs", "wins").mapInArrow(run, schema.add("kept", "binary") if text_out else schema)
+    return found.select("doc_id", "text", "segs", "hulls", "windows").mapInArrow(run, schema.add("kept", "binary") if text_out else schema)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

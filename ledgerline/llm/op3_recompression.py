@@ -101,7 +101,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, text_out: bool = True) -> DataF
             total, removed, digest, texts = (np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [], [])
             for block in way.blocks(b.column(1)):
                 part, s, e, _, _ = block.extra
-                cut = covered(block, way, b.column(2), b.column(3))
+                cut = covered(block, way, b.column(2), b.column(3), b.column(4))
                 for r in range(len(block.offsets) - 1):
                     lo, hi = block.offsets[r], block.offsets[r + 1]
                     left = lo + np.flatnonzero(~cut[lo:hi])
@@ -119,7 +119,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, text_out: bool = True) -> DataF
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(texts, pa.binary()).cast(pa.string())] if text_out else []), names=names)
 
     schema = docs.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
-    return found.select("doc_id", "text", "segs", "wins").mapInArrow(run, schema.add("kept", "string") if text_out else schema)
+    return found.select("doc_id", "text", "segs", "hulls", "windows").mapInArrow(run, schema.add("kept", "string") if text_out else schema)
 
 
 def op3_recompression(spark, sf_dir: str) -> DataFrame:

@@ -8,9 +8,11 @@ run, and ``seg`` of all the text that the run covers.  Only (key, seg, document)
 is shuffled, a small share of the text:
 
 1. runs with equal (key, seg) are equal throughout and are settled as one class;
-2. where classes share a key without being equal, one document of each class gives
-   the fingerprints of its single windows, and these are compared;
-3. each document gets back the fingerprints that are repeated in it, and cuts.
+2. where classes share a key without being equal, one document of each class shows
+   stretches of ``group`` windows: one whose common text (the core) is unique is
+   dropped, one whose whole text (the hull) is repeated is settled;
+3. the single windows of the stretches still open are compared;
+4. each document gets back the fingerprints that are repeated in it, and cuts.
 
 Ranks are fingerprints of 64 bits each; a class is told by two of them.
 """
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -52,6 +54,8 @@ class Scheme:
     length: int
     blocks: Callable
     anchors: Callable
+    #: Windows of a stretch; 1: single windows at once.
+    group: int = 1
 
 
 def fold_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -67,11 +71,11 @@ def fold_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(block: Block, scheme: Scheme):
-    """(row, first window, windows, key, seg) of each run of a block."""
+    """(row, first window, windows, anchor, key, seg) of each run of a block."""
     n = len(block.h1) - 1 - scheme.length + 1
     empty = np.zeros(0, np.int64)
     if n <= 0:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     row = np.searchsorted(block.offsets, np.arange(n), "right") - 1
     inside = np.arange(n) + scheme.length <= block.offsets[row + 1]
     at, key = scheme.anchors(block, n)
@@ -83,87 +87,166 @@ def runs(block: Block, scheme: Scheme):
     seg = common.span_hash(block.h2, edge, edge + size - 1 + scheme.length)
     with np.errstate(over="ignore"):
         seg = common.mix(seg + (at[edge] - edge).astype(np.uint64) * common.BASE + size.astype(np.uint64))
-    return row[edge], edge, size, key(at[edge]), seg
+    return row[edge], edge, size, at[edge], key(at[edge]), seg
+
+
+def stretches(block: Block, scheme: Scheme, first: np.ndarray, size: np.ndarray, at: np.ndarray):
+    """(run, number, first window, last window, core, hull, whole) of each stretch of the given runs.
+
+    Stretch k holds the windows that begin k * group to k * group + group - 1 units
+    before the anchor; whole: the run has them all, else the hull means nothing.
+    """
+    g, length = scheme.group, scheme.length
+    last = first + size - 1
+    low, high = (at - last) // g, (at - first) // g
+    n = high - low + 1
+    run = np.repeat(np.arange(len(first)), n)
+    k = low[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    end = at[run] - k * g
+    begin = end - g + 1
+    whole = (begin >= first[run]) & (end <= last[run])
+    with np.errstate(over="ignore"):
+        salt = common.mix(k.astype(np.uint64) + np.uint64(1))
+        core = common.mix(common.span_hash(block.h2, end, begin + length) + salt)
+        hull = common.mix(common.span_hash(block.h2, np.where(whole, begin, 0), np.where(whole, end + length, 0)) ^ salt)
+    return run, k, np.maximum(begin, first[run]), np.minimum(end, last[run]), core, hull, whole
 
 
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _parsed(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(key, seg, doc, n): distinct runs of each document and how often it has them."""
+def _parsed(docs: DataFrame, scheme: Scheme, keys: bool) -> DataFrame:
+    """(key, seg, doc, last, n): runs with the least and greatest document and the count, combined within a batch.
+
+    Without keys: (seg, doc), the distinct runs of each document.
+    """
 
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids, found = b.column(0).to_numpy(), []
             for block in scheme.blocks(b.column(1)):
-                row, _, _, key, seg = runs(block, scheme)
-                if not len(row):
-                    continue
-                order = np.lexsort((key, seg, row))
-                row, key, seg = row[order], key[order], seg[order]
-                new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (seg[1:] != seg[:-1]) | (key[1:] != key[:-1]))))
-                count = np.diff(np.append(new, len(row)))
-                yield pa.RecordBatch.from_arrays([_long(key[new]), _long(seg[new]), pa.array(ids[block.first + row[new]]), pa.array(count.astype(np.int32))], names=["key", "seg", "doc", "n"])
-
-    return docs.select("doc", "text").mapInArrow(run, "key long, seg long, doc long, n int")
-
-
-def _windows(docs: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
-    """(window, seg, doc) of every window of the runs in wanted (doc, seg)."""
+                row, _, _, _, key, seg = runs(block, scheme)
+                if len(row):
+                    found.append((key, seg, ids[block.first + row]))
+            if not found:
+                continue
+            key, seg, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((doc, key, seg) if keys else (seg, doc))
+            key, seg, doc = key[order], seg[order], doc[order]
+            same = (seg[1:] == seg[:-1]) & ((key[1:] == key[:-1]) if keys else (doc[1:] == doc[:-1]))
+            new = np.flatnonzero(np.concatenate(([True], ~same)))
+            if not keys:
+                yield pa.RecordBatch.from_arrays([_long(seg[new]), pa.array(doc[new])], names=["seg", "doc"])
+                continue
+            end = np.append(new[1:], len(seg))
+            yield pa.RecordBatch.from_arrays([_long(key[new]), _long(seg[new]), pa.array(doc[new]), pa.array(doc[end - 1]), pa.array((end - new).astype(np.int64))], names=["key", "seg", "doc", "last", "n"])
+
+    return docs.select("doc", "text").mapInArrow(run, "key long, seg long, doc long, last long, n long" if keys else "seg long, doc long")
+
+
+def _shown(docs: DataFrame, wanted: DataFrame, scheme: Scheme, single: bool, by_doc: bool) -> DataFrame:
+    """Of the runs in wanted (doc, seg): (core, hull, own, k) of their stretches, hull null if incomplete; or (window, own) of single windows.
+
+    own is the document or the run; with a column k in wanted, only those stretches show their windows.
+    """
     ids = wanted.select("doc").distinct()
-    texts = docs.join(F.broadcast(ids) if ids.count() <= FETCH_IDS else ids, "doc", "left_semi")
-    asked = texts.join(wanted.groupBy("doc").agg(F.collect_set("seg").alias("segs")), "doc")
+    texts = docs.select("doc", "text").join(F.broadcast(ids) if ids.count() <= FETCH_IDS else ids, "doc", "left_semi")
+    some = "k" in wanted.columns
+    lists = wanted.groupBy("doc").agg(F.collect_set(F.struct("seg", F.col("k") if some else F.lit(0).alias("k"))).alias("w"))
+    asked = texts.join(lists, "doc").select("doc", "text", F.col("w.seg").alias("segs"), F.col("w.k").alias("ks"))
 
     def run(batches):
         for b in batches:
-            ids, segs = b.column(0).to_numpy(), b.column(2)
+            ids, segs, ks = b.column(0).to_numpy(), b.column(2), b.column(3)
             for block in scheme.blocks(b.column(1)):
-                row, first, size, _, seg = runs(block, scheme)
+                row, first, size, at, _, seg = runs(block, scheme)
                 seg = seg.view(np.int64)
-                for r in np.unique(row):
-                    mine = np.flatnonzero(row == r) if len(row) < 1000 else np.arange(np.searchsorted(row, r), np.searchsorted(row, r, "right"))
-                    mine = mine[np.isin(seg[mine], segs[block.first + int(r)].values.to_numpy())]
-                    if not len(mine):
+                bounds = np.searchsorted(row, np.arange(len(block.offsets)))
+                picked = []
+                for r in range(len(block.offsets) - 1):
+                    lo, hi = bounds[r], bounds[r + 1]
+                    hit = lo + np.flatnonzero(np.isin(seg[lo:hi], segs[block.first + r].values.to_numpy())) if hi > lo else np.zeros(0, np.int64)
+                    picked.append(hit[np.unique(seg[hit], return_index=True)[1]])
+                mine = np.concatenate(picked)
+                if not len(mine):
+                    continue
+                doc = ids[block.first + row[mine]]
+                own = doc if by_doc else seg[mine]
+                if single and not some:
+                    n = size[mine]
+                    of = np.repeat(np.arange(len(mine)), n)
+                    begin = first[mine][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                else:
+                    of, k, low, high, core, hull, whole = stretches(block, scheme, first[mine], size[mine], at[mine])
+                    if not single:
+                        yield pa.RecordBatch.from_arrays([_long(core), pa.array(hull.view(np.int64), mask=~whole), pa.array(own[of]), pa.array(doc[of]), pa.array(seg[mine][of]), pa.array(k.astype(np.int32))], names=["core", "hull", "own", "doc", "seg", "k"])
                         continue
-                    _, one = np.unique(seg[mine], return_index=True)
-                    mine = mine[one]
-                    own = np.repeat(mine, size[mine])
-                    at = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
-                    yield pa.RecordBatch.from_arrays([_long(common.span_hash(block.h2, at, at + scheme.length)), pa.array(seg[own]), pa.array(np.full(len(own), ids[block.first + r]))], names=["window", "seg", "doc"])
+                    # the stretches asked for, told by run and number
+                    asked = [np.column_stack((segs[i].values.to_numpy(), ks[i].values.to_numpy().astype(np.int64))) for i in block.first + np.unique(row[mine])]
+                    pair = np.rec.fromarrays(np.concatenate(asked).T)
+                    keep = np.isin(np.rec.fromarrays((seg[mine][of], k.astype(np.int64))), pair)
+                    of, low, high = of[keep], low[keep], high[keep]
+                    n = high - low + 1
+                    begin = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    of = np.repeat(of, n)
+                yield pa.RecordBatch.from_arrays([_long(common.span_hash(block.h2, begin, begin + scheme.length)), pa.array(own[of])], names=["window", "own"])
+
+    return asked.mapInArrow(run, "window long, own long" if single else "core long, hull long, own long, doc long, seg long, k int")
 
-    return asked.select("doc", "text", "segs").mapInArrow(run, "window long, seg long, doc long")
+
+def _lists(rows: DataFrame, name: str) -> DataFrame:
+    return common.checkpointed(rows.groupBy("doc").agg(F.collect_set(name).alias(f"{name}s")))
 
 
 def repeated(docs: DataFrame, scheme: Scheme, earlier: bool) -> DataFrame:
-    """docs (doc, text, and more) with ``segs`` and ``wins``: fingerprints of its runs and single windows that are repeated.
+    """docs (doc, text, and more) with ``segs``, ``hulls`` and ``windows``: fingerprints of its runs, stretches and windows that are repeated.
 
     earlier: only a window that also starts in a document with a smaller id counts;
     else any second start counts, in the same document too.
     """
-    parsed = _parsed(docs, scheme)
-    classes = parsed.groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"), F.max("doc").alias("last"))
-    keys = classes.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("total"), F.min("doc").alias("least"), F.max("last").alias("most"))
-    keys = keys.where("least < most" if earlier else "total > 1").select("key", "classes", "least")
-    known = common.checkpointed(classes.join(keys, "key"))
+    # one exchange by key serves the classes and what is known of their keys
+    parsed = _parsed(docs, scheme, keys=True)
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    classes = parsed.repartition(parts, "key").groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"), F.max("last").alias("last"))
+    of_key = Window.partitionBy("key")
+    known = classes.withColumn("classes", F.count("*").over(of_key))
+    if earlier:
+        known = known.withColumn("least", F.min("doc").over(of_key)).withColumn("most", F.max("last").over(of_key)).where("least < most")
+        known = known.select("seg", "doc", (F.col("doc") < F.col("last")).alias("whole"), (F.col("classes") > 1).alias("open"))
+    else:
+        known = known.where((F.col("classes") > 1) | (F.col("n") > 1)).select("seg", "doc", (F.col("n") > 1).alias("whole"), (F.col("classes") > 1).alias("open"))
+    known = common.checkpointed(known)
     release(docs)
-    whole = known.where("doc < last" if earlier else "n > 1").select("key", "seg", F.col("doc").alias("least"))
-    held = parsed.join(whole, ["key", "seg"]).where("doc > least" if earlier else "true").select("doc", "seg")
-    held = common.checkpointed(held.groupBy("doc").agg(F.collect_set("seg").alias("segs")))
+    held = _parsed(docs, scheme, keys=False).join(known.where("whole").select("seg", F.col("doc").alias("least")), "seg")
+    segs = _lists(held.where("doc > least") if earlier else held, "seg")
     release(docs)
     # a class alone in its key is settled; of the others one document each shows its windows
-    open_ = known.where("classes > 1")
-    wins = _windows(docs, open_.select("doc", "seg"), scheme)
-    wins = common.checkpointed(wins)
-    if earlier:
-        shared = wins.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least")
-        mine = wins.join(shared, "window").where("doc > least")
+    open_ = known.where("open").select("doc", "seg")
+    if scheme.group == 1:
+        shown = common.checkpointed(_shown(docs, open_, scheme, single=True, by_doc=earlier))
+        hulls = None
     else:
-        shared = wins.groupBy("window").agg(F.min("seg").alias("low"), F.max("seg").alias("high")).where("low < high").select("window")
-        mine = wins.join(shared, "window", "left_semi")
-    mine = common.checkpointed(mine.groupBy("doc").agg(F.collect_set("window").alias("wins")))
+        part = common.checkpointed(_shown(docs, open_, scheme, single=False, by_doc=earlier))
+        cores = part.groupBy("core").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("core")
+        part = common.checkpointed(part.join(cores, "core", "left_semi"))
+        release(docs)
+        whole = part.where("hull is not null").groupBy("hull").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("hull", "low")
+        told = part.join(whole, "hull", "left").withColumn("settled", F.col("low").isNotNull())
+        told = common.checkpointed(told.withColumn("mine", F.col("settled") & (F.col("own") > F.col("low") if earlier else F.lit(True))))
+        hulls = _lists(told.where("mine").select("doc", "hull"), "hull")
+        # an open stretch is compared with every stretch of its core
+        left = told.where("not mine" if earlier else "not settled").select("core").distinct()
+        shown = common.checkpointed(_shown(docs, told.join(left, "core", "left_semi").select("doc", "seg", "k"), scheme, single=True, by_doc=earlier))
+    release(docs)
+    twice = shown.groupBy("window").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("window", "low")
+    mine = shown.join(twice, "window")
+    mine = mine.where("own > low").select(F.col("own").alias("doc"), "window") if earlier else mine.select(F.col("own").alias("seg"), "window").join(open_, "seg")
+    windows = _lists(mine.select("doc", "window"), "window")
     release(docs)
-    return docs.join(held.join(mine, "doc", "full_outer"), "doc", "left")
+    sent = segs.join(windows, "doc", "full_outer")
+    sent = sent.join(hulls, "doc", "full_outer") if hulls is not None else sent.withColumn("hulls", F.lit(None).cast("array<bigint>"))
+    return docs.join(sent, "doc", "left")
 
 
 def release(df: DataFrame) -> None:
@@ -172,23 +255,31 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def covered(block: Block, scheme: Scheme, segs: pa.Array, wins: pa.Array) -> np.ndarray:
-    """For each unit of a block whether a repeated window covers it; segs and wins by row of the batch."""
-    units = len(block.h1) - 1
-    change = np.zeros(units + 1, np.int32)
-    row, first, size, _, seg = runs(block, scheme)
+def covered(block: Block, scheme: Scheme, segs: pa.Array, hulls: pa.Array, windows: pa.Array) -> np.ndarray:
+    """For each unit of a block whether a repeated window covers it; what is repeated comes by row of the batch."""
+    change = np.zeros(len(block.h1), np.int32)
+
+    def mark(first, last):
+        np.add.at(change, first, 1)
+        np.add.at(change, last + scheme.length, -1)
+
+    row, first, size, at, _, seg = runs(block, scheme)
     seg = seg.view(np.int64)
     bounds = np.searchsorted(row, np.arange(len(block.offsets)))
     for r in range(len(block.offsets) - 1):
         a, b = bounds[r], bounds[r + 1]
         i = block.first + r
+        if a == b:
+            continue
         if segs[i].is_valid:
             hit = a + np.flatnonzero(np.isin(seg[a:b], segs[i].values.to_numpy()))
-            np.add.at(change, first[hit], 1)
-            np.add.at(change, first[hit] + size[hit] - 1 + scheme.length, -1)
-        if wins[i].is_valid and a < b:
-            at = np.arange(block.offsets[r], block.offsets[r + 1] - scheme.length + 1)
-            at = at[np.isin(common.span_hash(block.h2, at, at + scheme.length).view(np.int64), wins[i].values.to_numpy())]
-            np.add.at(change, at, 1)
-            np.add.at(change, at + scheme.length, -1)
+            mark(first[hit], first[hit] + size[hit] - 1)
+        if hulls[i].is_valid:
+            _, _, low, high, _, hull, whole = stretches(block, scheme, first[a:b], size[a:b], at[a:b])
+            hit = whole & np.isin(hull.view(np.int64), hulls[i].values.to_numpy())
+            mark(low[hit], high[hit])
+        if windows[i].is_valid:
+            begin = np.arange(block.offsets[r], block.offsets[r + 1] - scheme.length + 1)
+            begin = begin[np.isin(common.span_hash(block.h2, begin, begin + scheme.length).view(np.int64), windows[i].values.to_numpy())]
+            mark(begin, begin)
     return np.cumsum(change[:-1]) > 0
