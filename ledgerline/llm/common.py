@@ -7,6 +7,7 @@ token or window in constant time.
 
 from __future__ import annotations
 
+import gc
 import zlib
 
 import numpy as np
@@ -41,6 +42,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle and checkpoint files of what is no longer referred to."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def held_out(column, modulus: int, remainder: int):
     """True where crc32 of the id's decimal text leaves ``remainder``; false for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, release
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -25,6 +25,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "u")
         small = small.select("v", "m").unionByName(small.select(F.col("u").alias("v"), "m")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         e = checkpointed(small)
+        del both, low, large, small
+        release(edges)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break

@@ -174,13 +174,15 @@ def _compared(docs: DataFrame, pairs: DataFrame, sketch: DataFrame, width: int,
     close = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (apart <= FAR)
     todo = common.checkpointed(pairs.select("a", "b", "star", close.alias("close")).where("close or star"))
     done = _with_sets(docs, todo.where("close").select("a", "b", "star"), width).select("a", "b", "star", _linked(percent).alias("linked"))
-    return common.checkpointed(done.unionByName(todo.where("not close").select("a", "b", "star", F.lit(False).alias("linked"))))
+    out = common.checkpointed(done.unionByName(todo.where("not close").select("a", "b", "star", F.lit(False).alias("linked"))))
+    common.release(docs)
+    return out
 
 
 def _rest(docs: DataFrame, stars: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b, star) of members of large buckets that may be linked and are in no common component yet."""
-    label = components(found).select(F.col("node").alias("b"), "component")
-    group = components(stars.select("a", "b"))
+    label = common.checkpointed(components(found).select(F.col("node").alias("b"), "component"))
+    group = common.checkpointed(components(stars.select("a", "b")))
     centre = stars.groupBy("a").agg(F.count_if("linked").alias("links")).join(group, F.col("a") == F.col("node"))
     centre = centre.groupBy(F.col("component").alias("group")).agg(F.max_by("a", F.struct("links", -F.col("a"))).alias("a"))
     member = group.select(F.col("component").alias("group"), F.col("node").alias("b")).join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
@@ -189,6 +191,7 @@ def _rest(docs: DataFrame, stars: DataFrame, found: DataFrame, width: int, perce
     full = _with_sets(docs, pairs, width)
     full = full.select("a", F.col("b").alias("rep"), "component", _linked(percent).alias("linked"), F.size("y").alias("n"), F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("differ"))
     dealt = full.withColumn("d", F.size("differ")).select("a", "rep", "component", "linked", "n", "d", F.explode("differ").alias("e"))
+    common.release(docs)
     dealt = common.checkpointed(dealt.select(F.xxhash64("a", "e").alias("key"), "a", "rep", "component", "linked", "n", "d"))
     shared = dealt.groupBy("key").agg(F.count("*").alias("size"), F.mode("component").alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all"))
     dealt = dealt.join(shared.where("low <> high and not all").select("key", "size", "main"), "key")
@@ -222,11 +225,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     lanes = [f"s{i}" for i in range(BITS // 64)]
     classes = sig.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), *(F.first(c).alias(c) for c in lanes))
     classes = common.checkpointed(classes)
+    common.release(docs)
     found = links(docs, classes.where("rep is not null").select("rep", "n", "bands", *lanes), width, percent)
     # rows of one id in two classes connect those
     shared = sig.where("n > 0 and doc_id is not null").select("doc_id", "f1", "f2", "n").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).where("doc_id <> rep")
     twice = shared.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    label = components(found.unionByName(twice))
+    label = common.checkpointed(components(found.unionByName(twice)))
+    common.release(docs)
     of = classes.select("f1", "f2", "n", "rep").join(label, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", "n", "f1", "f2").join(of, ["f1", "f2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

@@ -19,7 +19,6 @@ Ranks are fingerprints of 64 bits each; a class is told by two of them.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -217,10 +216,10 @@ def repeated(docs: DataFrame, scheme: Scheme, earlier: bool) -> DataFrame:
     else:
         known = known.where((F.col("classes") > 1) | (F.col("n") > 1)).select("seg", "doc", (F.col("n") > 1).alias("whole"), (F.col("classes") > 1).alias("open"))
     known = common.checkpointed(known)
-    release(docs)
+    common.release(docs)
     held = _parsed(docs, scheme, keys=False).join(known.where("whole").select("seg", F.col("doc").alias("least")), "seg")
     segs = _lists(held.where("doc > least") if earlier else held, "seg")
-    release(docs)
+    common.release(docs)
     # a class alone in its key is settled; of the others one document each shows its windows
     open_ = known.where("open").select("doc", "seg")
     if scheme.group == 1:
@@ -230,7 +229,7 @@ def repeated(docs: DataFrame, scheme: Scheme, earlier: bool) -> DataFrame:
         part = common.checkpointed(_shown(docs, open_, scheme, single=False, by_doc=earlier))
         cores = part.groupBy("core").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("core")
         part = common.checkpointed(part.join(cores, "core", "left_semi"))
-        release(docs)
+        common.release(docs)
         whole = part.where("hull is not null").groupBy("hull").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("hull", "low")
         told = part.join(whole, "hull", "left").withColumn("settled", F.col("low").isNotNull())
         told = common.checkpointed(told.withColumn("mine", F.col("settled") & (F.col("own") > F.col("low") if earlier else F.lit(True))))
@@ -238,23 +237,17 @@ def repeated(docs: DataFrame, scheme: Scheme, earlier: bool) -> DataFrame:
         # an open stretch is compared with every stretch of its core
         left = told.where("not mine" if earlier else "not settled").select("core").distinct()
         shown = common.checkpointed(_shown(docs, told.join(left, "core", "left_semi").select("doc", "seg", "k"), scheme, single=True, by_doc=earlier))
-    release(docs)
+    common.release(docs)
     twice = shown.groupBy("window").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("window", "low")
     mine = shown.join(twice, "window")
     mine = mine.where("own > low").select(F.col("own").alias("doc"), "window") if earlier else mine.select(F.col("own").alias("seg"), "window").join(open_, "seg")
     windows = _lists(mine.select("doc", "window"), "window")
-    release(docs)
+    common.release(docs)
     sent = segs.join(windows, "doc", "full_outer")
     sent = sent.join(hulls, "doc", "full_outer") if hulls is not None else sent.withColumn("hulls", F.lit(None).cast("array<bigint>"))
     return docs.join(sent, "doc", "left")
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of what has been checkpointed and dropped."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def covered(block: Block, scheme: Scheme, segs: pa.Array, hulls: pa.Array, windows: pa.Array) -> np.ndarray:
     """For each unit of a block whether a repeated window covers it; what is repeated comes by row of the batch."""
     change = np.zeros(len(block.h1), np.int32)
