@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Patterns of motions, outcomes and rolls, and the windows they are looked for in.
-MOVED = re.compile(r"moved\s+by\s+(?P<mover>[A-Z][\w.'’ -]{1,60}?)[,;]?\s+(?:and\s+)?seconded\s+by\s+(?P<seconder>[A-Z][\w.'’ -]{1,60}?)(?=[,;:.\n]|\s+that\b)", re.IGNORECASE)
+_PERSON = r"(?:(?:Mr|Mrs|Ms|Miss|Dr)\.?\s+)?[A-Z][\w.'’ -]{0,60}?"
+MOVED = re.compile(rf"moved\s+by\s+(?P<mover>{_PERSON})[,;]?\s+(?:and\s+)?seconded\s+by\s+(?P<seconder>{_PERSON})(?=[,;:\n]|\.\s|\.?$|\s+that\b)", re.IGNORECASE)
 OUTCOME = re.compile(r"\b(carried unanimously|carried|adopted|approved|lost|defeated|withdrawn|tabled|referred|deferred)\b", re.IGNORECASE)
-ROLL = re.compile(r"\b(yeas|ayes|nays|noes|absent|abstained)\s*[:\-]\s*(?P<names>[^\n]{0,400}?)(?:[-–]\s*(?P<count>\d+))?(?=\s*(?:\.|\n|$|yeas|ayes|nays|noes|absent|abstained))", re.IGNORECASE)
+_LABEL = r"yeas|ayes|nays|noes|absent|abstained"
+ROLL = re.compile(rf"\b({_LABEL})\s*[:\-]\s*(?P<names>[^\n]{{0,400}}?)(?:[-–]\s*(?P<count>\d+))?(?=\s*\.?\s*(?:\n|$|(?:{_LABEL})\b))", re.IGNORECASE)
 OUTCOME_WINDOW = 700
 CAST = {"yeas": "yea", "ayes": "yea", "nays": "nay", "noes": "nay", "absent": "absent", "abstained": "abstain"}
 
