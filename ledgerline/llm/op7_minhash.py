@@ -11,8 +11,8 @@ by pair; a larger bucket is compared with one pivot.  Large buckets that share
 members form a group, whose centre c is the pivot with most links.  Two members of
 one component need no more, nor do two that are both linked to c.  For the others
 let D(x) be the difference set x ^ c.  Then |x ^ y| = |D(x) ^ D(y)|, and J(x, y) >= t
-with J(x, c) < t means that D(x) and D(y) share more than t / (1 + t) of either,
-and all but |x| (1 - t) / t of D(x).  Shingles that occur in the differences of one
+with J(x, c) < t means that D(x) and D(y) share more than t / (1 + t) of D(y), and all
+but |x| (1 - t) / t of D(x).  Shingles that occur in the differences of one
 component only cannot be shared with another; a member with too few others has no
 link left to find.  The rest are dealt by the first of their shared shingles,
 rarest first, as many as a link cannot avoid, and only members outside a shingle's
@@ -197,9 +197,9 @@ def _rest(docs: DataFrame, stars: DataFrame, found: DataFrame, width: int, perce
     dealt = dealt.join(shared.where("low <> high and not all").select("key", "size", "main"), "key")
     own = Window.partitionBy("a", "rep")
     dealt = dealt.withColumn("s", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("size", "key")))
-    # what a link takes: more than t / (1 + t) of the differences, and for those not linked to the centre all but n (1 - t) / t
-    need = F.floor(F.col("d") * percent / (100 + percent)) + 1
-    need = F.greatest(need, F.when(~F.col("linked"), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent)))
+    # what a link takes: of one linked to the centre, whose partner is not, more than t / (1 + t); of others, all but n (1 - t) / t
+    most = F.floor(F.col("d") * percent / (100 + percent)) + 1
+    need = F.when(F.col("linked"), most).otherwise(F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent)))
     dealt = common.checkpointed(dealt.where(F.col("at") <= F.col("s") - need + 1).drop("at"))
     x, y = dealt.where("component <> main").alias("x"), dealt.alias("y")
     apart = f"(x.d + y.d) * {100 + percent} - (x.n + y.n) * {100 - percent} <= 2 * {100 + percent} * least(x.s, y.s)"
