@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch sent to a Python worker; bounds its memory with long texts.
-ARROW_ROWS = 1000
+ARROW_ROWS = 256
 #: Bytes of text hashed at once inside a worker.  A longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
 
