@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ledgerline.functions import keys as K
 from ledgerline.functions import numerals as N
 from ledgerline.functions import text as T
+from ledgerline.functions.dating import date_documents
+from ledgerline.functions.parameters import with_parameter
 from ledgerline.functions.units import comparable, parse_unit
-from ledgerline.operators import decisions, evidence, ledger, network, sampling, scoring, search, series
+from ledgerline.operators import decisions, evidence, ledger, network, places, sampling, scoring, search, series
 from ledgerline.sources import readers
 from ledgerline.streaming import stateful
 
@@ -449,3 +451,27 @@ def temporal_place_resolution(spark, sf_dir):
     x = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("name"), F.year("o_orderdate").alias("y"))
     held = (F.col("name") == F.col("h")) & F.col("y").between(F.coalesce("valid_from", F.lit(-9999)), F.coalesce("valid_to", F.lit(9999)))
     return x.join(F.broadcast(h), held, "left").groupBy("name", F.coalesce("canonical", "name").alias("place")).agg(F.count("*").alias("n"))
+
+
+NAMES = (("BOD removal efficiency", "%", "bod|removal"), ("Daily flow", "million gallons", "flow|rate"), ("natural gas production", "", "natural gas|concentration"), ("maximum 24 hour flow", "", "flow|rate|maximum"), ("cubic feet air per lb BOD removed", "", None))
+
+
+@query("WITH v(k, key) AS (VALUES " + ", ".join(f"({i}, {repr(x[2]) if x[2] else 'NULL'})" for i, x in enumerate(NAMES)) + ") SELECT CAST(key AS VARCHAR) AS key, count(*) AS n FROM part JOIN v ON p_partkey % 5 = k GROUP BY key")
+def parameter_resolve(spark, sf_dir):
+    k = (F.col("p_partkey") % len(NAMES)).cast("int")
+    x = t(spark, sf_dir, "part").select(F.get(F.array(*(F.lit(n[0]) for n in NAMES)), k).alias("parameter"), F.get(F.array(*(F.lit(n[1]) for n in NAMES)), k).alias("unit"))
+    return with_parameter(x).groupBy(F.col("resolved.key").alias("key")).agg(F.count("*").alias("n"))
+
+
+@query()
+def publication_dating(spark, sf_dir):
+    y = F.year("o_orderdate").cast("string")
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Published by the Printer, "), y)).otherwise(F.concat(F.lit("Annual report for the year "), y))
+    x = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("identifier"), F.lit(1).alias("page"), text.alias("text"))
+    return date_documents(x).groupBy("year", "basis").agg(F.count("*").alias("n"))
+
+
+@query("WITH x AS (SELECT c_custkey AS ord, c_nationkey AS d, CASE WHEN c_custkey % 4 = 0 THEN 'Primary tank' ELSE c_mktsegment END AS f FROM customer), k AS (SELECT d, f, count(*) AS n, min(ord) AS o FROM x WHERE f <> 'Primary tank' GROUP BY d, f), m AS (SELECT d, f FROM k QUALIFY row_number() OVER (PARTITION BY d ORDER BY n DESC, o) = 1) SELECT x.ord AS ord, CASE WHEN x.f = 'Primary tank' THEN m.f END AS parent_facility FROM x LEFT JOIN m ON x.d = m.d")
+def attach_subunits(spark, sf_dir):
+    x = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_nationkey").alias("identifier"), F.when(F.col("c_custkey") % 4 == 0, "Primary tank").otherwise(F.col("c_mktsegment")).alias("facility"))
+    return places.attach_subunits(x).select("ord", "parent_facility")
