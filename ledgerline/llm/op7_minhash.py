@@ -16,7 +16,8 @@ but |x| (1 - t) / t of D(x).  Shingles that occur in the differences of one
 component only cannot be shared with another; a member with too few others has no
 link left to find.  The rest are dealt by the first of their shared shingles,
 rarest first, as many as a link cannot avoid, and only members outside a shingle's
-main component meet the others there.  Nothing is capped.
+main component meet the others there; a pair that meets too seldom for what it must
+share is not compared.  Nothing is capped.
 
 With 32 bands of 4 rows a pair at similarity 0.8 meets in some band but for a
 chance of 5e-8, and the sketch passes it but for 1e-8.
@@ -200,11 +201,17 @@ def _rest(docs: DataFrame, stars: DataFrame, found: DataFrame, width: int, perce
     # what a link takes: of one linked to the centre, whose partner is not, more than t / (1 + t); of others, all but n (1 - t) / t
     most = F.floor(F.col("d") * percent / (100 + percent)) + 1
     need = F.when(F.col("linked"), most).otherwise(F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent)))
-    dealt = common.checkpointed(dealt.where(F.col("at") <= F.col("s") - need + 1).drop("at"))
+    dealt = dealt.withColumn("front", F.col("s") - need + 1).where(F.col("at") <= F.col("front"))
+    dealt = dealt.withColumn("rest", F.col("s") - F.col("front")).withColumn("end", F.max(F.struct("size", "key")).over(own)).drop("at", "front")
+    dealt = common.checkpointed(dealt)
     x, y = dealt.where("component <> main").alias("x"), dealt.alias("y")
-    apart = f"(x.d + y.d) * {100 + percent} - (x.n + y.n) * {100 - percent} <= 2 * {100 + percent} * least(x.s, y.s)"
-    near = f"x.component <> y.component and not (x.linked and y.linked) and abs(x.d - y.d) * {100 + percent} <= (x.n + y.n) * {100 - percent} and {apart}"
-    return x.join(y, "key").where(near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.lit(False).alias("star")).distinct()
+    # twice what two members must share, times 100 + percent
+    must = f"((x.d + y.d) * {100 + percent} - (x.n + y.n) * {100 - percent})"
+    near = f"x.component <> y.component and not (x.linked and y.linked) and (y.component = y.main or x.rep < y.rep) and abs(x.d - y.d) * {100 + percent} <= (x.n + y.n) * {100 - percent} and {must} <= 2 * {100 + percent} * least(x.s, y.s)"
+    # beyond the front that ends first its member has only its rest to share
+    more = F.expr("case when x.end < y.end then x.rest else y.rest end")
+    met = x.join(y, "key").where(near).groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).agg(F.count("*").alias("shared"), F.max(more).alias("more"), F.max(F.expr(must)).alias("must"))
+    return met.where(F.col("must") <= 2 * (100 + percent) * (F.col("shared") + F.col("more"))).select("a", "b", F.lit(False).alias("star"))
 
 
 def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
