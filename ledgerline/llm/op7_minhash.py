@@ -247,3 +247,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def op7_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"), width=2, percent=80)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d
+), u AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS k FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM u a JOIN u b ON a.k = b.k AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT x, y FROM p WHERE 100 * n_both >= 80 * (na + nb - n_both) UNION ALL SELECT y, x FROM p WHERE 100 * n_both >= 80 * (na + nb - n_both)
+), r AS (
+  SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+), m AS (
+  SELECT x, min(y) AS y FROM r GROUP BY x
+)
+SELECT s.doc_id AS doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.y, s.doc_id)) AS component_id, coalesce(m.y, s.doc_id) >= s.doc_id AS kept
+FROM s LEFT JOIN m ON s.doc_id = m.x
+"""

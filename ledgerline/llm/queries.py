@@ -16,6 +16,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op3_recompression": op3_recompression.ORACLE,
+    "op7_minhash": op7_minhash.ORACLE,
     "op8_topk": op8_topk.ORACLE,
     "op10_decontaminate": op10_decontam.ORACLE,
 }
