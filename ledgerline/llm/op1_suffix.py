@@ -96,3 +96,27 @@ def dedup(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, text_out: boo
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"), text_out=False)
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
+), p AS (
+  SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d
+), w AS (
+  SELECT doc_id, i, substring(h, 2 * i + 1, 2) AS b, CASE WHEN 2 * i + 800 <= len(h) THEN md5(substring(h, 2 * i + 1, 800)) END AS k FROM p
+), c AS (
+  SELECT doc_id, i, b, CASE WHEN k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 THEN 1 ELSE 0 END AS again FROM w
+), g AS (
+  SELECT doc_id, i, b, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone FROM c
+), r AS (
+  SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g
+), a AS (
+  SELECT doc_id, count(*) AS n, sum(gone) AS removed, sum(CASE WHEN gone = 1 AND before = 0 THEN 1 ELSE 0 END) AS spans,
+         coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept
+  FROM r GROUP BY doc_id
+)
+SELECT d.doc_id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""

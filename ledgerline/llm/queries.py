@@ -15,6 +15,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontam.op10_decontaminate,
 }
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": op1_suffix.ORACLE,
     "op3_recompression": op3_recompression.ORACLE,
     "op7_minhash": op7_minhash.ORACLE,
     "op8_topk": op8_topk.ORACLE,
