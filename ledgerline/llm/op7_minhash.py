@@ -15,8 +15,8 @@ with J(x, c) < t means that D(x) and D(y) share more than t / (1 + t) of D(y), a
 but |x| (1 - t) / t of D(x).  Shingles that occur in the differences of one
 component only cannot be shared with another; a member with too few others has no
 link left to find.  The rest are dealt by the first of their shared shingles,
-rarest first, as many as a link cannot avoid, and only members outside a shingle's
-main component meet the others there; a pair that meets too seldom for what it must
+rarest first, as many as a link cannot avoid, and only members outside the centre's
+component meet the others there; a pair that meets too seldom for what it must
 share is not compared.  Nothing is capped.
 
 With 32 bands of 4 rows a pair at similarity 0.8 meets in some band but for a
@@ -186,16 +186,17 @@ def _rest(docs: DataFrame, stars: DataFrame, found: DataFrame, width: int, perce
     group = common.checkpointed(components(stars.select("a", "b")))
     centre = stars.groupBy("a").agg(F.count_if("linked").alias("links")).join(group, F.col("a") == F.col("node"))
     centre = centre.groupBy(F.col("component").alias("group")).agg(F.max_by("a", F.struct("links", -F.col("a"))).alias("a"))
+    centre = centre.join(label.select(F.col("b").alias("a"), F.col("component").alias("main")), "a", "left").withColumn("main", F.coalesce("main", "a"))
     member = group.select(F.col("component").alias("group"), F.col("node").alias("b")).join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
     mixed = member.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group")
-    pairs = common.checkpointed(member.join(mixed, "group").join(centre, "group").where("a <> b").select("a", "b", "component"))
+    pairs = common.checkpointed(member.join(mixed, "group").join(centre, "group").where("a <> b").select("a", "b", "component", "main"))
     full = _with_sets(docs, pairs, width)
-    full = full.select("a", F.col("b").alias("rep"), "component", _linked(percent).alias("linked"), F.size("y").alias("n"), F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("differ"))
-    dealt = full.withColumn("d", F.size("differ")).select("a", "rep", "component", "linked", "n", "d", F.explode("differ").alias("e"))
+    full = full.select("a", F.col("b").alias("rep"), "component", "main", _linked(percent).alias("linked"), F.size("y").alias("n"), F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("differ"))
+    dealt = full.withColumn("d", F.size("differ")).select("a", "rep", "component", "main", "linked", "n", "d", F.explode("differ").alias("e"))
     common.release(docs)
-    dealt = common.checkpointed(dealt.select(F.xxhash64("a", "e").alias("key"), "a", "rep", "component", "linked", "n", "d"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("size"), F.mode("component").alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all"))
-    dealt = dealt.join(shared.where("low <> high and not all").select("key", "size", "main"), "key")
+    dealt = common.checkpointed(dealt.select(F.xxhash64("a", "e").alias("key"), "a", "rep", "component", "main", "linked", "n", "d"))
+    shared = dealt.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all"))
+    dealt = dealt.join(shared.where("low <> high and not all").select("key", "size"), "key")
     own = Window.partitionBy("a", "rep")
     dealt = dealt.withColumn("s", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("size", "key")))
     # what a link takes: of one linked to the centre, whose partner is not, more than t / (1 + t); of others, all but n (1 - t) / t
