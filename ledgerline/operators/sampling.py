@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,7 +57,9 @@ def harvest(records: DataFrame, stem: str, variant: str, unit: str, example: str
 
     def top(c: str, name: str) -> DataFrame:
         x = records.where(F.col(c).isNotNull()).groupBy(stem, c).agg(F.count("*").alias("k"))
-        return x.groupBy(stem).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), F.col(c).alias("v")))), 1, keep).alias(name)).select(stem, F.col(f"{name}.v").alias(name))
+        # cut before collecting: a stem may have any number of variants
+        x = x.withColumn("at", F.row_number().over(Window.partitionBy(stem).orderBy(F.desc("k"), c))).where(F.col("at") <= keep)
+        return x.groupBy(stem).agg(F.sort_array(F.collect_list(F.struct("at", F.col(c).alias("v")))).alias(name)).select(stem, F.col(f"{name}.v").alias(name))
 
     return n.join(top(variant, "variants"), stem, "left").join(top(unit, "units"), stem, "left").join(top(example, "examples"), stem, "left")
 
@@ -70,8 +72,6 @@ def ranked_places(questions: DataFrame) -> DataFrame:
 
 def sample_plan(pages: DataFrame, stratum: str, item: str, page: str, quota: dict[str, int], page_cap: int = 40, seed: int = 4242) -> DataFrame:
     """Pages of a stratified sample: at most page_cap an item, in an order that depends on the seed and ids alone."""
-    from pyspark.sql import Window
-
     order = F.xxhash64(F.lit(seed), item, page)
     x = pages.withColumn("k", F.row_number().over(Window.partitionBy(item).orderBy(order, page))).where(F.col("k") <= page_cap).drop("k")
     want = F.create_map(*(F.lit(v) for kv in quota.items() for v in kv)) if quota else F.create_map()

@@ -37,7 +37,8 @@ def build(readings: DataFrame, units: int = 6) -> DataFrame:
     x = x.withColumn("bad", contradicted("measure", "unit"))
     spelled = x.groupBy("term", "parameter").agg(F.count("*").alias("k")).groupBy("term").agg(F.min(F.struct((-F.col("k")).alias("k"), "parameter")).alias("m"), F.sort_array(F.collect_set("parameter")).alias("aliases"))
     unit = x.where("unit is not null and unit <> ''").groupBy("term", "unit").agg(F.count("*").alias("k"))
-    unit = unit.groupBy("term").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "unit"))), 1, units).alias("u")).select("term", F.col("u.unit").alias("units"))
+    unit = unit.withColumn("at", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("k"), "unit"))).where(F.col("at") <= units)
+    unit = unit.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("at", "unit"))).alias("u")).select("term", F.col("u.unit").alias("units"))
     same = lambda c: F.when((F.count_distinct(c) == 1) & (F.count(c) == F.count("*")) & ~F.bool_or("bad"), F.max(c))
     agreed = x.groupBy("term").agg(F.count("*").alias("n"), same("substance").alias("substance"), same("measure").alias("measure"))
     return agreed.join(spelled.select("term", F.col("m.parameter").alias("spelling"), "aliases"), "term").join(unit, "term", "left").orderBy(F.desc("n"), "term")
