@@ -40,7 +40,8 @@ def page_signals(text) -> Column:
     width = F.greatest(F.lit(NARROW), F.least(F.lit(WIDE), median)).cast("int")
     prose = F.size(F.filter(per_line, lambda x: (x["w"] >= width) & (x["n"] <= 3)))
     table = F.size(F.filter(per_line, lambda x: (x["n"] >= 5) & (x["w"] <= 4)))
-    digits, letters = _hits(text, r"\p{Nd}"), _hits(text, r"\p{L}")
+    # what is left when runs of other characters go: one match a run, not one a character
+    digits, letters = (F.length(F.regexp_replace(text, rf"[^\p{{{c}}}]+", "")) for c in ("Nd", "L"))
     return F.struct(
         F.length(text).alias("chars"), _hits(text, WORD).alias("words"), _hits(text, NUMBER).alias("numbers"), (digits / F.greatest(F.lit(1), digits + letters)).alias("digit_ratio"),
         (prose / k).alias("prose_ratio"), (table / k).alias("table_ratio"), width.alias("line_width"), (_hits(text, UNIT) + _hits(text, COUNTED)).alias("unit_hits"),
