@@ -33,20 +33,29 @@ def page_signals(text) -> Column:
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     lines = F.when(F.size(lines) == 0, F.array(text)).otherwise(lines)
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  body(value), evaluated once
     per_line = F.transform(lines, lambda x: F.struct(_hits(x, WORD).alias("w"), _hits(x, NUMBER).alias("n")))
-    counts = F.array_sort(F.transform(per_line, lambda x: x["w"]))
-    k = F.size(counts)
-    median = (F.element_at(counts, ((k + 1) / 2).cast("int")) + F.element_at(counts, (k / 2 + 1).cast("int"))) / 2.0
-    width = F.greatest(F.lit(NARROW), F.least(F.lit(WIDE), median)).cast("int")
-    prose = F.size(F.filter(per_line, lambda x: (x["w"] >= width) & (x["n"] <= 3)))
-    table = F.size(F.filter(per_line, lambda x: (x["n"] >= 5) & (x["w"] <= 4)))
+
+    def shaped(per: Column, counts: Column) -> Column:
+        k = F.size(counts)
+        median = (F.element_at(counts, ((k + 1) / 2).cast("int")) + F.element_at(counts, (k / 2 + 1).cast("int"))) / 2.0
+        width = F.greatest(F.lit(NARROW), F.least(F.lit(WIDE), median)).cast("int")
+
+        def ratios(w: Column) -> Column:
+            prose = F.size(F.filter(per, lambda x: (x["w"] >= w) & (x["n"] <= 3)))
+            table = F.size(F.filter(per, lambda x: (x["n"] >= 5) & (x["w"] <= 4)))
+            return F.struct((prose / k).alias("prose"), (table / k).alias("table"), w.alias("width"))
+
+        return let(width, ratios)
+
+    shape = let(per_line, lambda per: let(F.array_sort(F.transform(per, lambda x: x["w"])), lambda counts: shaped(per, counts)))
     # what is left when runs of other characters go: one match a run, not one a character
     digits, letters = (F.length(F.regexp_replace(text, rf"[^\p{{{c}}}]+", "")) for c in ("Nd", "L"))
-    return F.struct(
+    return let(shape, lambda s: F.struct(
         F.length(text).alias("chars"), _hits(text, WORD).alias("words"), _hits(text, NUMBER).alias("numbers"), (digits / F.greatest(F.lit(1), digits + letters)).alias("digit_ratio"),
-        (prose / k).alias("prose_ratio"), (table / k).alias("table_ratio"), width.alias("line_width"), (_hits(text, UNIT) + _hits(text, COUNTED)).alias("unit_hits"),
+        s["prose"].alias("prose_ratio"), s["table"].alias("table_ratio"), s["width"].alias("line_width"), (_hits(text, UNIT) + _hits(text, COUNTED)).alias("unit_hits"),
         _hits(text, STANDARD).alias("standard_hits"), _hits(text, FIGURE).alias("figure_hits"), _hits(text, MAP).alias("map_hits"), text.rlike(BOILERPLATE).alias("boilerplate"),
-    )
+    ))
 
 
 def page_routes(s: str) -> Column:
