@@ -43,7 +43,7 @@ def theil_sen(points: DataFrame, keys: Keys) -> DataFrame:
 def mann_kendall(points: DataFrame, keys: Keys) -> DataFrame:
     """keys, n, s, var_s, z: the rank trend statistic with its variance corrected for ties."""
     s = _pairs(points, keys).groupBy(*keys).agg(F.sum(F.signum(F.col("v2") - F.col("v1"))).cast("long").alias("s"))
-    ties = points.groupBy(*keys, "v").agg(F.count("*").alias("k")).groupBy(*keys).agg(F.sum("k").alias("n"), F.sum(F.when(F.col("k") > 1, F.expr("k * (k - 1) * (2 * k + 5)")).otherwise(0)).alias("tie"))
+    ties = points.groupBy(*keys, "v").agg(F.count("*").alias("_tied")).groupBy(*keys).agg(F.sum("_tied").alias("n"), F.sum(F.when(F.col("_tied") > 1, F.expr("_tied * (_tied - 1) * (2 * _tied + 5)")).otherwise(0)).alias("tie"))
     out = ties.join(s, keys, "left").withColumn("s", F.coalesce("s", F.lit(0)))
     var = (F.expr("n * (n - 1) * (2 * n + 5)") - F.col("tie")).cast("double") / F.lit(18.0)
     out = out.withColumn("var_s", var)
