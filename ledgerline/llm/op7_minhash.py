@@ -8,8 +8,9 @@ dropped by it before the full sets are compared.
 
 Buckets are never expanded into all pairs.  Up to SMALL members are compared pair
 by pair; a larger bucket is compared with one pivot.  Large buckets that share
-members form a group, whose centre c is the pivot with most links.  Two members of
-one component need no more, nor do two that are both linked to c.  For the others
+members form a group, whose centre c is the pivot with most links.  All members are
+compared with c.  Two members of one component need no more, nor do two that are both
+linked to c.  For the others
 let D(x) be the difference set x ^ c.  Then |x ^ y| = |D(x) ^ D(y)|, and J(x, y) >= t
 with J(x, c) < t means that D(x) and D(y) share more than t / (1 + t) of D(y), and all
 but |x| (1 - t) / t of D(x).  Shingles that occur in the differences of one
@@ -181,7 +182,7 @@ def _compared(docs: DataFrame, pairs: DataFrame, sketch: DataFrame, width: int,
 
 
 def _rest(docs: DataFrame, stars: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b, star) of members of large buckets that may be linked and are in no common component yet."""
+    """Links (a, b) of members of large buckets to their centre, and pairs (a, b, star) that may be linked and are in no common component yet."""
     label = common.checkpointed(components(found).select(F.col("node").alias("b"), "component"))
     group = common.checkpointed(components(stars.select("a", "b")))
     centre = stars.groupBy("a").agg(F.count_if("linked").alias("links")).join(group, F.col("a") == F.col("node"))
@@ -195,6 +196,8 @@ def _rest(docs: DataFrame, stars: DataFrame, found: DataFrame, width: int, perce
     dealt = full.withColumn("d", F.size("differ")).select("a", "rep", "component", "main", "linked", "n", "d", F.explode("differ").alias("e"))
     common.release(docs)
     dealt = common.checkpointed(dealt.select(F.xxhash64("a", "e").alias("key"), "a", "rep", "component", "main", "linked", "n", "d"))
+    # two members that are both linked to the centre are not compared: these links hold them together
+    central = common.checkpointed(dealt.where("linked and component <> main").select("a", F.col("rep").alias("b")).distinct())
     shared = dealt.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all"))
     dealt = dealt.join(shared.where("low <> high and not all").select("key", "size"), "key")
     own = Window.partitionBy("a", "rep")
@@ -212,7 +215,7 @@ def _rest(docs: DataFrame, stars: DataFrame, found: DataFrame, width: int, perce
     # beyond the front that ends first its member has only its rest to share
     more = F.expr("case when x.end < y.end then x.rest else y.rest end")
     met = x.join(y, "key").where(near).groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).agg(F.count("*").alias("shared"), F.max(more).alias("more"), F.max(F.expr(must)).alias("must"))
-    return met.where(F.col("must") <= 2 * (100 + percent) * (F.col("shared") + F.col("more"))).select("a", "b", F.lit(False).alias("star"))
+    return central, met.where(F.col("must") <= 2 * (100 + percent) * (F.col("shared") + F.col("more"))).select("a", "b", F.lit(False).alias("star"))
 
 
 def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
@@ -223,8 +226,9 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
     found, stars = first.where("linked").select("a", "b"), first.where("star")
     if stars.isEmpty():
         return found
-    second = _compared(docs, _rest(docs, stars, found, width, percent), sketch, width, percent)
-    return found.unionByName(second.where("linked").select("a", "b"))
+    central, near = _rest(docs, stars, found, width, percent)
+    second = _compared(docs, near, sketch, width, percent)
+    return found.unionByName(central).unionByName(second.where("linked").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -166,6 +166,21 @@ def test_near_duplicates_in_a_hot_group(spark, width, edits):
     assert sorted((tuple(r) for r in got), key=str) == groups(rows, width, 80)
 
 
+def test_hot_group_whose_first_ids_are_edited_most(spark):
+    """Every text is linked to the unedited one, whose large buckets mostly have another first id."""
+    rng = random.Random(2)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for i in range(161):
+        w = list(base)
+        for k in rng.sample(range(200), 20 if i < 4 else 0 if i == 4 else 12):
+            w[k] = f"e{i}x{k}"
+        assert 100 * len(set(w) & set(base)) >= 80 * len(set(w) | set(base))
+        rows.append((i, " ".join(w)))
+    got = op7_minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 1, 80).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(i, 0, i == 0) for i in range(161)]
+
+
 def test_near_duplicates_in_a_mixed_corpus(spark):
     rows = corpus(5) + [(900, "One"), (901, "one"), (902, "ONE two"), (903, " \n ")]
     got = op7_minhash.near_duplicates(frame(spark, rows), 2, 80).collect()
