@@ -23,6 +23,11 @@ def _named(docs: DataFrame, names: list[str]) -> DataFrame:
     return docs.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
 
 
+def _sent(rows: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """A side of a join, broadcast up to a counted size."""
+    return F.broadcast(rows) if rows.count() <= broadcast_rows else rows
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     labels = common.table(spark, sf_dir, "labels").select("doc_id", "quality").where(~common.held_out("doc_id", 5, 0))
@@ -32,10 +37,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, similarity 0.8; repeated rows are one document."""
-    found = op7_minhash.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
-    gone = common.checkpointed(found.where("not kept").select("doc_id").distinct())
-    kept = common.without(docs, gone)
+    """One document of each group, that with the smallest id: five-word shingles, similarity 0.8.
+
+    Each row is judged by its own text, whatever rows share its id or have none; repeated rows are one document.
+    """
+    rows, names, text = _numbered(docs)
+    key = common.row_key(f"c{names.index('doc_id')}", text)
+    found = op7_minhash.near_duplicates(docs.select(common.row_key().alias("doc_id"), "text"), width=5, percent=80)
+    group = found.where("not kept").select(F.col("doc_id").alias("key"), "component_id")
+    group = common.checkpointed(group.unionByName(group.select(F.col("component_id").alias("key"), "component_id")).distinct())
+    first = docs.select(common.row_key().alias("key"), "doc_id").join(_sent(group), "key")
+    first = first.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    first = common.checkpointed(first.select("component_id", F.col("first.key").alias("first")))
+    gone = common.checkpointed(group.join(_sent(first), "component_id").where("key <> first").select("key"))
+    kept = _named(common.without(rows.withColumn("key", key), gone, key="key"), names)
     twice = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept

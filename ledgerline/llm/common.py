@@ -219,6 +219,11 @@ def label_sample(labels: DataFrame, limit: int, key: str = "doc_id") -> DataFram
     return labels.orderBy(F.xxhash64(key), *labels.columns).limit(limit)
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text"):
+    """A row's own key, never null: rows with equal id and text are one document, ids may be null or shared."""
+    return F.xxhash64(doc_id, text)
+
+
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id", broadcast_rows: int = 2_000_000) -> DataFrame:
     """Rows of docs whose id is not in ids (one column of that name); a null id equals a null id."""
     gone = ids.select(F.col(key).alias("_gone"))

@@ -13,8 +13,8 @@ The benchmark is broadcast up to a checked number of words and joined by shuffle
 beyond; documents stream past it and are never shuffled as texts.
 
 Defined cases: null and empty texts overlap nothing; items of fewer words than a
-window must occur whole and unchanged, items below seven words never match; a
-repeated item or document row gives the same single row; further columns are
+window must occur whole and unchanged, items below seven words never match; items
+without an id are left out of the pairs, not of the cleaning; a repeated item or document row gives the same single row; further columns are
 ignored.
 """
 
@@ -72,9 +72,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that overlap no item, with all their columns."""
-    found = common.checkpointed(overlaps(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct())
-    return common.without(docs, found)
+    """The rows of docs that overlap no item, with all their columns; rows and items count whether they have an id or not."""
+    items = benchmark.select(common.row_key("item_id").alias("item_id"), "text")
+    found = overlaps(docs.select(common.row_key().alias("doc_id"), "text"), items)
+    found = common.checkpointed(found.select(F.col("doc_id").alias("_key")).distinct())
+    return common.without(docs.withColumn("_key", common.row_key()), found, key="_key").drop("_key")
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

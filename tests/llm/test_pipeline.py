@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from ledgerline.llm import op10_decontam
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double"
 
@@ -49,6 +50,20 @@ def test_stages_take_effect(spark, folder, tmp_path):
     assert "<EMAIL>" in redacted.text and redacted.n_chars == len(redacted.text)
 
 
+def test_rows_are_judged_each_by_its_text(spark, folder):
+    """Rows without an id and rows that share one don't fall with another row."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    item = " ".join(f"item{k}" for k in range(20))
+    rows = [(1, text(1)), (None, text(1)), (None, text(2)), (None, text(3) + " y"), (None, text(3)), (2, text(4)), (2, text(1) + " x"), (3, text(4) + " z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.0) for i, t in rows], COLUMNS)
+    near = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()]
+    assert len(near) == 4 and {(1, text(1)), (None, text(2)), (2, text(4))} < set(near) and {rows[3], rows[4]} & set(near)
+    rows = [(None, text(5)), (None, text(6) + " " + item), (4, text(7)), (4, item + " " + text(8)), (5, text(9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (None, text(9))], "item_id long, text string")
+    assert {tuple(r) for r in op10_decontam.clean(docs, items).collect()} == {rows[0], rows[2]}
+
+
 def test_run_of_empty_documents(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
