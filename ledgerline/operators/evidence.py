@@ -13,8 +13,19 @@ def containing(passages: DataFrame, pages: DataFrame, seed: int = 4) -> DataFram
 
     Candidates share the hash of a run of ``seed`` tokens with the passage's first
     ones, so pages are exploded once and joined by equality; the run is then verified.
+    Shorter passages are sought by all their tokens, pages exploded once for each such
+    length that there is; passages without tokens are on no page.
     """
-    p = passages.select("passage_id", T.evidence_tokens("text").alias("q")).where(F.size("q") >= seed)
+    p = passages.select("passage_id", T.evidence_tokens("text").alias("q"))
+    short = [r[0] for r in p.select(F.size("q")).where(F.size("q").between(1, seed - 1)).distinct().collect()]
+    found = _with_seed(p.where(F.size("q") >= seed), pages, seed)
+    for n in sorted(short):
+        found = found.unionByName(_with_seed(p.where(F.size("q") == n), pages, n))
+    return found.distinct()
+
+
+def _with_seed(p: DataFrame, pages: DataFrame, seed: int) -> DataFrame:
+    """(passage_id, page_id) of passages (passage_id, q) of at least ``seed`` tokens."""
     p = p.withColumn("h", F.xxhash64(*(F.get("q", F.lit(i)) for i in range(seed))))
     d = pages.select("page_id", T.evidence_tokens("text").alias("t")).where(F.size("t") >= seed)
     d = d.select("page_id", "t", F.explode(F.sequence(F.lit(0), F.size("t") - seed)).alias("i"))
@@ -22,7 +33,7 @@ def containing(passages: DataFrame, pages: DataFrame, seed: int = 4) -> DataFram
     x = d.join(p, "h").where((F.slice("t", F.col("i") + 1, F.size("q")) == F.col("q")))
     sign = lambda at: F.coalesce(F.get("t", at).startswith("semantic:"), F.lit(False))
     beside = F.when(F.col("i") > 0, sign(F.greatest(F.col("i") - 1, F.lit(0)))).otherwise(F.lit(False)) | sign(F.col("i") + F.size("q"))
-    return x.where(~beside).select("passage_id", "page_id").distinct()
+    return x.where(~beside).select("passage_id", "page_id")
 
 
 def verdicts(records: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:

@@ -40,6 +40,12 @@ def test_containing(spark):
     assert [tuple(r) for r in evidence.containing(p, d).collect()] == [(1, 7)]
 
 
+def test_containing_short_passages(spark):
+    p = spark.createDataFrame([(1, "Beta gamma"), (2, "delta"), (3, "gamma beta"), (4, "a b c"), (5, "alpha beta gamma delta"), (6, ""), (7, None)], "passage_id int, text string")
+    d = spark.createDataFrame([(7, "x Alpha, beta\nGAMMA delta y"), (8, "delta"), (9, None)], "page_id int, text string")
+    assert sorted(tuple(r) for r in evidence.containing(p, d).collect()) == [(1, 7), (2, 7), (2, 8), (5, 7)]
+
+
 def test_nearest_agrees_with_all_pairs(spark):
     import random
 
