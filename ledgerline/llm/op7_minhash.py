@@ -17,8 +17,8 @@ but |x| (1 - t) / t of D(x).  Shingles that occur in the differences of one
 component only cannot be shared with another; a member with too few others has no
 link left to find.  The rest are dealt by the first of their shared shingles,
 rarest first, as many as a link cannot avoid, and only members outside the centre's
-component meet the others there; a pair that meets too seldom for what it must
-share is not compared.  Nothing is capped.
+component meet the others there; a pair whose remaining shingles are too few for
+what it must share is not compared.  Nothing is capped.
 
 With 32 bands of 4 rows a pair at similarity 0.8 meets in some band but for a
 chance of 5e-8, and the sketch passes it but for 1e-8.
@@ -43,6 +43,8 @@ BANDS, ROWS = 32, 4
 #: (about six standard deviations above the mean at similarity 0.8).
 BITS, FAR = 256, 88
 SMALL = 16
+#: About so many members tell a group's consensus, from which only its centre is chosen.
+SAMPLE = 48
 #: Documents whose ids are broadcast when their texts are fetched; beyond, a shuffle.
 FETCH_IDS = 2_000_000
 
@@ -156,9 +158,13 @@ def _bucket_pairs(members: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
-def _with_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def _stored_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of the documents in ids (doc_id), stored."""
+    return common.checkpointed(_sets(docs, ids.select("doc_id").distinct(), width))
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with the shingle sets x of a and y of b and the size of their intersection."""
-    sets = common.checkpointed(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width))
     full = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     return full.withColumn("both", F.size(F.array_intersect("x", "y")))
 
@@ -175,29 +181,49 @@ def _compared(docs: DataFrame, pairs: DataFrame, sketch: DataFrame, width: int,
     apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in lanes), F.lit(0))
     close = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (apart <= FAR)
     todo = common.checkpointed(pairs.select("a", "b", "star", close.alias("close")).where("close or star"))
-    done = _with_sets(docs, todo.where("close").select("a", "b", "star"), width).select("a", "b", "star", _linked(percent).alias("linked"))
+    near = todo.where("close").select("a", "b", "star")
+    done = _with_sets(near, _stored_sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")), width)).select("a", "b", "star", _linked(percent).alias("linked"))
     out = common.checkpointed(done.unionByName(todo.where("not close").select("a", "b", "star", F.lit(False).alias("linked"))))
     common.release(docs)
     return out
 
 
-def _rest(docs: DataFrame, stars: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+def _centres(inside: DataFrame, sets: DataFrame) -> DataFrame:
+    """(group, a, main): the member of each group that is closest to the group's consensus, and its component.
+
+    The consensus holds the shingles of most of about SAMPLE members, told by a hash.
+    Any member would do as a centre; near the consensus the differences are small.
+    """
+    some = inside.join(inside.groupBy("group").agg(F.count("*").alias("size")), "group").where(F.pmod(F.xxhash64("b"), F.col("size")) < SAMPLE)
+    some = common.checkpointed(some.select("group", F.col("b").alias("doc_id")).join(sets, "doc_id").select("group", "shingles"))
+    often = some.select("group", F.explode("shingles").alias("e")).groupBy("group", "e").agg(F.count("*").alias("k"))
+    often = often.join(some.groupBy("group").agg(F.count("*").alias("size")), "group").where("2 * k > size").groupBy("group").agg(F.collect_list("e").alias("often"))
+    known = inside.join(sets.select(F.col("doc_id").alias("b"), "shingles"), "b").join(often, "group", "left")
+    both = F.coalesce(F.size(F.array_intersect("shingles", "often")), F.lit(0))
+    like = known.select("group", "b", "component", (both / (F.size("shingles") + F.coalesce(F.size("often"), F.lit(0)) - both)).alias("like"))
+    best = like.groupBy("group").agg(F.max_by(F.struct("b", "component"), F.struct("like", -F.col("b"))).alias("best"))
+    return common.checkpointed(best.select("group", F.col("best.b").alias("a"), F.col("best.component").alias("main")))
+
+
+def _rest(docs: DataFrame, stars: DataFrame, found: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of members of large buckets to their centre, and pairs (a, b, star) that may be linked and are in no common component yet."""
     label = common.checkpointed(components(found).select(F.col("node").alias("b"), "component"))
     group = common.checkpointed(components(stars.select("a", "b")))
-    centre = stars.groupBy("a").agg(F.count_if("linked").alias("links")).join(group, F.col("a") == F.col("node"))
-    centre = centre.groupBy(F.col("component").alias("group")).agg(F.max_by("a", F.struct("links", -F.col("a"))).alias("a"))
-    centre = centre.join(label.select(F.col("b").alias("a"), F.col("component").alias("main")), "a", "left").withColumn("main", F.coalesce("main", "a"))
     member = group.select(F.col("component").alias("group"), F.col("node").alias("b")).join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
     mixed = member.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group")
-    pairs = common.checkpointed(member.join(mixed, "group").join(centre, "group").where("a <> b").select("a", "b", "component", "main"))
-    full = _with_sets(docs, pairs, width)
-    full = full.select("a", F.col("b").alias("rep"), "component", "main", _linked(percent).alias("linked"), F.size("y").alias("n"), F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("differ"))
-    dealt = full.withColumn("d", F.size("differ")).select("a", "rep", "component", "main", "linked", "n", "d", F.explode("differ").alias("e"))
+    inside = common.checkpointed(member.join(mixed, "group"))
+    sets = _stored_sets(docs, inside.select(F.col("b").alias("doc_id")), width)
+    pairs = inside.join(_centres(inside, sets), "group").where("a <> b").select("a", "b", "component", "main")
+    full = _with_sets(pairs, sets).withColumn("linked", _linked(percent))
+    # the links to the centre are given out, so what is linked to it is in its component
+    own = F.when(F.col("linked"), F.col("main")).otherwise(F.col("component"))
+    full = full.select("a", F.col("b").alias("rep"), F.col("component").alias("was"), own.alias("component"), "main", "linked", F.size("y").alias("n"), F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("differ"))
+    full = common.checkpointed(full.withColumn("d", F.size("differ")))
     common.release(docs)
+    central = full.where("linked and was <> main").select("a", F.col("rep").alias("b"))
+    dealt = full.select("a", "rep", "component", "main", "linked", "n", "d", F.explode("differ").alias("e"))
     dealt = common.checkpointed(dealt.select(F.xxhash64("a", "e").alias("key"), "a", "rep", "component", "main", "linked", "n", "d"))
     # two members that are both linked to the centre are not compared: these links hold them together
-    central = common.checkpointed(dealt.where("linked and component <> main").select("a", F.col("rep").alias("b")).distinct())
     shared = dealt.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all"))
     dealt = dealt.join(shared.where("low <> high and not all").select("key", "size"), "key")
     own = Window.partitionBy("a", "rep")
@@ -205,16 +231,16 @@ def _rest(docs: DataFrame, stars: DataFrame, found: DataFrame, width: int, perce
     # what a link takes: of one linked to the centre, whose partner is not, more than t / (1 + t); of others, all but n (1 - t) / t
     most = F.floor(F.col("d") * percent / (100 + percent)) + 1
     need = F.when(F.col("linked"), most).otherwise(F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent)))
-    dealt = dealt.withColumn("front", F.col("s") - need + 1).where(F.col("at") <= F.col("front"))
-    dealt = dealt.withColumn("rest", F.col("s") - F.col("front")).withColumn("end", F.max(F.struct("size", "key")).over(own)).drop("at", "front")
+    dealt = dealt.where(F.col("at") <= F.col("s") - need + 1).withColumn("rest", F.col("s") - F.col("at"))
     dealt = common.checkpointed(dealt)
     x, y = dealt.where("component <> main").alias("x"), dealt.alias("y")
     # twice what two members must share, times 100 + percent
     must = f"((x.d + y.d) * {100 + percent} - (x.n + y.n) * {100 - percent})"
     near = f"x.component <> y.component and not (x.linked and y.linked) and (y.component = y.main or x.rep < y.rep) and abs(x.d - y.d) * {100 + percent} <= (x.n + y.n) * {100 - percent} and {must} <= 2 * {100 + percent} * least(x.s, y.s)"
-    # beyond the front that ends first its member has only its rest to share
-    more = F.expr("case when x.end < y.end then x.rest else y.rest end")
-    met = x.join(y, "key").where(near).groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).agg(F.count("*").alias("shared"), F.max(more).alias("more"), F.max(F.expr(must)).alias("must"))
+    # all keys are in one order: from a key that two members share on, they share one more than the lesser rest at most
+    near += f" and {must} <= 2 * {100 + percent} * (1 + least(x.rest, y.rest))"
+    met = x.join(y, "key").where(near).groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    met = met.agg(F.count("*").alias("shared"), F.min(F.least("x.rest", "y.rest")).alias("more"), F.max(F.expr(must)).alias("must"))
     return central, met.where(F.col("must") <= 2 * (100 + percent) * (F.col("shared") + F.col("more"))).select("a", "b", F.lit(False).alias("star"))
 
 
@@ -239,10 +265,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = common.checkpointed(classes)
     common.release(docs)
     found = links(docs, classes.where("rep is not null").select("rep", "n", "bands", *lanes), width, percent)
-    # rows of one id in two classes connect those
-    shared = sig.where("n > 0 and doc_id is not null").select("doc_id", "f1", "f2", "n").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).where("doc_id <> rep")
-    twice = shared.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    label = common.checkpointed(components(found.unionByName(twice)))
+    # rows of one id in several classes connect those
+    held = sig.where("n > 0 and doc_id is not null").select("doc_id", "f1", "f2", "n").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).select("doc_id", "rep")
+    several = common.checkpointed(held.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a"))
+    if not several.isEmpty():
+        found = found.unionByName(held.join(several, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
+    label = common.checkpointed(components(found))
     common.release(docs)
     of = classes.select("f1", "f2", "n", "rep").join(label, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", "n", "f1", "f2").join(of, ["f1", "f2", "n"], "left")

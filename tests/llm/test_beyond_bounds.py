@@ -22,7 +22,7 @@ def test_near_duplicates_by_shuffle(spark, monkeypatch):
 
 def test_benchmark_by_shuffle(spark, monkeypatch):
     rows = [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(60))) for i in range(20)]
-    items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20))), (2, "nothing of the kind")], "item_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20))), (2, "nothing of the kind"), (3, "w5 w6"), (4, "w30")], "item_id long, text string")
     df = spark.createDataFrame(rows, DOCS)
     want = sorted(tuple(r) for r in op10_decontam.overlaps(df, items).collect())
     monkeypatch.setattr(op10_decontam, "BROADCAST_WORDS", 0)

@@ -181,6 +181,13 @@ def test_hot_group_whose_first_ids_are_edited_most(spark):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(i, 0, i == 0) for i in range(161)]
 
 
+def test_rows_of_one_id_in_several_classes(spark):
+    """A shared id connects its classes, whichever of them holds the smallest id."""
+    for rows in ([(3, "b b2 b3"), (5, "b b2 b3"), (5, "a a2 a3")], [(9, "x x1"), (2, "x x1"), (9, "y y1"), (9, "z z1"), (4, "z z1"), (None, "y y1"), (7, "q q1")]):
+        got = op7_minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 2, 80).collect()
+        assert sorted((tuple(r) for r in got), key=str) == groups(rows, 2, 80)
+
+
 def test_near_duplicates_in_a_mixed_corpus(spark):
     rows = corpus(5) + [(900, "One"), (901, "one"), (902, "ONE two"), (903, " \n ")]
     got = op7_minhash.near_duplicates(frame(spark, rows), 2, 80).collect()
@@ -210,6 +217,22 @@ def test_top_k(spark):
     assert op8_topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("largest", [1, 10**6, 10**8, 4 * 10**8])
+def test_shard_search_against_brute_force(largest):
+    """Later shards are pruned by the floors of earlier ones; sums of any size are exact."""
+    rng = np.random.default_rng(largest % 97)
+    m = rng.integers(-largest, largest + 1, (300, 40)) * rng.choice([0, 1, 1, 3], (300, 1))
+    queries, ids = m[:7], np.arange(300)
+    floors, best = np.full(7, float("-inf")), [[] for _ in range(7)]
+    for a, b in ((0, 40), (40, 300)):
+        for j, found, score in op8_topk.Shard(ids[a:b], m[a:b]).search(ids[:7], queries, 5, floors):
+            best[j] = sorted(best[j] + [(-int(s), int(i)) for i, s in zip(found, score, strict=True)])[:5]
+            floors[j] = -best[j][-1][0]
+    for j in range(7):
+        want = sorted((-sum(int(x) * int(y) for x, y in zip(queries[j], m[i], strict=True)), i) for i in range(300) if i != j)[:5]
+        assert best[j] == want
+
+
 def test_masks_hit_every_window_with_two_substitutions():
     from itertools import combinations
 
@@ -221,7 +244,7 @@ def test_decontamination(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)]
     item = [rng.choice(words) for _ in range(30)]
-    items = [(1, " ".join(item)), (2, "too short an item"), (3, "a b c d e f g h"), (None, "x"), (5, None), (1, " ".join(item))]
+    items = [(1, " ".join(item)), (2, "too short an item"), (3, "a b c d e f g h"), (None, "x"), (5, None), (1, " ".join(item)), (6, "Solo"), (7, "two words"), (8, "")]
 
     def doc(change, cut=30):
         w = list(item[:cut])
@@ -229,15 +252,17 @@ def test_decontamination(spark):
             w[i] = "zz"
         return " ".join(rng.choice(words) for _ in range(50)) + ". " + ", ".join(w).upper() + " " + " ".join(rng.choice(words) for _ in range(20))
 
-    rows = [(1, doc([])), (2, doc([3, 9, 15, 21, 27])), (3, doc(range(0, 30, 3))), (4, doc([], 13)), (5, doc([], 10)), (6, None), (7, ""), (8, "q A b c d e f g H q"), (1, doc([]))]
+    rows = [(1, doc([])), (2, doc([3, 9, 15, 21, 27])), (3, doc(range(0, 30, 3))), (4, doc([], 13)), (5, doc([], 10)), (6, None), (7, ""), (8, "q A b c d e f g H q"), (1, doc([])), (10, "x solo"), (11, "two, WORDS and two words"), (12, "two other words"), (13, "solo"), (14, "this is too short an item " * 3000)]
     got = {(r.doc_id, r.item_id) for r in op10_decontam.overlaps(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
 
     def overlaps(text, words_of):
         d, n = re.findall(r"[^\W_]+", text.lower()), min(len(words_of), 13)
         return any(sum(d[s + i] == words_of[k + i] for i in range(n)) >= (11 if len(words_of) >= 13 else n) for k in range(len(words_of) - n + 1) for s in range(len(d) - n + 1))
 
-    want = {(i, k) for i, t in rows if t for k, w in ((1, item), (3, list("abcdefgh"))) if overlaps(t, w)}
-    assert got == want and {(1, 1), (2, 1), (4, 1), (8, 3)} <= got
+    want = {(i, k) for i, t in rows if t for k, w in ((1, item), (2, ["too", "short", "an", "item"]), (3, list("abcdefgh")), (6, ["solo"]), (7, ["two", "words"])) if overlaps(t, w)}
+    assert got == want and {(1, 1), (2, 1), (4, 1), (8, 3), (10, 6), (11, 7), (13, 6), (14, 2)} <= got
+    assert op10_decontam.overlaps(frame(spark, rows).limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert op10_decontam.overlaps(frame(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
     left = op10_decontam.clean(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {i for i, _ in want} and "score" in left.columns
 
@@ -276,6 +301,42 @@ def test_pii_field_adds_and_base_stays(spark):
     assert op4_pii.find(frame(spark, rows).limit(0), op4_pii.train(frame(spark, rows).limit(0))).count() == 0
 
 
+def segmentations(group):
+    """All sets of candidates that do not overlap, in order of place."""
+    if not group:
+        return [[]]
+    first, rest = group[0], group[1:]
+    return segmentations(rest) + [[first, *x] for x in segmentations([c for c in rest if c[0] >= first[1] or c[1] <= first[0]])]
+
+
+def test_segmentation_against_enumeration():
+    """best() is the segmentation of highest score and expected() the mean over all of them."""
+    rng = random.Random(4)
+    text = "call 555-123-4567 or 4111 1111 1111 1111 now, mail joe at mail dot com 10.1.2.3 99"
+    groups_ = [g for g in op4_pii.clusters(text) if len(g) <= 14] + [op4_pii.clusters("12 345 678 901")[0]]
+    assert any(len(g) > 3 for g in groups_)
+    for g in groups_:
+        field = op4_pii.Field()
+        field.w[:] = np.array([[rng.gauss(0, 1) for _ in range(op4_pii.N_FEATURES)] for _ in range(4)])
+        field.t[:] = np.array([[rng.gauss(0, 1) for _ in range(4)] for _ in range(5)])
+        source = text if all(c[1] <= len(text) and any(c in x for x in op4_pii.clusters(text)) for c in g) else "12 345 678 901"
+        ways = {tuple(sorted(x)) for x in segmentations(sorted(g))}
+
+        def value(way, field=field, source=source):
+            last, total = 4, 0.0
+            for c in way:
+                total += field.score(source, c) + field.t[last, c[2]]
+                last = c[2]
+            return total
+
+        best = max(ways, key=value)
+        assert abs(value(tuple(field.best(source, g))) - value(best)) < 1e-9
+        z = sum(np.exp(value(w)) for w in ways)
+        p, _ = field.expected(g, [op4_pii.features(source, *c) for c in g])
+        for i, c in enumerate(g):
+            assert abs(p[i] - sum(np.exp(value(w)) for w in ways if c in w) / z) < 1e-9
+
+
 def test_packing(spark):
     rng = random.Random(6)
     rows = [(i, " ".join("w" for _ in range(rng.randrange(0, 300))) + f" u{i % 50}", rng.choice(["hot", "hot", f"s{i % 9}", None])) for i in range(200)]
