@@ -31,11 +31,9 @@ from . import common
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_SPAN, MAX_PIECES = 64, 8
-#: Documents at most from which training segments are taken.
-FIT_DOCS = 8_000
-FIT_CLUSTERS, EPOCHS = 1_500, 6
-#: Candidates at most of a group that takes part in training (finding has no such bound).
-FIT_GROUP = 64
+#: The training sample: documents at most from which segments are taken, and segments at most; those with the smallest hashes.
+FIT_DOCS, FIT_CLUSTERS = 8_000, 1_500
+EPOCHS = 6
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -104,7 +102,8 @@ _AT = re.compile(
     r"[A-Za-z0-9._%+-]{1,40}(?:@|\x20?[(\[]at[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]{1,30}(?:(?:\.|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,30}){1,4}",
     re.IGNORECASE,
 )
-_HINT = re.compile(r"[(\[](?:at|dot)[)\]]|\x20dot\x20", re.IGNORECASE)
+#: What every match of _AT holds.
+_HINT = re.compile(r"@|[(\[]at[)\]]|\x20at\x20", re.IGNORECASE)
 #: Words before a span that name its kind.
 _NAMES = (("mail", "email", "contact", "write"), ("ip", "host", "server", "address"), ("card", "visa", "credit", "cc", "mastercard"), ("phone", "tel", "call", "fax", "mobile", "telephone"))
 _SHAPES = ("3-3-4", "1-3-3-4", "4-4-4-4", "4-6-5", "2-2-2-2-2", "3-4", "2-3-3-4", "2-4-4", "4-2-2", "2-2-4")
@@ -221,17 +220,21 @@ class Field:
         to = [bisect_left(ends, c[1]) + 1 for c in group]
         s = [float(self.w[c[2], f].sum()) for c, f in zip(group, on, strict=True)]
         fwd, back = np.full((n + 1, 5), -np.inf), np.zeros((n + 1, 5))
+        ending: list[list[int]] = [[] for _ in range(n + 1)]
+        starting: list[list[int]] = [[] for _ in range(n + 1)]
+        for i in range(len(group)):
+            ending[to[i]].append(i), starting[at[i]].append(i)
         fwd[0, 4] = 0
         for j in range(1, n + 1):
             fwd[j] = fwd[j - 1]
-            for i, c in enumerate(group):
-                if to[i] == j:
-                    fwd[j, c[2]] = np.logaddexp(fwd[j, c[2]], np.logaddexp.reduce(fwd[at[i]] + self.t[:, c[2]]) + s[i])
+            for i in ending[j]:
+                k = group[i][2]
+                fwd[j, k] = np.logaddexp(fwd[j, k], np.logaddexp.reduce(fwd[at[i]] + self.t[:, k]) + s[i])
         for j in range(n - 1, -1, -1):
             back[j] = back[j + 1]
-            for i, c in enumerate(group):
-                if at[i] == j:
-                    back[j] = np.logaddexp(back[j], self.t[:, c[2]] + s[i] + back[to[i], c[2]])
+            for i in starting[j]:
+                k = group[i][2]
+                back[j] = np.logaddexp(back[j], self.t[:, k] + s[i] + back[to[i], k])
         z = np.logaddexp.reduce(fwd[n])
         p, moves = {}, np.zeros((5, 4))
         for i, c in enumerate(group):
@@ -245,8 +248,7 @@ class Field:
         data = []
         for text, gold in examples:
             for g in clusters(text):
-                if len(g) <= FIT_GROUP:
-                    data.append((g, [features(text, *c) for c in g], [i for i, c in enumerate(g) if c in gold]))
+                data.append((g, [features(text, *c) for c in g], [i for i, c in enumerate(g) if c in gold]))
         rng, gw, gt = random.Random(seed), np.full_like(self.w, 1e-2), np.full_like(self.t, 1e-2)
         for _ in range(epochs):
             rng.shuffle(data)
@@ -313,8 +315,8 @@ def generated(rng: random.Random, n: int = 150) -> list[tuple[str, set]]:
     return out
 
 
-def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
-    """Field from at most ``fit_docs`` of docs (doc_id, text), those with the smallest hash of the id."""
+def train(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_clusters: int = FIT_CLUSTERS) -> Field:
+    """Field from ``fit_clusters`` segments at most of ``fit_docs`` at most of docs (doc_id, text), those with the smallest hashes."""
     ids = common.label_sample(docs.select("doc_id").where("doc_id is not null").distinct(), fit_docs)
 
     def run(batches):
@@ -323,9 +325,9 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
             for text in b.column(0).to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                near = [(text[max(0, s - 30) : e + 20], s - max(0, s - 30), e - max(0, s - 30), k) for k, s, e in base[:8]]
+                near = [(text[max(0, s - 30) : e + 20], s - max(0, s - 30), e - max(0, s - 30), k) for k, s, e in base]
                 taken = [(s, e) for _, s, e in base]
-                for g in clusters(text)[:8]:
+                for g in clusters(text):
                     s, e = g[0][0], max(c[1] for c in g)
                     if not any(a < e and s < z for a, z in taken):
                         near.append((text[max(0, s - 30) : e + 20], 0, 0, -1))
@@ -334,7 +336,7 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int32()) for c in cols[1:])], names=["near", "s", "e", "kind"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").mapInArrow(run, "near string, s int, e int, kind int")
-    rows = rows.orderBy(F.xxhash64("near", "kind"), "near", "s").limit(FIT_CLUSTERS).collect()
+    rows = rows.orderBy(F.xxhash64("near", "kind"), "near", "s").limit(fit_clusters).collect()
     rng = random.Random(11)
     examples = generated(rng)
     for r in rows:

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from . import common
 
 DIM = 512
-#: Languages whose prototypes (DIM doubles each) are held at once.
+#: Languages whose prototypes (DIM doubles each) are held at once; a column with more values is no language column and is refused.
 MAX_LANGUAGES = 4096
+#: Letters of a text that are worked on at once.
 PIECE = 1 << 19
 
 
@@ -39,17 +40,17 @@ def _letters() -> np.ndarray:
 
 def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct letter trigrams (three 21-bit code points) of a text, blanks around words, and counts."""
-    is_letter, found = _letters(), []
-    for at in range(0, len(text), PIECE):
-        piece = text[max(0, at - 2) : at + PIECE].lower()
-        code = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        code = np.where(is_letter[code], code, 32)
-        code = np.concatenate(([32] if at == 0 else [], code, [32])).astype(np.int64)
-        code = code[np.concatenate(([True], (code[1:] != 32) | (code[:-1] != 32)))]
+    is_letter, text = _letters(), text.lower()
+    kept, seen = np.full(1, 32, np.int64), []
+    for at in range(0, max(1, len(text)), PIECE):
+        code = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code = np.concatenate((kept, np.where(is_letter[code], code, 32), [32] if at + PIECE >= len(text) else []))
+        code = code[np.concatenate(([True], (code[1:] != 32) | (code[:-1] != 32)))].astype(np.int64)
         gram = (code[:-2] << 42) | (code[1:-1] << 21) | code[2:]
-        found.append(gram[code[1:-1] != 32])
-    gram, n = np.unique(np.concatenate(found), return_counts=True)
-    return gram, n
+        seen.append(np.unique(gram[code[1:-1] != 32], return_counts=True))
+        kept = code[-2:]  # the next piece goes on from here
+    gram, of = np.unique(np.concatenate([g for g, _ in seen]), return_inverse=True)
+    return gram, np.bincount(of, np.concatenate([n for _, n in seen]), len(gram)).astype(np.int64)
 
 
 def _letter_vectors(codes: np.ndarray, dim: int) -> np.ndarray:
