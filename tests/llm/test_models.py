@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerline.llm import op2_quality, op5_toxicity, op9_langid
@@ -34,13 +35,41 @@ def test_language(spark):
     assert op9_langid.predict(df.limit(0), op9_langid.profiles(df.limit(0))).count() == 0
 
 
-def test_a_long_text_in_pieces_has_the_same_letters(monkeypatch):
-    text = texts(random.Random(2), "fr", 400)
-    whole = op9_langid._grams(text)
-    monkeypatch.setattr(op9_langid, "PIECE", 97)
-    parts = op9_langid._grams(text)
-    common = np.intersect1d(whole[0], parts[0])
-    assert len(common) >= 0.9 * len(whole[0])
+@pytest.mark.parametrize("piece", [1, 2, 97])
+def test_a_long_text_in_pieces_has_the_same_letters(monkeypatch, piece):
+    for text in (texts(random.Random(2), "fr", 400), "a", "  x  ", "ab1c", "", "É è\n\nO"):
+        whole = op9_langid._grams(text)
+        with monkeypatch.context() as m:
+            m.setattr(op9_langid, "PIECE", piece)
+            parts = op9_langid._grams(text)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, parts, strict=True))
+
+
+def test_language_against_naive_cosines(spark):
+    """Prototypes and cosines by definition: bound letters, bundled trigrams, the mean taken from both sides."""
+    rng = random.Random(8)
+    rows = [(i, texts(rng, k, rng.randrange(3, 20)), k) for i, k in enumerate(list(LETTERS) * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def bundle(text):
+        total = np.zeros(op9_langid.DIM)
+        words = text.lower().split()
+        for w in words:
+            padded = f" {w} "
+            for i in range(len(w)):
+                a, b, c = (op9_langid._letter_vectors(np.array([ord(x)]), op9_langid.DIM)[0].astype(float) for x in padded[i : i + 3])
+                total += np.roll(a, 2) * np.roll(b, 1) * c
+        return total / np.linalg.norm(total)
+
+    sums = {k: sum(bundle(t) for _, t, lang in rows if lang == k) for k in LETTERS}
+    names = sorted(sums)
+    p = np.stack([sums[k] / np.linalg.norm(sums[k]) for k in names])
+    mean = p.mean(axis=0)
+    p = p - mean
+    for r in op9_langid.predict(df, op9_langid.profiles(df), keep=("doc_id", "text")).collect():
+        v = bundle(r.text) - mean
+        cos = p @ v / np.linalg.norm(p, axis=1) / np.linalg.norm(v)
+        assert r.lang_pred == names[int(np.argmax(cos))] and abs(r.score - (0.5 + cos.max() / 2)) < 1e-4
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +102,87 @@ def test_toxicity(spark, toxic):
     assert op5_toxicity.score(df.limit(0), model, curve).count() == 0
 
 
+def naive_kneser_ney(rows):
+    """Log ratios by definition: {(before, word): (whole, continuation)} of rows (words, class)."""
+    import math
+    from collections import Counter
+
+    pair = [Counter(), Counter()]
+    for words, y in rows:
+        pair[y].update(zip(["^", *words], words, strict=False))
+    near = [Counter(w for _, w in pair[y]) for y in (0, 1)]
+    history = [Counter() for _ in (0, 1)]
+    for y in (0, 1):
+        for (v, _), n in pair[y].items():
+            history[y][v] += n
+    kept = [k for k in pair[1] if pair[0][k] + pair[1][k] > 1]
+    words = {w for w in near[0] | near[1]} | set(history[0] | history[1])
+    size = sum(near[0].values()) + sum(near[1].values())
+
+    def discount(c):
+        one, two = sum(n == 1 for n in c), sum(n == 2 for n in c)
+        return one / (one + 2 * two) if one else 0.5
+
+    d = [discount(near[y].values()) for y in (0, 1)]
+    top_d = [discount([pair[y][k] for k in kept]) for y in (0, 1)]
+    left = [d[y] * len(near[y]) / sum(near[y].values()) for y in (0, 1)]
+
+    def low(y, w):
+        shared = (near[0][w] + near[1][w] + 0.5) / (size + 0.5 * len(words))
+        return max(near[y][w] - d[y], 0) / sum(near[y].values()) + left[y] * shared
+
+    def top(y, v, w):
+        return max(pair[y][v, w] - top_d[y], 0) / max(1, history[y][v]) if (v, w) in kept else 0
+
+    used = [Counter() for _ in (0, 1)]
+    for y in (0, 1):
+        for v, w in kept:
+            used[y][v] += top(y, v, w)
+    out = {}
+    for v, w in pair[0] | pair[1]:
+        x = math.log(low(1, w) / low(0, w)) if near[0][w] + near[1][w] > 1 else math.log(left[1] / left[0])
+        l = [1 - used[y][v] for y in (0, 1)]
+        whole = math.log((top(1, v, w) + l[1] * low(1, w)) / (top(0, v, w) + l[0] * low(0, w))) if (v, w) in kept else x + math.log(l[1] / l[0])
+        out[v, w] = whole, x
+    return out
+
+
+def test_kneser_ney_against_its_definition(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        y = i % 2
+        rows.append((i, " ".join(rng.choice("abcdefgh" + ("xyz" if y else "mno")) * rng.randrange(1, 3) for _ in range(rng.randrange(1, 25))), y))
+    df = spark.createDataFrame([(t, y, 0) for _, t, y in rows], "text string, toxic int, fold int")
+    tables = op5_toxicity.fit(op5_toxicity.counts(df))
+    model = op5_toxicity.Model(tables, (0,))
+    want = naive_kneser_ney([(t.split(), y) for _, t, y in rows])
+    column = pa.array([t for _, t, _ in rows])
+    for _, _, h, row in op5_toxicity._words(column):
+        whole, x = model.ratios(h, row)
+    at = 0
+    for _, t, _ in rows:
+        words = t.split()
+        for v, w in zip(["^", *words], words, strict=False):
+            assert np.allclose((whole[at], x[at]), want[v, w], atol=1e-5)
+            at += 1
+    assert at == len(whole)
+    # beyond the broadcast bound the tokens are joined with the same entries
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(90, None), (91, ""), (91, rows[3][1]), (None, rows[4][1])], "doc_id long, text string")
+    for r in op5_toxicity._joined_features(docs, tables, 0, "text", ("doc_id", "text")).collect():
+        assert np.allclose(r.x, model.features(pa.array([r.text], pa.string()))[0], atol=1e-5)
+
+
+def test_toxicity_beyond_the_broadcast(spark, toxic):
+    df, labels = toxic
+    y = spark.createDataFrame([x for x in labels if x[0] % 5], "doc_id long, toxic int")
+    got = []
+    for bound in (op5_toxicity.BROADCAST, 0):
+        model, curve = op5_toxicity.train(df, y, broadcast=bound)
+        got.append(sorted((str(r.doc_id), round(r.score, 3)) for r in op5_toxicity.score(df, model, curve).collect()))
+    assert got[0] == got[1]
+
+
 def test_quality(spark):
     rng = random.Random(4)
     rows, labels = [], []
