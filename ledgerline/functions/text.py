@@ -78,22 +78,26 @@ def page_routes(s: str) -> Column:
     )
 
 
-NUMBER_TOKEN = r"[-+]?\d(?:[\d,]*\d)?(?:\.\d+)?"
-EVIDENCE = rf"\+/-|<=|>=|[<>≤≥±%=£$€]|{NUMBER_TOKEN}|\p{{L}}+(?:['’]\p{{L}}+)?"
+NUMBER_TOKEN = r"(?<![\w.])[+\-−]?(?:\d{1,3}(?:,\s*\d{3})+(?:\.\s*\d+)?|\d+\.\s*\d+|\.\s*\d+|\d+)(?!\w|\.\s*\d)"
+EVIDENCE = rf"(?U)(\+/-|<=|>=|[<>≤≥±%=£$€]|{NUMBER_TOKEN}|\p{{L}}+(?:['’]\p{{L}}+)?)"
 
 
 def evidence_tokens(text) -> Column:
-    """Array of tokens that carry meaning: signs, canonical numbers, words; layout and punctuation are dropped."""
+    """Array of tokens that carry meaning: signs, canonical numbers, words; layout and punctuation are dropped.
+
+    A number keeps its point and its sign, whatever blanks a scan put after its punctuation.
+    """
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
     def name(x: Column) -> Column:
-        number = F.replace(x, F.lit(","))
+        number = F.regexp_replace(F.replace(x, F.lit("−"), F.lit("-")), r"[\s,]", "")
         number = F.when(number.contains("."), F.regexp_replace(number, r"\.?0+$", "")).otherwise(number)
-        number = F.regexp_replace(F.regexp_replace(number, r"^([-+]?)0+(?=\d)", "$1"), "^-0$", "0")
+        number = F.regexp_replace(number, r"^([-+]?)0*(?=\d)", "$1")
+        number = F.regexp_replace(F.regexp_replace(number, r"^([-+]?)(?=\.|$)", "${1}0"), r"^-0$", "0")
         sign = F.when(x == "≤", "<=").when(x == "≥", ">=").when(x == "+/-", "±").otherwise(x)
         return F.when(x.rlike(r"\d"), F.concat(F.lit("number:"), number)).when(x.rlike(r"^\p{L}"), F.concat(F.lit("word:"), F.lower(F.replace(x, F.lit("’"), F.lit("'"))))).otherwise(F.concat(F.lit("semantic:"), sign))
 
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({EVIDENCE})"), F.lit(1)), name)
+    return F.transform(F.regexp_extract_all(text, F.lit(EVIDENCE), F.lit(1)), name)
 
 
 def contains_run(page_tokens, quote_tokens) -> Column:
@@ -114,13 +118,20 @@ def has_prose(tokens) -> Column:
     return F.exists(tokens, lambda t: t.startswith("word:"))
 
 
+def repaired_digits(text) -> Column:
+    """Text with letters that a scan took for digits put right, inside runs that hold a digit (up to 40 characters of such letters on either side)."""
+    text = F.col(text) if isinstance(text, str) else text
+    beside = lambda letters: rf"(?<=[0-9][IlO|]{{0,40}})[{letters}]|[{letters}](?=[IlO|]{{0,40}}[0-9])"
+    return F.regexp_replace(F.regexp_replace(text, beside("Il|"), "1"), beside("O"), "0")
+
+
 def numbers_in(text) -> Column:
-    """Array of the numbers a text states, thousands, millions and billions scaled."""
+    """Array of the numbers a text states; before thousand, million or billion also the scaled one."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    found = F.regexp_extract_all(text, F.lit(r"(?i)(-?\d[\d,]*(?:\.\d+)?(?:\s*(?:thousand|million|billion)\b)?)"), F.lit(1))
-    value = lambda x: F.regexp_replace(F.regexp_extract(x, r"-?\d[\d,]*(?:\.\d+)?", 0), ",", "").try_cast("double")
-    scale = lambda x: F.when(F.lower(x).contains("thousand"), 1e3).when(F.lower(x).contains("million"), 1e6).when(F.lower(x).contains("billion"), 1e9).otherwise(1.0)
-    return F.transform(found, lambda x: value(x) * scale(x))
+    found = F.regexp_extract_all(text, F.lit(rf"(?iU)({NUMBER_TOKEN}(?:\s*(?:thousand|million|billion)s?\b)?)"), F.lit(1))
+    value = lambda x: F.regexp_replace(F.replace(F.regexp_extract(x, r"^[^a-zA-Z]+", 0), F.lit("−"), F.lit("-")), r"[\s,]", "").try_cast("double")
+    scale = lambda x: F.when(x.rlike("(?i)thousand"), 1e3).when(x.rlike("(?i)million"), 1e6).when(x.rlike("(?i)billion"), 1e9)
+    return F.flatten(F.transform(found, lambda x: F.array_compact(F.array(value(x), value(x) * scale(x)))))
 
 
 def language_codes(raw) -> Column:
@@ -162,13 +173,6 @@ def lenient_number(text) -> Column:
     return F.nullif(F.regexp_extract(F.regexp_replace(text, r"[,$\s]", ""), r"-?\d+(\.\d+)?", 0), F.lit("")).try_cast("double")
 
 
-def facility_key(facility) -> Column:
-    """Grouping form of a plant's name: spacing, case and generic endings folded."""
-    t = F.btrim(F.regexp_replace(F.lower(F.coalesce(F.col(facility) if isinstance(facility, str) else facility, F.lit(""))), r"[^a-z0-9]+", " "))
-    t = F.regexp_replace(t, r"^(city|town|village|township) of ", "")
-    return F.trim(F.regexp_replace(t, r" (water pollution control|sewage treatment|water treatment|wastewater treatment) plant$", ""))
-
-
 def watercourse(station) -> Column:
     """River of a gauge's name, its place dropped; null without a word for water."""
     t = F.upper(F.trim(F.col(station) if isinstance(station, str) else station))

@@ -2,57 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions import quotes
 from ledgerline.functions import text as T
 
+#: Tokens of a seed, for passages that have so many; shorter ones are sought by all their tokens.
+WIDTHS = (8, 4, 3, 2, 1)
 
-def containing(passages: DataFrame, pages: DataFrame, seed: int = 4) -> DataFrame:
+
+def containing(passages: DataFrame, pages: DataFrame) -> DataFrame:
     """(passage_id, page_id) where a page holds a passage (passage_id, text) as one run of evidence tokens.
 
-    Candidates share the hash of a run of ``seed`` tokens with the passage's first
-    ones, so pages are exploded once and joined by equality; the run is then verified.
-    Shorter passages are sought by all their tokens, pages exploded once for each such
-    length that there is; passages without tokens are on no page.
+    A passage is sought by one run of its tokens, the longest of WIDTHS that it has
+    and of those the one with the least hash, so that common openings are no keys.
+    Only (page, hash) is joined; token arrays meet for the pairs that this leaves.
     """
-    p = passages.select("passage_id", T.evidence_tokens("text").alias("q"))
-    short = [r[0] for r in p.select(F.size("q")).where(F.size("q").between(1, seed - 1)).distinct().collect()]
-    found = _with_seed(p.where(F.size("q") >= seed), pages, seed)
-    for n in sorted(short):
-        found = found.unionByName(_with_seed(p.where(F.size("q") == n), pages, n))
-    return found.distinct()
-
-
-def _with_seed(p: DataFrame, pages: DataFrame, seed: int) -> DataFrame:
-    """(passage_id, page_id) of passages (passage_id, q) of at least ``seed`` tokens."""
-    p = p.withColumn("h", F.xxhash64(*(F.get("q", F.lit(i)) for i in range(seed))))
-    d = pages.select("page_id", T.evidence_tokens("text").alias("t")).where(F.size("t") >= seed)
-    d = d.select("page_id", "t", F.explode(F.sequence(F.lit(0), F.size("t") - seed)).alias("i"))
-    d = d.select("page_id", "t", "i", F.xxhash64(*(F.get("t", F.col("i") + k) for k in range(seed))).alias("h"))
-    x = d.join(p, "h").where((F.slice("t", F.col("i") + 1, F.size("q")) == F.col("q")))
-    sign = lambda at: F.coalesce(F.get("t", at).startswith("semantic:"), F.lit(False))
-    beside = F.when(F.col("i") > 0, sign(F.greatest(F.col("i") - 1, F.lit(0)))).otherwise(F.lit(False)) | sign(F.col("i") + F.size("q"))
-    return x.where(~beside).select("passage_id", "page_id")
+    p = passages.select("passage_id", T.evidence_tokens("text").alias("q")).where(F.size("q") > 0)
+    width = F.coalesce(*(F.when(F.size("q") >= w, w) for w in WIDTHS))
+
+    def runs(tokens: str, w: int) -> Column:
+        """Hashes of all runs of w tokens."""
+        return F.transform(F.sequence(F.lit(0), F.size(tokens) - w), lambda i: F.xxhash64(*(F.get(tokens, i + k) for k in range(w))))
+
+    least = F.coalesce(*(F.when(width == w, F.array_min(runs("q", w))) for w in WIDTHS))
+    p = p.withColumn("w", width).withColumn("h", least)
+    tokens = pages.select("page_id", T.evidence_tokens("text").alias("t"))
+    found = None
+    for w in sorted(r[0] for r in p.select("w").distinct().collect()):
+        some = tokens.where(F.size("t") >= w).select("page_id", F.explode(F.array_distinct(runs("t", w))).alias("h"))
+        some = some.join(p.where(F.col("w") == w).select("passage_id", "h"), "h").select("passage_id", "page_id")
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return passages.select("passage_id").join(pages.select("page_id"), F.lit(False))
+    pairs = found.distinct().join(p.select("passage_id", "q"), "passage_id").join(tokens, "page_id")
+    return pairs.where(T.contains_run(F.col("t"), F.col("q"))).select("passage_id", "page_id").distinct()
 
 
 def verdicts(records: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
-    """records (keys, quote, value) with ``state`` and ``why`` from pages (keys, text).
+    """records (keys, quote, value) with ``state``, ``why`` and ``matched`` (the span of the page) from pages (keys, text).
 
-    unsupported: the page is not there; failed: the quote is not on it, is too short
-    to tell, or states another value; unchecked: no value to check; else verified.
+    verified: the sentence is on the page and states the value; unchecked: on the page,
+    without a value to check; unsupported: nothing to check, or too little; failed: the
+    rest.  Readings and claims are judged by this one rule.  Rows leave the join page by
+    page, so a worker tokenises a page once for all that cite it.
     """
-    x = records.join(pages.select(*keys, F.col("text").alias("page_text")), keys, "left")
-    q = T.evidence_tokens("quote")
-    on_page = T.contains_run(T.evidence_tokens("page_text"), q)
-    stated = F.exists(T.numbers_in("quote"), lambda n: n == F.col("value"))
-    why = (
-        F.when(F.col("page_text").isNull(), F.lit("page not available"))
-        .when(~T.has_prose(q), F.lit("quote has no words"))
-        .when(~on_page, F.lit("quote not on page"))
-        .when(F.col("value").isNull() & ~T.distinctive(q), F.lit("quote too short to tell"))
-        .when(F.col("value").isNull(), F.lit("no value to check"))
-        .when(~stated, F.lit("value not in quote"))
-    )
-    state = F.when(F.col("why").isNull(), "verified").when(F.col("why") == "page not available", "unsupported").when(F.col("why") == "no value to check", "unchecked").otherwise("failed")
-    return x.withColumn("why", why).withColumn("state", state).drop("page_text")
+    held = records.columns
+    x = records.join(pages.select(*keys, F.col("text").alias("_page")), keys, "left")
+    names = [*held, "state", "why", "matched"]
+    schema = records.schema.add("state", "string").add("why", "string").add("matched", "string")
+    cited = F.lit(True)
+    for k in keys:
+        cited = cited & F.col(k).isNotNull()
+    x = x.select(*(F.col(c) for c in held), F.when(cited & (F.coalesce("quote", F.lit("")) != ""), F.col("quote")).alias("_quote"), F.col("value").cast("double").alias("_value"), "_page")
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for quote, value, page in zip(f["_quote"], f["_value"], f["_page"], strict=True):
+                if quote is None:
+                    out.append(("unsupported", "no page or no quoted sentence -- nothing to check", None))
+                else:
+                    out.append(quotes.judge(quote, None if pd.isna(value) else float(value), page))
+            told = pd.DataFrame(out, columns=["state", "why", "matched"], index=f.index)
+            yield pd.concat([f[held], told], axis=1)[names]
+
+    return x.mapInPandas(run, schema)
+
+
+def value_state(value, quote) -> Column:
+    """Struct of state (ok, unchecked, failed) and why: whether a sentence states a value."""
+
+    def run(v: pd.Series, q: pd.Series) -> pd.DataFrame:
+        rows = [quotes.value_in_quote(None if pd.isna(a) else float(a), b or "") for a, b in zip(v, q, strict=True)]
+        return pd.DataFrame(rows, columns=["state", "why"])
+
+    return F.pandas_udf(run, "state string, why string")(value, quote)
+
+
+def grounded_condition(condition, quote) -> Column:
+    """The condition if its words stand in the quoted sentence in a row, else null."""
+    condition = F.col(condition) if isinstance(condition, str) else condition
+    quote = F.col(quote) if isinstance(quote, str) else quote
+    mark = F.lit(chr(31))
+    flat = lambda c: F.concat(mark, F.array_join(T.evidence_tokens(c), chr(31)), mark)
+    return F.when((F.size(T.evidence_tokens(condition)) > 0) & flat(quote).contains(flat(condition)), condition)
+
+
+def unit_holds_count(unit) -> Column:
+    """Whether a unit field carries a number that no letter leads, such as ``3 pumps``."""
+    return F.coalesce((F.col(unit) if isinstance(unit, str) else unit).rlike(r"(?<![A-Za-z])\d"), F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,29 +18,40 @@ def values_match(a, b, rel: float = 0.01) -> Column:
 def greedy_match(gold: DataFrame, got: DataFrame, keys: list[str], rel: float = 0.01) -> DataFrame:
     """One-to-one matches in the order of the key: first with readings of the same kind, then with any: keys, gold_ord, got_ord.
 
-    The order is part of the meaning, so a page is matched in one grouped call.
+    The order is part of the meaning, so a page is matched in one grouped call.  Only
+    readings whose values can agree are looked at: they lie together in value order.
     """
     types = {f.name: f.dataType.simpleString() for f in gold.schema.fields}
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", gold_ord long, got_ord long"
-
-    def near(a, b) -> bool:
-        if pd.isna(a) or pd.isna(b):
-            return pd.isna(a) and pd.isna(b)
-        return abs(a - b) <= rel * max(abs(a), abs(b))
+    names = [*keys, "gold_ord", "got_ord"]
 
     def one(g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out, taken, done = [], set(), set()
-        g, r = g.sort_values("ord"), r.sort_values("ord")
+        if g.empty or r.empty:
+            return pd.DataFrame({n: [] for n in names})
+        g = g.sort_values("ord", kind="stable")
+        # candidates by unit (a missing unit agrees with a missing one), in the order of their values; missing values apart
+        lists: dict = {}
+        for unit, value, kind, ord_ in zip(r["unit"], r["value"], r["kind"], r["ord"], strict=True):
+            none = pd.isna(value)
+            lists.setdefault((None if pd.isna(unit) else unit, none), []).append((0.0 if none else float(value), int(ord_), kind))
+        for found in lists.values():
+            found.sort(key=lambda x: x[:2])
+        taken, matched = set(), {}
         for same_kind in (True, False):
-            for a in g.itertuples(index=False):
-                if a.ord in done:
+            for unit, value, kind, ord_ in zip(g["unit"], g["value"], g["kind"], g["ord"], strict=True):
+                if int(ord_) in matched:
                     continue
-                for b in r.itertuples(index=False):
-                    if b.ord not in taken and near(a.value, b.value) and a.unit == b.unit and (not same_kind or a.kind == b.kind):
-                        taken.add(b.ord), done.add(a.ord)
-                        out.append([*(getattr(a, k) for k in keys), a.ord, b.ord])
-                        break
-        return pd.DataFrame(out, columns=[*keys, "gold_ord", "got_ord"])
+                none = pd.isna(value)
+                found = lists.get((None if pd.isna(unit) else unit, none), [])
+                v = 0.0 if none else float(value)
+                reach = rel * abs(v) / (1 - rel) * (1 + 1e-9)
+                near = found[bisect_left(found, (v - reach,)) : bisect_right(found, (v + reach, float("inf")))]
+                fits = [o for w, o, k in near if o not in taken and abs(v - w) <= rel * max(abs(v), abs(w)) and (not same_kind or k == kind)]
+                if fits:
+                    matched[int(ord_)] = min(fits)
+                    taken.add(min(fits))
+        rows = [(*(g[k].iloc[0] for k in keys), a, b) for a, b in matched.items()]
+        return pd.DataFrame(rows, columns=names)
 
     return gold.groupBy(*keys).cogroup(got.groupBy(*keys)).applyInPandas(one, schema)
 

@@ -130,19 +130,22 @@ def suspects(points: DataFrame, keys: Keys) -> DataFrame:
 
 
 def majority_unit(readings: DataFrame, keys: Keys, unit: str = "unit", ord_: str = "ord", era: str | None = None, flow: str | None = None) -> DataFrame:
-    """Each reading with its parsed unit, the base unit that most of its series has (ties: the first seen) and its refusal, if any.
+    """Each reading with ``parsed_unit``, ``series_unit`` (the base unit that most of its series has, ties: the first seen) and ``rejected``, its refusal, if any.
 
     Distinct units are parsed once and joined back.
     """
     given = [unit, *(x for x in (era, flow) if x)]
-    parsed = readings.select(*(F.col(g).alias(f"_{g}") for g in given)).distinct().withColumn("q", parse_unit(*(f"_{g}" if g else None for g in (unit, era, flow))))
-    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in given]
-    x = readings.join(parsed, same, "left").drop(*(f"_{g}" for g in given)).withColumn("base", F.col("q.base"))
-    vote = x.where("base is not null").groupBy(*keys, "base").agg(F.count("*").alias("k"), F.min(ord_).alias("o"))
-    vote = vote.groupBy(*keys).agg(F.min(F.struct((-F.col("k")).alias("k"), "o", "base")).alias("m")).select(*keys, F.col("m.base").alias("series_unit"))
+    hidden = [f"_given{i}" for i in range(len(given))]
+    parsed = readings.select(*(F.col(g).alias(h) for g, h in zip(given, hidden, strict=True))).distinct()
+    known = dict(zip(("unit", "era", "flow") if era and flow else ("unit", "era") if era else ("unit", "flow"), hidden, strict=False))
+    parsed = parsed.withColumn("_q", parse_unit(known["unit"], known.get("era"), known.get("flow")))
+    same = [F.col(g).eqNullSafe(F.col(h)) for g, h in zip(given, hidden, strict=True)]
+    x = readings.join(parsed, same, "left").drop(*hidden).withColumn("_base", F.col("_q.base"))
+    vote = x.where("_base is not null").groupBy(*keys, "_base").agg(F.count("*").alias("_votes"), F.min(ord_).alias("_first"))
+    vote = vote.groupBy(*keys).agg(F.min(F.struct((-F.col("_votes")).alias("_votes"), "_first", "_base")).alias("_best")).select(*keys, F.col("_best._base").alias("series_unit"))
     x = x.join(vote, keys, "left")
-    why = F.when(F.col("base").isNull(), F.concat(F.lit("unrecognised unit "), F.coalesce(F.col(unit), F.lit("none")))).when(F.col("base") != F.col("series_unit"), F.concat(F.col("base"), F.lit(" ("), F.col("q.dimension"), F.lit(") is not comparable with the series unit "), F.col("series_unit")))
-    return x.withColumn("rejected", why)
+    why = F.when(F.col("_base").isNull(), F.concat(F.lit("unrecognised unit "), F.coalesce(F.col(unit), F.lit("none")))).when(F.col("_base") != F.col("series_unit"), F.concat(F.col("_base"), F.lit(" ("), F.col("_q.dimension"), F.lit(") is not comparable with the series unit "), F.col("series_unit")))
+    return x.withColumn("rejected", why).drop("_base").withColumnRenamed("_q", "parsed_unit")
 
 
 def silence(years: DataFrame, keys: Keys, year: str = "year", horizon: int | None = None) -> DataFrame:

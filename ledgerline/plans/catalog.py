@@ -156,7 +156,7 @@ def unit_comparable(spark, sf_dir):
 @query(f"WITH {UNIT_SQL}, l AS (SELECT l_partkey, {UNIT_OF} AS unit, l_shipdate, l_orderkey, l_linenumber FROM lineitem), x AS (SELECT l.*, base FROM l LEFT JOIN u ON l.unit = u.unit), k AS (SELECT l_partkey, base, count(*) AS k, min((l_shipdate, l_orderkey, l_linenumber)) AS o FROM x WHERE base IS NOT NULL GROUP BY 1, 2), w AS (SELECT l_partkey, base AS series_unit FROM k QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY k DESC, o) = 1) SELECT x.l_partkey AS l_partkey, any_value(series_unit) AS series_unit, count(*) AS n, count(*) FILTER (WHERE base IS NULL) AS unrecognised, count(*) FILTER (WHERE base <> series_unit) AS rejected FROM x LEFT JOIN w ON x.l_partkey = w.l_partkey GROUP BY x.l_partkey")
 def unit_majority_vote(spark, sf_dir):
     x = series.majority_unit(unit_readings(spark, sf_dir), ["l_partkey"])
-    return x.groupBy("l_partkey").agg(F.max("series_unit").alias("series_unit"), F.count("*").alias("n"), F.count_if(F.col("base").isNull()).alias("unrecognised"), F.count_if(F.col("base") != F.col("series_unit")).alias("rejected"))
+    return x.groupBy("l_partkey").agg(F.max("series_unit").alias("series_unit"), F.count("*").alias("n"), F.count_if(F.col("parsed_unit.base").isNull()).alias("unrecognised"), F.count_if(F.col("parsed_unit.base") != F.col("series_unit")).alias("rejected"))
 
 
 READING_SQL = "rk AS (SELECT substr(sha256(concat_ws('|', l_linestatus, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-'), CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 'mg-l', '', l_returnflag, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-'), trim(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '-', 'g'), '-'), CAST(year(l_shipdate) AS VARCHAR), CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))), 1, 20) AS key, l_linestatus AS kind, n_name AS place, c_mktsegment AS facility, p_type AS parameter, l_returnflag AS stream, l_quantity AS value, l_orderkey, l_linenumber, year(l_shipdate) AS yr FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)"

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.parameters import with_parameter
-from ledgerline.functions.text import facility_key
 from ledgerline.operators import series
+from ledgerline.operators.places import facility_key
 
 # The parameters of a story, the years a trend needs, the year before which a record counts as gone quiet.
 STORY = ("bod|removal", "suspended solids|removal", "flow|rate")
@@ -20,11 +20,11 @@ def reading_series(records: DataFrame, kind: str = "observation") -> DataFrame:
     place, key, stream, facility, t, v, c, series_unit: resolved, brought to the base
     unit most readings of the series have, one best reading a year.
     """
-    x = with_parameter(records.where(F.col("kind") == kind)).withColumn("key", F.coalesce("resolved.key", F.lower("parameter"))).withColumn("facility", facility_key("facility")).withColumn("year", F.substring("period", 1, 4).try_cast("int"))
+    x = with_parameter(records.where(F.col("kind") == kind)).withColumn("key", F.coalesce("resolved.key", F.lower("parameter"))).withColumn("facility", facility_key("facility", "place")).withColumn("year", F.substring("period", 1, 4).try_cast("int"))
     flow = F.when(F.col("resolved.substance") == "flow", F.when(F.col("resolved.measure") == "total", "total").otherwise("rate"))
     x = x.withColumn("flow", flow).where("year is not null and value is not null")
     own = ["place", "key", "stream", "facility"]
-    x = series.majority_unit(x, own, era="year", flow="flow").where("rejected is null").withColumn("v", F.col("value") * F.col("q.multiplier"))
+    x = series.majority_unit(x, own, era="year", flow="flow").where("rejected is null").withColumn("v", F.col("value") * F.col("parsed_unit.multiplier"))
     return series.best_reading(x, [*own, "series_unit"], "year", "v", "confidence")
 
 
@@ -41,7 +41,7 @@ def story(points: DataFrame) -> DataFrame:
 
 def town(records: DataFrame) -> DataFrame:
     """One row a place: years, span, counts and the panels (facility, parameter, unit) with their readings."""
-    x = records.withColumn("facility_key", facility_key("facility")).withColumn("year", F.substring("period", 1, 4).try_cast("int"))
+    x = records.withColumn("facility_key", facility_key("facility", "place")).withColumn("year", F.substring("period", 1, 4).try_cast("int"))
     panel = x.groupBy("place", "facility_key", "parameter", "unit").agg(F.count("*").alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
     panels = panel.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("facility_key", "parameter", "unit", "n", "first_year", "last_year"))).alias("panels"))
     head = x.groupBy("place").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("year")).alias("years"), F.count_distinct("identifier").alias("sources"))

