@@ -95,11 +95,34 @@ def test_search_counts_substrings(spark):
     assert [(r.ord, r.score) for r in search.search(x, "water").collect()] == [(1, 3.0), (2, 2.5)]
 
 
-def test_motions():
-    m = decisions.read_page("Moved by Mr. Smith, seconded by Ms. Jones, that it be so. CARRIED.\nYEAS: Mayor A. Brown, Aldermen Cole, Dean -3. NAYS: Evans -1.")
-    assert (m[0]["mover"], m[0]["seconder"], m[0]["outcome"]) == ("Smith", "Jones", "carried")
-    assert [(r["cast"], len(r["people"]), r["stated"]) for r in m[0]["rolls"]] == [("yea", 3, 3), ("nay", 1, 1)]
-    assert decisions.read_page(None) == []
+MINUTES = """Council met 1992 March 4. It was moved by Alderman Smith, and seconded by Ms. Jones, that the
+report be adopted. YEAS: Mayor Morrow, Aldermen Cole, D`Amico -3. NAYS: Evans -1. CARRIED. Re: Rent of the hall Recorded vote
+YEAS: Cole, Evans, Smith. -2. NAYS: -0. Moved by Mr. Cole and seconded by Mr. Evans that it be tabled"""
+
+
+def test_motions(spark):
+    found = decisions.read_page(MINUTES)
+    assert [(m["mover"], m["seconder"], m["outcome"], m["date"]) for m in found] == [("Smith", "Jones", "carried", "1992-Mar-04"), ("", "", "carried", "1992-Mar-04"), ("", "", "tabled", "1992-Mar-04"), ("Cole", "Evans", "tabled", "1992-Mar-04")]
+    assert [len(m["rolls"]) for m in found] == [0, 2, 2, 0]
+    rolls = [(r["cast"], r["people"], r["stated"]) for m in found for r in m["rolls"]]
+    assert ("yea", ["Morrow", "Cole", "D'Amico"], 3) in rolls and ("nay", ["Evans"], 1) in rolls and ("yea", ["Cole", "Evans", "Smith"], 2) in rolls and ("nay", [], 0) in rolls
+    assert any(m["text"] == "Rent of the hall" for m in found)
+    assert decisions.read_page(None) == [] and not decisions.plausible("motion") and decisions.clean_name(" O‘Brien ,") == "O'Brien"
+
+
+def test_people_and_dissent(spark):
+    pages = spark.createDataFrame([("v1", 1, MINUTES, "1990"), ("v1", 2, None, "1990"), ("v2", 1, "Moved by Smith and seconded by Jones that x be done. LOST.", "1980")], "identifier string, page int, text string, year string")
+    found = decisions.motions(pages, ["identifier", "page"], year="year").cache()
+    assert [r.date for r in found.where("identifier = 'v2'").collect()] == ["1980"]
+    people = {r.person: r for r in decisions.people(found, "identifier").collect()}
+    assert (people["smith"].moved, people["smith"].yea, people["smith"].documents, people["smith"].first_seen, people["smith"].last_seen) == (2, 1, ["v1", "v2"], "1980", "1992-Mar-04")
+    assert [(r.person, r.nays) for r in decisions.dissenters(decisions.people(found, "identifier")).collect()] == [("evans", 1)]
+    assert [r.against for r in decisions.divided(found, ["identifier", "page"]).collect()] == [["Evans"]]
+    check = decisions.roll_checks(found).first()
+    assert (check.recorded_votes, check.rolls_that_do_not_reconcile, check.rolls_with_no_tally) == (2, 1, 0)
+    assert {(r.mover, r.seconder, r.n) for r in decisions.partnerships(found, "mover", "seconder").collect()} == {("smith", "jones", 2), ("cole", "evans", 1)}
+    titles = {(r.person, r.title) for r in decisions.titles(pages).collect()}
+    assert {("smith", "Alderman"), ("morrow", "Mayor"), ("cole", "Alderman"), ("jones", "Ms.")} <= titles
 
 
 def test_limiter_counts_admitted_hits_only():

@@ -118,23 +118,44 @@ def test_subunits(spark):
     assert {r.ord: r.parent_facility for r in x} == {1: None, 2: None, 3: None, 4: "Main Plant", 5: None, 6: None, 7: "Works", 8: None}
 
 
-@pytest.mark.parametrize(
-    "pages,year,basis",
-    [
-        (["Published by the Queen's Printer, 1969"], 1969, "publication"),
-        (["© Crown 1971\nAnnual report 1969"], 1971, "copyright"),
-        (["Annual report for the year 1965"], 1965, "annual report"),
-        (["Annual report 1965", "Annual report 1967"], None, None),
-        (["R.S.O. 1970 applies"], None, None),
-        ([""], None, None),
-    ],
-)
-def test_dating(pages, year, basis):
-    got = dating.publication_year(pages)
-    assert (got["year"], got["basis"]) == (year, basis)
-
-
-def test_dating_documents(spark):
-    x = spark.createDataFrame([("a", 2, "Annual report 1960"), ("a", 1, "Published 1961"), ("b", 1, None), ("a", 40, "Published 1999")], "identifier string, page int, text string")
-    got = {r.identifier: (r.year, r.reason) for r in dating.date_documents(x).collect()}
-    assert got == {"a": (1961, None), "b": (None, "no dated statement")}
+LETTER = """Ottawa, March 4, 1971
+The Honourable Minister
+I have the honour to submit the report for the fiscal year 1970.
+Yours truly"""
+DATED = [
+    (["Queen's Printer for Ontario, 1969"], 1969, "publication line", 0.94),
+    (["© Crown 1971\nAnnual report 1969"], 1971, "copyright line", 0.96),
+    (["Annual Report for the year 1965"], 1965, "annual report period", 0.76),
+    (["Annual Report 1964-1965"], 1965, "annual report period", 0.72),
+    (["Annual Report 1965", "Annual Report 1967"], None, "conflicting evidence", 0.0),
+    (["R.S.O. 1970 applies", "x"], None, "no defensible date", 0.0),
+    (["Copyright Act 1970", "Published 1999 copies", "Contract No. 1962", "1959 King Street"], None, "no defensible date", 0.0),
+    (["", None], None, "no defensible date", 0.0),
+    ([LETTER], 1971, "covering letter", 0.83),
+    (["WATER WORKS", "June 1962", "x"], 1962, "title page", 0.84),
+    (["Toronto\nJune 4, 1962"], 1962, "front matter date", 0.80),
+    (["MINUTES of Council\nJune 4, 1962"], None, "no defensible date", 0.0),
+    (["Published 1960\nRevised 1964"], 1964, "publication line", 0.94),
+    (["Published 1960\nPrinted 1964"], None, "conflicting evidence", 0.0),
+    (["June 1960", "Annual Report 1965"], None, "conflicting evidence", 0.0),
+    (["June 1965", "Annual Report 1964"], 1965, "title page", 0.84),
+    (["Table 1 Flows\n1961  3.1  4\n1962  3.4  5\n1963  3.9  6"], 1963, "latest data year (lower bound)", 0.30),
+    (["Published 1960\nTable 1 Flows\n1961  3.1  4\n1962  3.4  5\n1963  3.9  6"], None, "conflicting evidence", 0.0),
+    (["Table 1 Projected flows\n1961  3.1  4\n1962  3.4  5\n1963  3.9  6"], None, "no defensible date", 0.0),
+    (["x"] * 14 + ["Published 1969"], None, "no defensible date", 0.0),
+    (["Digitized by the Internet Archive 2011"], None, "no defensible date", 0.0),
+    (["Received 4 June 1962"], None, "no defensible date", 0.0),
+]
+
+
+def test_dating(spark):
+    pages = [(str(i), n + 1, t) for i, (texts, *_) in enumerate(DATED) for n, t in enumerate(texts)]
+    got = {r.identifier: r for r in dating.date_documents(spark.createDataFrame(pages, "identifier string, page int, text string")).collect()}
+    assert [(i, got[str(i)].year, got[str(i)].basis, got[str(i)].confidence) for i in range(len(DATED)) if (got[str(i)].year, got[str(i)].basis, got[str(i)].confidence) != DATED[i][1:]] == []
+    assert got["8"].alternatives == [1970] and got["4"].alternatives == [1965, 1967] and "Honourable" in got["8"].evidence
+
+
+def test_dating_of_poor_scans(spark):
+    x = spark.createDataFrame([("a", 2, "Annual Report 1960", 0.9), ("a", 1, "Published 1961", 0.4), ("b", 1, None, 0.1)], "identifier string, page int, text string, ocr_confidence double")
+    got = {r.identifier: (r.year, r.confidence, r.alternatives) for r in dating.date_documents(x).collect()}
+    assert got == {"a": (1961, 0.6, [1960]), "b": (None, 0.0, [])}
