@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ledgerline.functions import quotes
 from ledgerline.functions import text as T
@@ -52,7 +53,7 @@ def verdicts(records: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame
     held = records.columns
     x = records.join(pages.select(*keys, F.col("text").alias("_page")), keys, "left")
     names = [*held, "state", "why", "matched"]
-    schema = records.schema.add("state", "string").add("why", "string").add("matched", "string")
+    schema = T_.StructType(list(records.schema.fields)).add("state", "string").add("why", "string").add("matched", "string")
     cited = F.lit(True)
     for k in keys:
         cited = cited & F.col(k).isNotNull()

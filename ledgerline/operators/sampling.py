@@ -23,8 +23,9 @@ def coverage(terms: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
     f1, f2, obs = (F.col(c).cast("double") for c in ("f1", "f2", "observed"))
     extra = f1 * (f1 - 1) / (F.lit(2.0) * (f2 + 1))
     x = x.withColumn("coverage", F.when(F.col("readings") > 0, F.lit(1.0) - f1 / F.col("readings"))).withColumn("chao1", obs + extra)
-    var = f1 * (f1 - 1) / (F.lit(2.0) * (f2 + 1)) + f1 * F.pow(F.lit(2.0) * f1 - 1, 2) / (F.lit(4.0) * F.pow(f2 + 1, 2)) + F.pow(f1, 2) * f2 * F.pow(f1 - 1, 2) / (F.lit(4.0) * F.pow(f2 + 1, 4))
-    k = F.exp(F.lit(1.96) * F.sqrt(F.log(F.lit(1.0) + F.greatest(F.lit(0.0), var) / (extra * extra))))
+    ratio = f1 / (f2 + 1)
+    var = (f2 + 1) * (F.lit(0.5) * F.pow(ratio, F.lit(2.0)) + F.pow(ratio, F.lit(3.0)) + F.lit(0.25) * F.pow(ratio, F.lit(4.0)))
+    k = F.exp(F.lit(1.96) * F.sqrt(F.log(F.lit(1.0) + var / (extra * extra))))
     return x.withColumn("low", F.when(extra > 0, obs + extra / k).otherwise(obs)).withColumn("high", F.when(extra > 0, obs + extra * k).otherwise(obs))
 
 
@@ -36,6 +37,22 @@ def rarest_stratum(items: DataFrame, item: str, collection: str, generic: list[s
     return x.groupBy(item).agg(F.min(F.when(ok, F.struct("size", collection))).alias("m")).select(item, F.coalesce(F.col(f"m.{collection}"), F.lit("unsorted")).alias("stratum"))
 
 
+def first_stratum(collections, generic: list[str]) -> Column:
+    """The first of an item's collections that is not generic, else ``unsorted``."""
+    c = F.col(collections) if isinstance(collections, str) else collections
+    return F.coalesce(F.get(F.filter(c, lambda x: ~x.isin(*generic) if generic else F.lit(True)), F.lit(0)), F.lit("unsorted"))
+
+
+def waiting(questions: DataFrame) -> DataFrame:
+    """Questions (needs, value) that something is missing for, the nearest and most valuable first."""
+    return questions.withColumn("distance", F.size("needs")).where("distance > 0").orderBy("distance", F.desc("value"), "kind", "subject")
+
+
+def unlocks(questions: DataFrame, place: str) -> DataFrame:
+    """Questions for which this one place is all that is missing."""
+    return questions.where((F.size("needs") == 1) & (F.lower(F.trim(F.get("needs", F.lit(0)))) == place.strip().lower()))
+
+
 def allocate(sizes: dict[str, int], budget: int, floor: int = 1) -> dict[str, int]:
     """Square-root allocation of a budget to strata, at least ``floor`` each and no more than there is; strata are few by nature."""
     names = sorted(k for k, n in sizes.items() if n > 0)

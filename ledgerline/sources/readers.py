@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,3 +91,77 @@ def html_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     body = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style)\b.*?</(script|style)>", " ")
     text = F.trim(F.regexp_replace(F.regexp_replace(body, r"(?s)<[^>]*>", " "), r"\s+", " "))
     return pages.select(key, F.trim(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), text.alias("text"), F.regexp_count(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?i)<a\s")).alias("n_links"))
+
+
+def scoped_corpus(spark: SparkSession, path: str, history: DataFrame, aliases: DataFrame, gazetteer_rows: DataFrame, non_places: list[str] = ()) -> DataFrame:
+    """extraction_records() with places as their files scope them and parts of plants told their plant: the form in which records get their keys."""
+    from ledgerline.operators.places import attach_subunits, scope_records
+
+    x = extraction_records(spark, path).withColumn("identifier", F.col("provenance.identifier"))
+    return scope_records(attach_subunits(x), history, aliases, gazetteer_rows, non_places)
+
+
+def contributions(spark: SparkSession, path: str) -> DataFrame:
+    """Records that people submitted, one row each: the submission's claim_id, source, contributor, note and disputes, then extraction columns."""
+    head = T.StructType().add("claim_id", "string").add("place", "string").add("source", "string").add("contributor", "string").add("note", "string").add("disputes", "string").add("records", T.ArrayType(RECORD))
+    x = _files(spark, path).withColumn("d", F.from_json("json", head))
+    told = {"source": "person", "contributor": "anonymous", "note": "", "disputes": ""}
+    x = x.select("file", F.col("d.place").alias("file_place"), F.col("d.claim_id").alias("submitted_id"), *(F.coalesce(F.nullif(F.col(f"d.{c}"), F.lit("")), F.lit(v)).alias(c) for c, v in told.items()), F.posexplode("d.records").alias("at", "r"))
+    return x.select("file", "file_place", "submitted_id", *told, F.struct("file", "at").alias("ord"), "r.*")
+
+
+def vision_trial(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a trial file, an object keyed by page; pages with an error are left out."""
+    row = T.StructType().add("error", "string").add("records", T.ArrayType(RECORD))
+    x = _files(spark, path).select("file", F.explode(F.from_json("json", T.MapType(T.StringType(), row))).alias("page_key", "d"))
+    x = x.where("d is not null and d.error is null").select("file", "page_key", F.posexplode("d.records").alias("at", "r"))
+    return x.select("file", F.lit(None).cast("string").alias("file_place"), F.struct("file", F.col("page_key"), "at").alias("ord"), "r.*")
+
+
+def public_claims(extracted: DataFrame, vision: DataFrame, contributed: DataFrame) -> DataFrame:
+    """All claims by content, each once: what extraction found first, then the vision trial's, then what people submitted."""
+    from ledgerline.functions.keys import claim_key, record_key, slot_key
+
+    fields = [f.name for f in RECORD.fields]
+
+    def claims(x: DataFrame, order: int, source: str, contributor: str) -> DataFrame:
+        given = {"source": source, "contributor": contributor, "note": "", "disputes": ""}
+        x = x.select(*(F.col(c) if c in x.columns else F.lit(v).alias(c) for c, v in given.items()), F.lit(order).alias("_from"), F.to_json("ord").alias("_at"), *fields, F.col("provenance.identifier").alias("identifier"), F.col("provenance.page").alias("page"), F.col("provenance.source_text").alias("quote"))
+        x = x.withColumn("slot", slot_key()).withColumn("key", record_key())
+        return x.withColumn("claim_id", claim_key("identifier", "page", "quote", "key", "slot")).withColumn("raw", F.to_json("raw"))
+
+    every = claims(extracted, 0, "extraction", "anonymous").unionByName(claims(vision, 1, "extraction", "vision")).unionByName(claims(contributed, 2, "person", "anonymous"))
+    rest = [c for c in every.columns if c not in ("claim_id", "_from", "_at")]
+    return every.groupBy("claim_id").agg(F.min_by(F.struct(*rest), F.struct("_from", "_at")).alias("m")).select("claim_id", "m.*")
+
+
+TERM = "canonical string, substance string, measure string, domain string, aliases array<string>, typical_units array<string>, readings_covered long, reviewed boolean"
+
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """Terms of a vocabulary file (a list, or an object with ``terms``), lower case; a missing file is an empty vocabulary."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], TERM)
+    one = T.ArrayType(T.StructType.fromDDL(TERM))
+    listed_in = F.from_json("json", T.StructType().add("terms", one))["terms"]
+    x = _files(spark, path).select(F.explode(F.when(F.ltrim("json").startswith("["), F.from_json("json", one)).otherwise(listed_in)).alias("t")).select("t.*")
+    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    listed = lambda c, f: F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), f), lambda v: v != "")
+    x = x.select(*(low(c).alias(c) for c in ("canonical", "substance", "measure", "domain")), listed("aliases", lambda v: F.lower(F.trim(v))).alias("aliases"), listed("typical_units", F.trim).alias("typical_units"), F.coalesce("readings_covered", F.lit(0)).alias("readings_covered"), F.coalesce("reviewed", F.lit(False)).alias("reviewed"))
+    return x.where("canonical <> ''")
+
+
+def payload_kind(json) -> Column:
+    """What a result file holds by its shape: ``extraction`` (records of a place), ``coverage`` (municipalities or terms), or ``other``."""
+    keys = F.json_object_keys(F.col(json) if isinstance(json, str) else json)
+    has = lambda k: F.coalesce(F.array_contains(keys, k), F.lit(False))
+    return F.when(has("records") & has("place"), "extraction").when(has("terms") & (has("archive_language") | has("stopping_rule")), "coverage").otherwise("other")
+
+
+def bc_holdings(items: DataFrame) -> DataFrame:
+    """(series, n, first_year, last_year) of the catalogue's items about British Columbia: the part of a title before its first colon, comma, bracket or year."""
+    about = F.col("title").rlike(r"(?i)british columbia|\bB\.?\s?C\.?\b")
+    name = F.trim(F.regexp_extract("title", r"^([^:,(\[\d]+)", 1))
+    x = items.where(about).withColumn("series", F.when(name == "", F.col("title")).otherwise(name))
+    return x.groupBy("series").agg(F.count_distinct("identifier").alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))

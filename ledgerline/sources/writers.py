@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.keys import bundle_key, slug
+from ledgerline.operators.evidence import grounded_condition, verdicts
 from ledgerline.operators.ledger import fresh
+from ledgerline.operators.vocabulary import validation_errors
 
 
 def bundle(records: DataFrame, key: str = "key") -> DataFrame:
@@ -14,20 +20,131 @@ def bundle(records: DataFrame, key: str = "key") -> DataFrame:
     return records.agg(bundle_key(F.col(key)).alias("bundle_id"), F.count("*").alias("n_records"), F.sort_array(F.collect_set("identifier")).alias("identifiers"))
 
 
+def _path(spark, path: str):
+    """(file system, path) of a location, whatever store it is in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+@contextmanager
+def transaction(spark, path: str, wait: float = 60.0, every: float = 0.1):
+    """The only writer of ``path`` while the block runs: a lock file beside it, created only if it is not there.
+
+    Raises TimeoutError where another writer holds the lock for longer than ``wait`` seconds.
+    """
+    fs, lock = _path(spark, path.rstrip("/") + ".lock")
+    until = time.monotonic() + wait
+    while not fs.createNewFile(lock):
+        if time.monotonic() > until:
+            raise TimeoutError(f"{lock} is held by another writer")
+        time.sleep(every)
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
+def create_new(spark, path: str, content: bytes) -> bool:
+    """Write a small file as a whole unless it is there: it gets its name only when it is complete.  Whether it was written."""
+    fs, target = _path(spark, path)
+    if fs.exists(target):
+        return False
+    _, staged = _path(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(staged, False)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+    with transaction(spark, path):
+        if fs.exists(target) or not fs.rename(staged, target):
+            fs.delete(staged, False)
+            return False
+    return True
+
+
+def free_path(spark, folder: str, stem: str, suffix: str = ".json") -> str:
+    """A path in a folder that no file has: the stem, else the stem with a number behind it."""
+    n = 1
+    while True:
+        path = f"{folder.rstrip('/')}/{stem}{'' if n == 1 else f'-{n}'}{suffix}"
+        fs, p = _path(spark, path)
+        if not fs.exists(p):
+            return path
+        n += 1
+
+
 def merge(incoming: DataFrame, path: str, key: str = "key", ord_: str = "ord") -> DataFrame:
-    """Append to the Parquet table at ``path`` what it does not hold yet; nothing fresh, nothing written.  Returns the fresh rows."""
+    """Append to the Parquet table at ``path`` what it does not hold yet; nothing fresh, nothing written.  Returns the fresh rows.
+
+    Looking and writing are one transaction, so two writers never add one key twice.
+    The new files are written aside and moved in when they are complete.
+    """
     spark = incoming.sparkSession
-    try:
-        existing = spark.read.parquet(path)
-        new = fresh(incoming, existing, key, ord_)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        new = fresh(incoming, incoming.limit(0), key, ord_)
-    new = new.cache()
-    if not new.isEmpty():
-        new.write.mode("append").parquet(path)
-    return new
+    with transaction(spark, path):
+        fs, target = _path(spark, path)
+        there = fs.exists(target) and any(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(target))
+        existing = spark.read.parquet(path) if there else incoming.limit(0)
+        fresh_rows = fresh(incoming, existing, key, ord_)
+        aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}.staged"
+        fresh_rows.write.parquet(aside)
+        new = spark.read.parquet(aside)
+        _, staged = _path(spark, aside)
+        if new.isEmpty():
+            fs.delete(staged, True)
+            return incoming.limit(0).select(*new.columns)
+        fs.mkdirs(target)
+        moved = []
+        for status in fs.listStatus(staged):
+            name = status.getPath().getName()
+            if name.endswith(".parquet"):
+                goal = f"{path.rstrip('/')}/{name}"
+                if not fs.rename(status.getPath(), _path(spark, goal)[1]):
+                    raise OSError(f"cannot move {name} to {path}")
+                moved.append(goal)
+        fs.delete(staged, True)
+    return spark.read.schema(new.schema).parquet(*moved)
+
+
+def submit(records: DataFrame, pages: DataFrame, folder: str, contributor: str = "anonymous", note: str = "", disputes: str = "") -> list[tuple[str, str, bool]]:
+    """Offer a few readings (identifier, page, quote, value, condition, ...): (claim id, why, stored) of each.
+
+    A condition whose words are not in the sentence is dropped first.  Only what the page
+    supports is stored, one file a claim, named by its content, so offering it again
+    stores nothing.
+    """
+    spark = records.sparkSession
+    x = records.withColumn("condition", grounded_condition("condition", "quote"))
+    x = x.withColumn("claim_id", F.substring(F.sha2(F.to_json(F.struct(*sorted(x.columns))), 256), 1, 24))
+    judged = verdicts(x, pages, ["identifier", "page"])
+    head = {"claim_id": F.col("claim_id"), "contributor": F.lit(contributor), "source": F.lit("correction" if disputes else "person"), "note": F.lit(note), "disputes": F.lit(disputes), "verified_because": F.col("why")}
+    document = F.to_json(F.struct(*(c.alias(n) for n, c in head.items()), F.array(F.struct(*records.columns)).alias("records")))
+    out = []
+    for r in judged.select("claim_id", "state", "why", document.alias("document")).orderBy("claim_id").toLocalIterator():
+        good = r["state"] in ("verified", "unchecked")
+        out.append((r["claim_id"], r["why"], good and create_new(spark, f"{folder.rstrip('/')}/{r['claim_id']}.json", r["document"].encode())))
+    return out
+
+
+def save_vocabulary(terms: DataFrame, path: str, note: str = "") -> None:
+    """One JSON file of the terms, the most used first; a vocabulary with errors is refused."""
+    wrong = [f"{r['canonical']}: {r['problem']}" for r in validation_errors(terms).limit(20).collect()]
+    if wrong:
+        raise ValueError("invalid vocabulary: " + "; ".join(wrong))
+    spark = terms.sparkSession
+    fields = [c for c in terms.columns if c not in ("readings_covered", "canonical")]
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("readings_covered")).alias("k"), "canonical", *fields)))
+    listed = F.transform(ordered, lambda t: F.struct(t["canonical"].alias("canonical"), *(t[c].alias(c) for c in fields), (-t["k"]).alias("readings_covered")))
+    text = terms.agg(F.to_json(F.struct(F.lit(1).alias("version"), F.lit(note).alias("note"), F.count("*").alias("n_terms"), listed.alias("terms"))).alias("j")).first()["j"]
+    fs, target = _path(spark, path)
+    with transaction(spark, path):
+        stream = fs.create(target, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+
+def library_json(records: DataFrame, path: str) -> None:
+    """The whole library as JSON lines, one record a line, in files that Spark writes side by side."""
+    records.write.mode("errorifexists").json(path)
 
 
 def publish(records: DataFrame, path: str, place: str = "place") -> None:
