@@ -1,11 +1,16 @@
-"""Exact removal of repeated byte strings by sparse prefix doubling.
-
-Prefix doubling ranks positions by ever longer prefixes and goes on only with
-positions whose rank is not unique.  Here the positions are a content-defined
-sample (the least of the KMER-byte ranks in every window), which equal strings
-share, and a rank is a fingerprint, so a round needs one sort of (rank, rank at
-the next offset) pairs: KMER bytes, then all that a position answers for, then
-stretches of GROUP windows, then single windows for those still open.  Texts
+"""Exact removal of repeated byte strings by prefix doubling over a sample of positions.
+
+Prefix doubling ranks positions by ever longer prefixes: a position's rank and the
+rank of the position behind its prefix are a pair, pairs are sorted and become the
+ranks of the next round, and only positions whose rank is not unique go on.
+
+Ranking every byte would shuffle some thirty times the text (README), so the rounds
+run on a content-defined sample, which equal strings share: in every window of
+LENGTH bytes the position whose KMER-byte fingerprint is least.  First ranks are the
+names of KMER / 4 bytes; two rounds at offsets of KMER / 4 and KMER / 2 lead to KMER
+bytes, which lie in every window that the position answers for.  Positions that are
+not unique by then are compared by all that they answer for, then by stretches of
+GROUP windows, then by single windows, each round with those still open.  Texts
 themselves are shuffled once, when the cuts are made.
 
 Defined cases: null and empty texts have no bytes and give 0, 0, 0 and the digest
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 from .windows import NO_ID, Block, Scheme, covered, fold_min, repeated
 
-#: Bytes of a string, of the first rank, and windows of a stretch.
+#: Bytes of a string, of the last rank, and windows of a stretch.
 LENGTH, KMER, GROUP = 400, 160, 16
 CHUNK = 1 << 20
 
@@ -52,13 +57,19 @@ def _anchors(length: int, kmer: int):
         g = common.span_hash(block.h1, np.arange(m), np.arange(m) + kmer)
         low = np.uint64((1 << 21) - 1)
         least = fold_min((g & ~low) | np.arange(m, dtype=np.uint64), length - kmer + 1)
-        return (least[:n] & low).astype(np.int64), lambda at: g[at]
+        quarter = kmer // 4
+        bounds = (0, quarter, 2 * quarter, kmer)
+
+        def names(at):
+            return np.column_stack([common.span_hash(block.h1, at + x, at + y) for x, y in zip(bounds, bounds[1:], strict=False)])
+
+        return (least[:n] & low).astype(np.int64), names
 
     return anchors
 
 
 def scheme(length: int = LENGTH, kmer: int = KMER, group: int = GROUP) -> Scheme:
-    return Scheme(length, _blocks(length), _anchors(length, kmer), group)
+    return Scheme(length, _blocks(length), _anchors(length, kmer), group, names=3)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, text_out: bool = True) -> DataFrame:

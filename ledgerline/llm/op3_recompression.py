@@ -10,7 +10,9 @@ words.  Every window takes, of the symbols that lie REACH words inside it, the o
 with the least name; that symbol with REACH words about it is the window's anchor,
 and documents that share anchors are compared and verified run by run.
 
-Names are global because they are fingerprints: no exchange is needed to agree.
+Names are global because they are fingerprints: no exchange is needed to agree.  Two
+rounds are all that a window of 13 words can use: a third would give symbols of up to
+eight words that are sure only seven words inside, and no window is sure to hold one.
 
 Defined cases: null and empty texts have no words; texts of fewer words than a
 window keep all; equal windows within one document, or in rows of one id, are no
@@ -31,20 +33,30 @@ from . import common
 from .windows import Block, Scheme, covered, repeated
 
 WINDOW, REACH = 13, 3
+#: Words of a text that are looked at together; an anchor's place must fit into 21 bits.
+PIECE = 1 << 20
 #: Sort key of rows without an id: above all others, so that they are never the earlier one.
 LAST = (1 << 63) - 1
 
 
-def _blocks(column: pa.Array):
-    data, offsets = common.arrow_bytes(column)
-    classes = common.space_classes()
-    for a, b in common.blocks(offsets, 1 << 20):
-        part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        s, e, row = common.tokens(part, own, classes)
-        w = common.token_hashes(part, s, e, 21)
-        w2 = common.token_hashes(part, s, e, 22)
-        bounds = np.searchsorted(row, np.arange(b - a + 1))
-        yield Block(common.prefix_hash(w), common.prefix_hash(w2), bounds, a, (part, s, e, w, row))
+def _blocks(window: int):
+    def blocks(column: pa.Array):
+        """Blocks of rows; a longer text in pieces that share window - 1 words, extra: (bytes, starts, ends, names, row, first word)."""
+        data, offsets = common.arrow_bytes(column)
+        classes = common.space_classes()
+        for a, b in common.blocks(offsets, 1 << 20):
+            part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            s, e, row = common.tokens(part, own, classes)
+            w, w2 = common.token_hashes(part, s, e, 21), common.token_hashes(part, s, e, 22)
+            if b == a + 1 and len(s) > PIECE:
+                for at in range(0, len(s) - window + 1, PIECE):
+                    to = min(len(s), at + PIECE + window - 1)
+                    yield Block(common.prefix_hash(w[at:to]), common.prefix_hash(w2[at:to]), np.array([0, to - at]), a, (part, s[at:to], e[at:to], w[at:to], row[at:to], at))
+                continue
+            bounds = np.searchsorted(row, np.arange(b - a + 1))
+            yield Block(common.prefix_hash(w), common.prefix_hash(w2), bounds, a, (part, s, e, w, row, 0))
+
+    return blocks
 
 
 def symbols(names: np.ndarray, row: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +76,7 @@ def symbols(names: np.ndarray, row: np.ndarray, rounds: int = 2) -> tuple[np.nda
 
 def _anchors(window: int):
     def anchors(block: Block, n: int):
-        _, _, _, w, row = block.extra
+        w, row = block.extra[3:5]
         at, name = symbols(w, row)
         size = np.diff(np.append(at, len(w)))
         low = np.uint64((1 << 21) - 1)
@@ -86,7 +98,18 @@ def scheme(window: int = WINDOW) -> Scheme:
     """Windows below 2 * REACH + 7 words may hold no symbol that far inside."""
     if window < 2 * REACH + 7:
         raise ValueError(f"a window needs {2 * REACH + 7} words at least")
-    return Scheme(window, _blocks, _anchors(window))
+    return Scheme(window, _blocks(window), _anchors(window))
+
+
+def _joined(pieces):
+    """(row, bytes, starts, ends, cut) of the pieces of a long text, which share some words."""
+    row, part = pieces[0][:2]
+    n = max(first + len(s) for _, _, s, _, _, first in pieces)
+    start, end, cut = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    for _, _, s, e, c, first in pieces:
+        start[first : first + len(s)], end[first : first + len(s)] = s, e
+        cut[first : first + len(s)] |= c
+    return row, part, start, end, cut
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, text_out: bool = True) -> DataFrame:
@@ -96,25 +119,40 @@ def dedup(docs: DataFrame, window: int = WINDOW, text_out: bool = True) -> DataF
     found = repeated(rows, way, earlier=True)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * text_out
 
+    def kept_bytes(part, s, e) -> bytes:
+        """Words with one blank between them."""
+        size = e - s + 1
+        to = np.cumsum(size)
+        at = np.arange(to[-1] if len(to) else 0) - np.repeat(to - size, size) + np.repeat(s, size)
+        kept = part[np.minimum(at, len(part) - 1)]
+        kept[to - 1] = 32
+        return kept[:-1].tobytes()
+
     def run(batches):
         for b in batches:
-            total, removed, digest, texts = (np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [], [])
+            total, removed, digest, texts = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [], []
+
+            def done(r, part, s, e, cut):
+                total[r], removed[r] = len(cut), np.count_nonzero(cut)
+                kept = kept_bytes(part, s[~cut], e[~cut])
+                digest.append(hashlib.sha256(kept).hexdigest())
+                texts.append(kept)
+
+            pieces = []  # of a long text
             for block in way.blocks(b.column(1)):
-                part, s, e, _, _ = block.extra
+                part, s, e, _, _, first = block.extra
                 cut = covered(block, way, b.column(2), b.column(3), b.column(4))
+                if pieces and pieces[0][0] != block.first:
+                    done(*_joined(pieces))
+                    pieces = []
+                if first or (len(block.offsets) == 2 and len(s) > PIECE):
+                    pieces.append((block.first, part, s, e, cut, first))
+                    continue
                 for r in range(len(block.offsets) - 1):
                     lo, hi = block.offsets[r], block.offsets[r + 1]
-                    left = lo + np.flatnonzero(~cut[lo:hi])
-                    # words with one byte after each; the last blank goes
-                    size = e[left] - s[left] + 1
-                    to = np.cumsum(size)
-                    at = np.arange(to[-1] if len(to) else 0) - np.repeat(to - size, size) + np.repeat(s[left], size)
-                    kept = part[np.minimum(at, len(part) - 1)]
-                    kept[to - 1] = 32
-                    kept = kept[:-1].tobytes()
-                    total[block.first + r], removed[block.first + r] = hi - lo, hi - lo - len(left)
-                    digest.append(hashlib.sha256(kept).hexdigest())
-                    texts.append(kept)
+                    done(block.first + r, part, s[lo:hi], e[lo:hi], cut[lo:hi])
+            if pieces:
+                done(*_joined(pieces))
             cols = [b.column(0), pa.array(total), pa.array(removed), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(texts, pa.binary()).cast(pa.string())] if text_out else []), names=names)
 

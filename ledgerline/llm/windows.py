@@ -2,10 +2,11 @@
 
 Every window of L units (bytes or words) is assigned to one anchor inside it, chosen
 from the window's content alone, so equal windows have equal anchors at equal
-offsets.  Consecutive windows with one anchor form a run, named by two
-fingerprints: ``key`` of the anchor's context, which lies in every window of the
-run, and ``seg`` of all the text that the run covers.  Only (key, seg, document)
-is shuffled, a small share of the text:
+offsets.  Consecutive windows with one anchor form a run, with
+fingerprints: a ``key`` of the anchor's context, which lies in every window of the
+run, and ``seg`` of all the text that the run covers.  A key may be several names,
+of stretches that double in length; anchors are then ranked by them in rounds.  Only
+(key, seg, document) is shuffled, a small share of the text:
 
 1. runs with equal (key, seg) are equal throughout and are settled as one class;
 2. where classes share a key without being equal, one document of each class shows
@@ -14,7 +15,7 @@ is shuffled, a small share of the text:
 3. the single windows of the stretches still open are compared;
 4. each document gets back the fingerprints that are repeated in it, and cuts.
 
-Ranks are fingerprints of 64 bits each; a class is told by two of them.
+Ranks are fingerprints of 64 bits each; a class and a window are told by two of them.
 """
 
 from __future__ import annotations
@@ -48,13 +49,15 @@ class Block:
 
 @dataclass
 class Scheme:
-    """length: units of a window; blocks(column): Blocks; anchors(block, n): anchor position of each window start and its key."""
+    """length: units of a window; blocks(column): Blocks; anchors(block, n): anchor position of each window start and the names of its context."""
 
     length: int
     blocks: Callable
     anchors: Callable
     #: Windows of a stretch; 1: single windows at once.
     group: int = 1
+    #: Names that make up a key: of the first units behind an anchor, of as many at that offset, of as many at twice that offset and so on.
+    names: int = 1
 
 
 def fold_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -70,11 +73,11 @@ def fold_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(block: Block, scheme: Scheme):
-    """(row, first window, windows, anchor, key, seg) of each run of a block."""
+    """(row, first window, windows, anchor, key, seg) of each run of a block; a key has a column for each name."""
     n = len(block.h1) - 1 - scheme.length + 1
     empty = np.zeros(0, np.int64)
     if n <= 0:
-        return empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, empty, np.zeros((0, scheme.names), np.uint64), empty.astype(np.uint64)
     row = np.searchsorted(block.offsets, np.arange(n), "right") - 1
     inside = np.arange(n) + scheme.length <= block.offsets[row + 1]
     at, key = scheme.anchors(block, n)
@@ -86,7 +89,7 @@ def runs(block: Block, scheme: Scheme):
     seg = common.span_hash(block.h2, edge, edge + size - 1 + scheme.length)
     with np.errstate(over="ignore"):
         seg = common.mix(seg + (at[edge] - edge).astype(np.uint64) * common.BASE + size.astype(np.uint64))
-    return row[edge], edge, size, at[edge], key(at[edge]), seg
+    return row[edge], edge, size, at[edge], key(at[edge]).reshape(-1, scheme.names), seg
 
 
 def stretches(block: Block, scheme: Scheme, first: np.ndarray, size: np.ndarray, at: np.ndarray):
@@ -115,11 +118,16 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _key(scheme: Scheme) -> list[str]:
+    return [f"key{i}" for i in range(scheme.names)]
+
+
 def _parsed(docs: DataFrame, scheme: Scheme, keys: bool) -> DataFrame:
-    """(key, seg, doc, last, n): runs with the least and greatest document and the count, combined within a batch.
+    """(key0.., seg, doc, last, n): runs with the least and greatest document and the count, combined within a batch.
 
     Without keys: (seg, doc), the distinct runs of each document.
     """
+    names = [*_key(scheme), "seg", "doc", "last", "n"] if keys else ["seg", "doc"]
 
     def run(batches):
         for b in batches:
@@ -131,21 +139,37 @@ def _parsed(docs: DataFrame, scheme: Scheme, keys: bool) -> DataFrame:
             if not found:
                 continue
             key, seg, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((doc, key, seg) if keys else (seg, doc))
+            order = np.lexsort((doc, *key.T, seg) if keys else (seg, doc))
             key, seg, doc = key[order], seg[order], doc[order]
-            same = (seg[1:] == seg[:-1]) & ((key[1:] == key[:-1]) if keys else (doc[1:] == doc[:-1]))
+            same = (seg[1:] == seg[:-1]) & ((key[1:] == key[:-1]).all(axis=1) if keys else (doc[1:] == doc[:-1]))
             new = np.flatnonzero(np.concatenate(([True], ~same)))
             if not keys:
-                yield pa.RecordBatch.from_arrays([_long(seg[new]), pa.array(doc[new])], names=["seg", "doc"])
+                yield pa.RecordBatch.from_arrays([_long(seg[new]), pa.array(doc[new])], names=names)
                 continue
             end = np.append(new[1:], len(seg))
-            yield pa.RecordBatch.from_arrays([_long(key[new]), _long(seg[new]), pa.array(doc[new]), pa.array(doc[end - 1]), pa.array((end - new).astype(np.int64))], names=["key", "seg", "doc", "last", "n"])
+            yield pa.RecordBatch.from_arrays([*(_long(k[new]) for k in key.T), _long(seg[new]), pa.array(doc[new]), pa.array(doc[end - 1]), pa.array((end - new).astype(np.int64))], names=names)
+
+    return docs.select("doc", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
-    return docs.select("doc", "text").mapInArrow(run, "key long, seg long, doc long, last long, n long" if keys else "seg long, doc long")
+
+def _doubled(parsed: DataFrame, key: list[str], earlier: bool) -> DataFrame:
+    """Prefix doubling over the anchors: in each round the rank of an anchor is paired with the rank at the offset that it covers, pairs are sorted, and an anchor whose pair is unique is dropped.
+
+    The names of a key are the ranks at offsets 0, 1, 2, 4, ... (in units of the first
+    one), so the rank after a round is the tuple of the names so far.  One exchange by
+    the first pair serves all rounds.
+    """
+    for covered_ in range(2, len(key) + 1):
+        pair = Window.partitionBy(*key[:covered_])
+        if earlier:
+            parsed = parsed.withColumn("low", F.min("doc").over(pair)).withColumn("high", F.max("last").over(pair)).where("low < high").drop("low", "high")
+        else:
+            parsed = parsed.withColumn("times", F.sum("n").over(pair)).where("times > 1").drop("times")
+    return parsed
 
 
 def _shown(docs: DataFrame, wanted: DataFrame, scheme: Scheme, single: bool, by_doc: bool) -> DataFrame:
-    """Of the runs in wanted (doc, seg): (core, hull, own, k) of their stretches, hull null if incomplete; or (window, own) of single windows.
+    """Of the runs in wanted (doc, seg): (core, hull, own, k) of their stretches, hull null if incomplete; or (window, second, own) of single windows.
 
     own is the document or the run; with a column k in wanted, only those stretches show their windows.
     """
@@ -189,9 +213,9 @@ def _shown(docs: DataFrame, wanted: DataFrame, scheme: Scheme, single: bool, by_
                     n = high - low + 1
                     begin = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                     of = np.repeat(of, n)
-                yield pa.RecordBatch.from_arrays([_long(common.span_hash(block.h2, begin, begin + scheme.length)), pa.array(own[of])], names=["window", "own"])
+                yield pa.RecordBatch.from_arrays([*(_long(common.span_hash(h, begin, begin + scheme.length)) for h in (block.h2, block.h1)), pa.array(own[of])], names=["window", "second", "own"])
 
-    return asked.mapInArrow(run, "window long, own long" if single else "core long, hull long, own long, doc long, seg long, k int")
+    return asked.mapInArrow(run, "window long, second long, own long" if single else "core long, hull long, own long, doc long, seg long, k int")
 
 
 def _lists(rows: DataFrame, name: str) -> DataFrame:
@@ -207,8 +231,10 @@ def repeated(docs: DataFrame, scheme: Scheme, earlier: bool) -> DataFrame:
     # one exchange by key serves the classes and what is known of their keys
     parsed = _parsed(docs, scheme, keys=True)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    classes = parsed.repartition(parts, "key").groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"), F.max("last").alias("last"))
-    of_key = Window.partitionBy("key")
+    key = _key(scheme)
+    ranked = _doubled(parsed.repartition(parts, *key[:2]), key, earlier)
+    classes = ranked.groupBy(*key, "seg").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"), F.max("last").alias("last"))
+    of_key = Window.partitionBy(*key)
     known = classes.withColumn("classes", F.count("*").over(of_key))
     if earlier:
         known = known.withColumn("least", F.min("doc").over(of_key)).withColumn("most", F.max("last").over(of_key)).where("least < most")
@@ -238,8 +264,8 @@ def repeated(docs: DataFrame, scheme: Scheme, earlier: bool) -> DataFrame:
         left = told.where("not mine" if earlier else "not settled").select("core").distinct()
         shown = common.checkpointed(_shown(docs, told.join(left, "core", "left_semi").select("doc", "seg", "k"), scheme, single=True, by_doc=earlier))
     common.release(docs)
-    twice = shown.groupBy("window").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("window", "low")
-    mine = shown.join(twice, "window")
+    twice = shown.groupBy("window", "second").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("window", "second", "low")
+    mine = shown.join(twice, ["window", "second"])
     mine = mine.where("own > low").select(F.col("own").alias("doc"), "window") if earlier else mine.select(F.col("own").alias("seg"), "window").join(open_, "seg")
     windows = _lists(mine.select("doc", "window"), "window")
     common.release(docs)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ledgerline.llm import op1_suffix, op3_recompression, op4_pii, op6_packing, op7_minhash, op8_topk, op10_decontam
+from ledgerline.llm import doubling, op1_suffix, op3_recompression, op4_pii, op6_packing, op7_minhash, op8_topk, op10_decontam
 from ledgerline.llm.components import components
 
 SEP = r"[^\x20\x09-\x0D]+"
@@ -68,6 +68,20 @@ def test_suffix_dedup(spark, monkeypatch, length, kmer, group, chunk):
     assert sorted((tuple(r) for r in got), key=str) == brute_bytes(rows, length)
 
 
+@pytest.mark.parametrize("length", [7, 40, 61])
+def test_plain_prefix_doubling(spark, length):
+    rows = corpus(3, 14)
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "row long, text string")
+    seen = {}
+    for i, (_, t) in enumerate(rows):
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1):
+            seen.setdefault(b[p : p + length], []).append((i, p))
+    want = {x for v in seen.values() if len(v) > 1 for x in v}
+    assert {(r.row, r.pos) for r in doubling.repeated_positions(docs, length).collect()} == want and want
+    assert doubling.repeated_positions(docs.limit(0), length).count() == 0
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert op1_suffix.dedup(frame(spark, [(1, "a")]).limit(0)).count() == 0
     r = op1_suffix.dedup(frame(spark, [(1, None)])).first()
@@ -108,6 +122,17 @@ def test_recompression_keeps_text_and_takes_no_rows(spark):
         op3_recompression.scheme(12)
 
 
+def test_recompression_of_long_texts(spark, monkeypatch):
+    """A text longer than a piece gives the rows that brute force gives, whatever side of a joint its repeats lie on."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(40)}" for _ in range(900)]
+    rows = [(1, " ".join(words[:400])), (2, " ".join(words)), (3, "x " + " ".join(words[80:130]) + " y"), (4, " ".join(words[95:115])), (5, " ".join(f"u{i}" for i in range(500))), (6, " ".join(f"u{i}" for i in range(90, 260)))]
+    whole = sorted((tuple(r) for r in op3_recompression.dedup(spark.createDataFrame(rows, DOCS), 13, text_out=False).collect()), key=str)
+    assert whole == brute_words(rows, 13)
+    monkeypatch.setattr(op3_recompression, "PIECE", 100)
+    assert sorted((tuple(r) for r in op3_recompression.dedup(spark.createDataFrame(rows, DOCS), 13, text_out=False).collect()), key=str) == whole
+
+
 def test_symbols_name_equal_insides_equally():
     rng = np.random.default_rng(0)
     inner = rng.integers(1, 1 << 60, 40).astype(np.uint64)
