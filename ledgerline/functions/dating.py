@@ -313,7 +313,7 @@ def date_candidates(pages: DataFrame) -> DataFrame:
     """
     own = Window.partitionBy("identifier")
     ocr = F.col("ocr_confidence").cast("double") if "ocr_confidence" in pages.columns else F.lit(None).cast("double")
-    x = pages.select("identifier", "page", F.coalesce("text", F.lit("")).alias("text"), ocr.alias("ocr"))
+    x = pages.select(F.col("identifier").cast("string").alias("identifier"), "page", F.coalesce("text", F.lit("")).alias("text"), ocr.alias("ocr"))
     x = x.withColumn("pages", F.count("*").over(own)).withColumn("before", F.coalesce(F.sum(F.when(F.col("text") != "", F.length("text") + 1)).over(own.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
     def run(frames):
@@ -369,6 +369,6 @@ def resolve_dates(found: DataFrame) -> DataFrame:
 
 def date_documents(pages: DataFrame) -> DataFrame:
     """One row a document of pages (identifier, page, text): resolve_dates(), or that there is no date to defend."""
-    every = pages.select("identifier").distinct()
+    every = pages.select(F.col("identifier").cast("string").alias("identifier")).distinct()
     x = every.join(resolve_dates(date_candidates(pages)), "identifier", "left")
     return x.withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).withColumn("basis", F.coalesce("basis", F.lit("no defensible date"))).withColumn("evidence", F.coalesce("evidence", F.lit(""))).withColumn("alternatives", F.coalesce("alternatives", F.array().cast("array<int>")))

@@ -13,7 +13,12 @@ from ledgerline.functions.text import infer_year, language_codes
 # Patterns of years and comparisons, facilities by title, letters that a scan mistakes for digits, scales of quantities.
 READING_YEAR = re.compile(r"(?<!\d)(1[89]\d{2}|20[0-4]\d)(?!\d)")
 COMPARES = re.compile(r"(?i)\b(compared\s+(?:with|to)|against|versus|vs\.?|in\s+contrast\s+(?:with|to)|an?\s+(?:increase|decrease)\s+(?:over|from))\b")
-FACILITIES = (("water pollution control|sewage|wastewater|wpcp", "sewage treatment"), ("drinking water|water treatment|water works|waterworks", "water supply"), ("landfill|waste disposal", "landfill"))
+FACILITIES = (
+    ("water pollution control|sewage treatment|sewage works|pollution control plant", "water pollution control plant"),
+    ("drinking water surveillance|water supply system|water treatment plant|waterworks", "water supply system"),
+    ("landfill|waste disposal", "waste site"),
+    ("air quality|ambient air", "air monitoring"),
+)
 SCAN_LETTERS, SCAN_DIGITS = "Il|iOoQSsZBGT", "1111000552867"
 SCALES = (("million gallons/day", "gallons/day", 1e6), ("million gallons", "gallons", 1e6), ("mil gal", "gallons", 1e6), ("thousand gallons", "gallons", 1e3), ("mgd", "gallons/day", 1e6))
 RATES = (("daily", "day"), ("per day", "day"), ("/day", "day"), ("monthly", "month"), ("per month", "month"), ("/month", "month"), ("annual", "year"), ("yearly", "year"), ("per year", "year"), ("/year", "year"), ("hourly", "hour"), ("per hour", "hour"))
@@ -67,13 +72,6 @@ def backfilled_facility(records: DataFrame, items: DataFrame) -> DataFrame:
     return x.withColumn("facility", F.coalesce(F.nullif(F.trim("facility"), F.lit("")), "_f")).drop("_f")
 
 
-def same_town(place, wanted: list[str]) -> Column:
-    """Whether a place, or the place before its plant's name, is one of those asked for."""
-    p = F.coalesce(F.col(place) if isinstance(place, str) else place, F.lit(""))
-    bare = F.btrim(F.regexp_replace(p, r"(?i)\s*(sewage|water|wastewater)?\s*(treatment|pollution control|filtration)?\s*(plant|works|facility|lagoon)\s*$", ""), F.lit(" ,-"))
-    return (p != "") & (p.isin(wanted) | bare.isin(wanted))
-
-
 def metadata_proposals(items: DataFrame, least: float = 0.0) -> DataFrame:
     """(identifier, field, value, confidence) that a catalogue item (identifier, title, date, language, year) lacks."""
     language = items.withColumn("v", F.array_join(language_codes("language"), ";")).where("v <> '' and v <> coalesce(language, '')").select("identifier", F.lit("language").alias("field"), F.col("v").alias("value"), F.lit(0.999).alias("confidence"))

@@ -53,6 +53,9 @@ def greedy_match(gold: DataFrame, got: DataFrame, keys: list[str], rel: float =
         rows = [(*(g[k].iloc[0] for k in keys), a, b) for a, b in matched.items()]
         return pd.DataFrame(rows, columns=names)
 
+    # both sides get columns of their own: where they come from one frame, the optimizer would prune the wrong ones
+    used = [*keys, *(c for c in ("ord", "value", "unit", "kind") if c not in keys)]
+    gold, got = (x.select(*(F.col(c).alias(c) for c in used)) for x in (gold, got))
     return gold.groupBy(*keys).cogroup(got.groupBy(*keys)).applyInPandas(one, schema)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.parameters import resolve, with_parameter
-from ledgerline.operators import series
+from ledgerline.functions.units import parse_unit
 from ledgerline.operators.places import facility_key, squeezed
 
 # Labels that come first, suffixes that make a town's name a plant's, abbreviations, headings of kinds, names of what has none.
@@ -89,31 +89,37 @@ def rows(records: DataFrame) -> DataFrame:
     charted, and rank, the order of groups on the page.
     """
     own = ["town", "resolved_label", "stream", "facility_group"]
+    in_town = F.lower(F.coalesce(town_name("place"), F.trim("place")))
+    main = records.where("kind = 'observation'").select(in_town.alias("town"), F.coalesce(F.nullif(F.lower("facility"), F.lit("")), F.lit(NO_FACILITY)).alias("_main"), "ord")
+    main = _first_most(main.where("town <> ''"), ["town"], "_main", "ord")
     x = with_parameter(records.where("kind = 'observation'"), context="source_text")
-    x = x.withColumn("town", F.lower(F.coalesce(town_name("place"), F.trim("place")))).where("town <> ''")
+    x = x.withColumn("town", in_town).where("town <> ''")
     x = x.withColumn("resolved_label", F.coalesce("resolved.label", F.trim("parameter"))).where("resolved_label <> ''")
     x = x.withColumn("facility_group", F.coalesce(F.nullif(facility_key("facility", "town"), F.lit("")), F.lit(NO_FACILITY)))
-    x = x.withColumn("stream", F.coalesce("stream", F.lit(""))).withColumn("said", F.lower(F.trim("parameter"))).withColumn("year", F.substring("period", 1, 4).try_cast("int"))
-    flow = F.when(F.col("resolved.substance") == "flow", F.when(F.col("resolved.measure") == "total", "total").otherwise("rate"))
-    x = x.withColumn("_flow", flow).withColumn("_row", F.struct("ord")).drop("resolved")
-    # what can be compared: the unit that most readings of the group have, one best reading a year
-    able = series.majority_unit(x.where("year is not null and value is not null"), own, era="year", flow="_flow").where("rejected is null").withColumn("_v", F.col("value") * F.col("parsed_unit.multiplier"))
-    best = able.groupBy(*own, "year").agg(F.min(F.struct((-F.col("confidence")).alias("c"), F.col("_v").alias("v"), F.col("ord").alias("o"))).alias("b"), F.max("series_unit").alias("series_unit"))
-    points = best.groupBy(*own).agg(F.count("*").alias("n_points"))
-    chosen = best.select(*own, F.col("b.o").alias("ord"), F.col("b.v").alias("v"), F.lit(True).alias("charted"))
-    units = best.groupBy(*own).agg(F.max("series_unit").alias("series_unit"))
-    spoken = _first_most(x.where("said <> ''"), own, "said", "ord").withColumnRenamed("said", "label")
-    main = _first_most(x.withColumn("_f", F.coalesce(F.nullif(F.lower("facility"), F.lit("")), F.lit(NO_FACILITY))), ["town"], "_f", "ord").withColumnRenamed("_f", "_main")
-    size = x.groupBy(*own).agg(F.count("*").alias("_size"), F.min("ord").alias("_first"))
-    for part in (points, units, spoken, size):
-        x = x.join(part, own, "left")
-    x = x.join(chosen, [*own, "ord"], "left").join(main, "town", "left")
-    x = x.withColumn("label", F.coalesce("label", "resolved_label"))
+    x = x.withColumn("stream", F.coalesce("stream", F.lit(""))).withColumn("_said", F.lower(F.trim("parameter"))).withColumn("year", F.substring("period", 1, 4).try_cast("int"))
+    x = x.withColumn("_flow", F.when(F.col("resolved.substance") == "flow", F.when(F.col("resolved.measure") == "total", "total").otherwise("rate"))).drop("resolved")
+    parsed = x.select(F.col("unit").alias("_u"), F.col("year").alias("_y"), F.col("_flow").alias("_f")).distinct().withColumn("_q", parse_unit("_u", "_y", "_f"))
+    x = x.join(parsed, F.col("unit").eqNullSafe(F.col("_u")) & F.col("year").eqNullSafe(F.col("_y")) & F.col("_flow").eqNullSafe(F.col("_f")), "left").drop("_u", "_y", "_f")
+    # from here on one exchange by the group serves all that is asked of it
+    group, base = Window.partitionBy(*own), F.col("_q.base")
+    able = F.col("year").isNotNull() & F.col("value").isNotNull() & base.isNotNull()
+    by_unit, by_wording = Window.partitionBy(*own, "_base"), Window.partitionBy(*own, "_said")
+    x = x.withColumn("_base", F.when(able, base))
+    x = x.withColumn("_vote", F.when(F.col("_base").isNotNull(), F.struct((-F.count("*").over(by_unit)).alias("n"), F.min("ord").over(by_unit).alias("o"), F.col("_base").alias("v"))))
+    x = x.withColumn("_spoken", F.when(F.col("_said") != "", F.struct((-F.count("*").over(by_wording)).alias("n"), F.min("ord").over(by_wording).alias("o"), F.col("_said").alias("v"))))
+    x = x.withColumn("series_unit", F.min("_vote").over(group)["v"]).withColumn("label", F.coalesce(F.min("_spoken").over(group)["v"], F.col("resolved_label")))
+    x = x.withColumn("_size", F.count("*").over(group)).withColumn("_first", F.min("ord").over(group))
+    # one best reading a year, of those in the unit that most of the group have
+    fits = F.coalesce(F.col("_base") == F.col("series_unit"), F.lit(False))
+    x = x.withColumn("_v", F.when(fits, F.col("value") * F.col("_q.multiplier")))
+    order = Window.partitionBy(*own, "year").orderBy(F.when(fits, 0).otherwise(1), F.desc("confidence"), "_v", "ord")
+    x = x.withColumn("charted", fits & (F.row_number().over(order) == 1)).withColumn("v", F.when(F.col("charted"), F.col("_v")))
+    x = x.withColumn("_points", F.sum(F.col("charted").cast("int")).over(group))
+    x = x.withColumn("outcome", F.when(F.col("_points") > 1, "series").when(F.col("_points") == 1, "single").otherwise("bare"))
+    x = x.join(main, "town", "left")
     preferred = F.coalesce(*(F.when(F.lower("resolved_label").contains(p.lower()), i) for i, p in enumerate(PREFERRED)), F.lit(len(PREFERRED)))
     at_main = F.when((F.col("facility_group") == F.col("_main")) | (F.col("facility_group") == facility_key("_main", "town")), 0).otherwise(1)
     x = x.withColumn("rank", F.struct(at_main.alias("main"), preferred.alias("preferred"), (-F.col("_size")).alias("n"), F.col("_first").alias("first")))
-    outcome = F.when(F.coalesce("n_points", F.lit(0)) > 1, "series").when(F.col("n_points") == 1, "single").otherwise("bare")
-    x = x.withColumn("outcome", outcome).withColumn("charted", F.coalesce("charted", F.lit(False)))
     same = Window.partitionBy("town", "label", "identifier", "page", "value", "unit", "period", "qualifier").orderBy("rank", "period", "parameter", "ord")
     x = x.withColumn("_k", F.row_number().over(same)).where("_k = 1")
     return x.select(*records.columns, *(c for c in ("town", "label", "resolved_label", "facility_group", "outcome", "series_unit", "v", "year", "charted", "rank") if c not in records.columns))
@@ -123,11 +129,12 @@ def panels(listed: DataFrame) -> DataFrame:
     """One row a panel (town, facility_group, label, series_unit) of rows(): lines by stream with their points, counts, span and range, and the substance it is shelved under."""
     key = ["town", "facility_group", "label", "series_unit"]
     x = listed.where("outcome = 'series'").withColumn("stream", F.when(F.col("stream") == "unknown", "").otherwise(F.coalesce("stream", F.lit(""))))
-    line = x.groupBy(*key, "stream").agg(F.sort_array(F.collect_list(F.when(F.col("charted"), F.struct(F.col("year"), "v")))).alias("points"))
-    lines = line.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("stream", "points"))).alias("lines"), F.count("*").alias("n_lines"))
     seen = F.col("charted")
-    head = x.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.when(seen, F.col("year"))).alias("first_year"), F.max(F.when(seen, F.col("year"))).alias("last_year"), F.min(F.when(seen, F.col("v"))).alias("low"), F.max(F.when(seen, F.col("v"))).alias("high"))
-    out = head.join(lines, key).withColumn("plain", plain_label("label"))
+    line = x.groupBy(*key, "stream").agg(
+        F.sort_array(F.collect_list(F.when(seen, F.struct(F.col("year"), "v")))).alias("points"), F.count("*").alias("n"), F.min(F.when(seen, F.col("year"))).alias("first_year"), F.max(F.when(seen, F.col("year"))).alias("last_year"), F.min(F.when(seen, F.col("v"))).alias("low"), F.max(F.when(seen, F.col("v"))).alias("high"),
+    )
+    out = line.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("stream", "points"))).alias("lines"), F.count("*").alias("n_lines"), F.sum("n").alias("n"), F.min("first_year").alias("first_year"), F.max("last_year").alias("last_year"), F.min("low").alias("low"), F.max("high").alias("high"))
+    out = out.withColumn("plain", plain_label("label"))
     return out.withColumn("substance", F.coalesce(resolve("label", "series_unit")["substance"], F.lit("")))
 
 

@@ -17,7 +17,7 @@ from ledgerline.functions import text as T
 from ledgerline.functions.dating import date_documents
 from ledgerline.functions.parameters import with_parameter
 from ledgerline.functions.units import comparable, parse_unit
-from ledgerline.operators import decisions, evidence, ledger, network, places, sampling, scoring, search, series
+from ledgerline.operators import decisions, evidence, ledger, network, places, repairs, sampling, scoring, search, series, town
 from ledgerline.sources import readers
 from ledgerline.streaming import stateful
 
@@ -182,10 +182,9 @@ def merge_anti_join(spark, sf_dir):
     return ledger.fresh(new, x.where("l_orderkey % 3 = 0"), "key", "l_orderkey").select("key", "l_orderkey")
 
 
-@query("SELECT substr(sha256(array_to_string(list_sort(list(key)), '|')), 1, 16) AS bundle_id, stream, count(*) AS n_records FROM (WITH " + READING_SQL + " SELECT key, stream FROM rk WHERE l_orderkey % 100 = 0) GROUP BY stream")
+@query("SELECT substr(sha256(array_to_string(list_sort(list(key)), '|')), 1, 16) AS bundle_id, place, period, stream, count(*) AS n_records FROM (WITH " + READING_SQL + " SELECT key, place, CAST(yr AS VARCHAR) AS period, stream FROM rk) GROUP BY ALL")
 def bundle_content_id(spark, sf_dir):
-    x = records(spark, sf_dir).where("l_orderkey % 100 = 0")
-    return x.groupBy("stream").agg(K.bundle_key(F.col("key")).alias("bundle_id"), F.count("*").alias("n_records")).select("bundle_id", "stream", "n_records")
+    return records(spark, sf_dir).groupBy("place", "period", "stream").agg(K.bundle_key(F.col("key")).alias("bundle_id"), F.count("*").alias("n_records")).select("bundle_id", "place", "period", "stream", "n_records")
 
 
 SLOT_SQL = "sl AS (SELECT lower(concat_ws('|', n_name, c_mktsegment, p_type, 'mg/l', CAST(year(l_shipdate) AS VARCHAR), l_returnflag, l_linestatus, '', '')) AS slot, l_quantity AS value, l_discount < 0.08 AS verified, l_orderkey AS identifier, l_linenumber AS page, CAST(l_extendedprice AS VARCHAR) AS quote, l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)"
@@ -201,10 +200,11 @@ def slot_ledger_state(spark, sf_dir):
     return ledger.slots(standings(spark, sf_dir)).groupBy("state").agg(F.count("*").alias("slots"), F.sum("claims").alias("claims"))
 
 
-@query(f"WITH {SLOT_SQL} SELECT slot, count(*) AS n_flags FROM sl WHERE l_orderkey % 7 = 0 GROUP BY slot ORDER BY n_flags DESC, slot LIMIT 10")
+@query(f"WITH {SLOT_SQL} SELECT slot, count(*) AS n_flags FROM sl GROUP BY slot ORDER BY n_flags DESC, slot LIMIT 10")
 def ledger_most_flagged(spark, sf_dir):
-    x = standings(spark, sf_dir).withColumn("claim_id", F.monotonically_increasing_id()).where("l_orderkey % 7 = 0").select("claim_id", "slot")
-    return x.groupBy("slot").agg(F.count("*").alias("n_flags")).orderBy(F.desc("n_flags"), "slot").limit(10)
+    claims = standings(spark, sf_dir).select(F.xxhash64("identifier", "page", "quote", "slot", "value").alias("claim_id"), "slot")
+    flags = claims.select("claim_id").unionByName(spark.createDataFrame([(-1,)], "claim_id long"))  # of an unknown claim
+    return ledger.most_flagged(flags, claims.dropDuplicates(["claim_id"]))
 
 
 @query(f"WITH {SLOT_SQL}, a AS (SELECT split_part(slot, '|', 1) AS place, slot FROM sl GROUP BY ALL HAVING count(DISTINCT value) FILTER (WHERE verified) > 2), b AS (SELECT *, CAST(row_number() OVER (PARTITION BY place ORDER BY slot) AS INTEGER) AS turn FROM a) SELECT place, slot, turn FROM b ORDER BY turn, place, slot LIMIT 60")
@@ -221,9 +221,7 @@ BESIDE = f"regexp_matches(substr(d.text, 1, strpos(d.text, b.text) - 1), '[{SIGN
 def evidence_containment(spark, sf_dir):
     p = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage_id"), "text")
     d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    found = evidence.containing(p, d)
-    # the stand-in's SQL compares characters, so its rows are the ones that agree to the letter
-    return found.join(p.withColumnRenamed("text", "q"), "passage_id").join(d, "page_id").where(F.contains("text", "q")).select("passage_id", "page_id")
+    return evidence.containing(p, d)
 
 
 @query("SELECT CASE WHEN l_orderkey % 4 = 0 THEN 'unsupported' WHEN l_orderkey % 4 = 1 THEN 'unchecked' WHEN l_orderkey % 4 = 2 THEN 'failed' ELSE 'verified' END AS state, count(*) AS n FROM lineitem GROUP BY 1")
@@ -296,7 +294,7 @@ def period_risk(spark, sf_dir):
     return x.select("o_orderkey", F.array_join("p.others", ",").alias("others"), "p.at_risk", "p.compares")
 
 
-@query()
+@query("WITH v(k, value) AS (VALUES (0, 22.0::DOUBLE), (1, 3e6::DOUBLE), (2, 2.5e6::DOUBLE), (3, 90.0::DOUBLE), (4, 1000.0::DOUBLE), (5, 75.0::DOUBLE)), p AS (SELECT CAST(p_size % 6 AS INTEGER) AS k, count(*) AS n FROM part GROUP BY 1) SELECT k, n, value, true AS approximate FROM p JOIN v USING (k)")
 def number_words(spark, sf_dir):
     words = ["twenty-two", "three million", "two and a half million", "quatre-vingt-dix", "mille", "soixante-quinze"]
     p = t(spark, sf_dir, "part").groupBy((F.col("p_size") % len(words)).cast("int").alias("k")).agg(F.count("*").alias("n"))
@@ -304,21 +302,30 @@ def number_words(spark, sf_dir):
     return p.select("k", "n", F.explode(N.numerals(text)).alias("x")).select("k", "n", "x.value", "x.approximate")
 
 
-@query("SELECT n_name AS place, count(*) AS n, CAST(min(year(l_shipdate)) AS INTEGER) AS first_year, CAST(max(year(l_shipdate)) AS INTEGER) AS last_year, count(DISTINCT p_type) AS parameters FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY n_name")
+@query("SELECT n_name AS place, count(*) AS n, CAST(min(year(l_shipdate)) AS INTEGER) AS first_year, CAST(max(year(l_shipdate)) AS INTEGER) AS last_year, count(DISTINCT p_type) AS labels FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def town_summary(spark, sf_dir):
-    x = records(spark, sf_dir)
-    return x.groupBy("place").agg(F.count("*").alias("n"), F.min(F.col("period").cast("int")).alias("first_year"), F.max(F.col("period").cast("int")).alias("last_year"), F.count_distinct("parameter").alias("parameters"))
+    x = records(spark, sf_dir).withColumn("facility", F.lit("Works")).withColumn("kind", F.lit("observation")).withColumn("ord", F.xxhash64("key", "identifier", "page"))
+    s = town.summary(x)
+    return s.select("place", F.col("n_measurements").alias("n"), F.get("span", F.lit(0)).alias("first_year"), F.get("span", F.lit(1)).alias("last_year"), F.size("measured").cast("long").alias("labels"))
 
 
-@query("SELECT n_name AS place, c_mktsegment AS facility, l_returnflag AS stream, CAST(year(l_shipdate) AS VARCHAR) AS period, count(*) AS n, round(avg(l_quantity), 6) AS mean FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+@query("WITH v AS (SELECT n_name, p_type, l_returnflag, year(l_shipdate) AS y, min(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY ALL), s AS (SELECT n_name, p_type, l_returnflag, min(v) AS low, max(v) AS high FROM v GROUP BY ALL HAVING count(*) > 1) SELECT lower(n_name) AS town, lower(p_type) AS label, count(*) AS n_lines, min(low) AS low, max(high) AS high FROM s GROUP BY 1, 2")
 def town_panels(spark, sf_dir):
-    return records(spark, sf_dir).groupBy("place", "facility", "stream", "period").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
+    own = ["place", "parameter", "stream", "period"]
+    none = F.lit(None).cast("string")
+    x = records(spark, sf_dir).groupBy(*own).agg(F.min("value").alias("value")).select(
+        "place", F.lit("Works").alias("facility"), "parameter", F.lit("mg/L").alias("unit"), "value", "stream", F.lit("observation").alias("kind"), "period", F.lit(0.9).alias("confidence"), none.alias("qualifier"), none.alias("condition"),
+        F.concat_ws("|", "place", "stream").alias("identifier"), F.lit(1).alias("page"), F.lit("q").alias("source_text"), F.xxhash64(*own).alias("ord"),
+    )
+    return town.panels(town.rows(x)).select("town", "label", "n_lines", "low", "high")
 
 
-@query("WITH k AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, min(c_custkey) AS o FROM customer GROUP BY 1, 2) SELECT c_nationkey, c_mktsegment AS parent_facility, n FROM k QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, o) = 1")
+@query("WITH x AS (SELECT c_nationkey AS d, c_mktsegment AS f, count(*) AS n, min(c_custkey) AS o FROM customer GROUP BY 1, 2), m AS (SELECT d, f FROM x QUALIFY row_number() OVER (PARTITION BY d ORDER BY n DESC, o) = 1) SELECT d AS c_nationkey, f AS parent_facility, (SELECT count(*) FROM customer WHERE c_nationkey = d) AS n FROM m")
 def attach_subunits_mode(spark, sf_dir):
-    k = t(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"), F.min("c_custkey").alias("o"))
-    return k.groupBy("c_nationkey").agg(F.min(F.struct((-F.col("n")).alias("k"), "o", "c_mktsegment", "n")).alias("m")).select("c_nationkey", F.col("m.c_mktsegment").alias("parent_facility"), F.col("m.n").alias("n"))
+    c = t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("identifier"), F.col("c_mktsegment").alias("facility"), F.col("c_custkey").alias("ord"))
+    parts = c.select("identifier", F.concat(F.lit("Unit No. "), (F.col("ord") % 9).cast("string")).alias("facility"), (F.col("ord") + 10**9).alias("ord"))
+    x = places.attach_subunits(c.unionByName(parts)).where("parent_facility is not null")
+    return x.groupBy(F.col("identifier").alias("c_nationkey"), "parent_facility").agg(F.count("*").alias("n"))
 
 
 GEO = "g AS (SELECT vec_id, label, 45.0::DOUBLE + CAST(embedding[1] AS DOUBLE) * 4 AS lat, -79.0::DOUBLE + CAST(embedding[2] AS DOUBLE) * 4 AS lon, 10.0::DOUBLE + vec_id % 97 AS area FROM embeddings)"
@@ -401,7 +408,7 @@ def score_precision_recall(spark, sf_dir):
     return s.select("source", *(r6(c).alias(c) for c in ("precision", "recall", "f1", "kind_accuracy")))
 
 
-@query()
+@query("WITH a AS (SELECT l_suppkey AS page, l_quantity AS v, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2), r AS (SELECT l_suppkey AS page, l_quantity AS v, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) SELECT page, CAST(sum(least(a.n, r.n)) AS BIGINT) AS matched FROM a JOIN r USING (page, v) GROUP BY page")
 def score_greedy_match(spark, sf_dir):
     x = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), F.col("l_quantity").alias("value"), F.lit("mg/l").alias("unit"), F.col("l_linestatus").alias("kind"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("ord"), "l_returnflag")
     m = scoring.greedy_match(x.where("l_returnflag = 'A'").drop("l_returnflag"), x.where("l_returnflag = 'R'").drop("l_returnflag"), ["page"])
@@ -414,10 +421,10 @@ def partnerships(spark, sf_dir):
     return decisions.partnerships(x, "role", "next")
 
 
-@query()
+@query("SELECT c_custkey, seq, CASE WHEN seq = 0 THEN 'Smith' ELSE '' END AS mover, CASE WHEN seq = 0 THEN upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) ELSE '' END AS seconder, CASE WHEN seq = 0 THEN 'carried' ELSE 'unrecorded' END AS outcome, CASE WHEN seq = 0 THEN 0 ELSE 2 END AS n_rolls FROM customer, (VALUES (0), (1)) s(seq)")
 def motion_extraction(spark, sf_dir):
     c = t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    text = F.concat(F.lit("Moved by Mr. Smith, seconded by Ms. "), F.initcap("c_mktsegment"), F.lit(". That the report be adopted. CARRIED.\nYEAS: Mayor A. Brown, Aldermen Cole, Dean -3. NAYS: Evans -1."))
+    text = F.concat(F.lit("Moved by Mr. Smith, and seconded by Ms. "), F.initcap("c_mktsegment"), F.lit(" that the report be adopted. CARRIED.\nYEAS: Mayor A. Brown, Aldermen Cole, Dean -3. NAYS: Evans -1."))
     m = decisions.motions(c.select("c_custkey", text.alias("text")), ["c_custkey"])
     return m.select("c_custkey", "seq", "mover", "seconder", "outcome", F.size("rolls").alias("n_rolls"))
 
@@ -429,10 +436,13 @@ def frontier_ranked_places(spark, sf_dir):
     return sampling.ranked_places(q).select("place", F.round("score", 4).alias("score"))
 
 
-@query("SELECT flag, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN l_discount = 0 THEN 'full confidence' END, CASE WHEN l_tax > 0.07 THEN 'over range' END, CASE WHEN l_quantity = 1 THEN 'single' END, CASE WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'mixed state' END], lambda x: x IS NOT NULL)) AS flag FROM lineitem) GROUP BY flag")
+@query("SELECT flag, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN l_partkey % 3 = 0 THEN 'unresolved parameter' END, CASE WHEN l_returnflag = 'R' THEN 'unknown unit' END, CASE WHEN l_linenumber = 2 THEN 'negative value' END, CASE WHEN l_linestatus = 'F' THEN 'no place' END, CASE WHEN l_linenumber = 3 THEN 'no year' END, CASE WHEN l_discount < 0.03 THEN 'low confidence' END], lambda x: x IS NOT NULL)) AS flag FROM lineitem) GROUP BY flag")
 def audit_flags(spark, sf_dir):
-    flags = F.array_compact(F.array(F.when(F.col("l_discount") == 0, "full confidence"), F.when(F.col("l_tax") > 0.07, "over range"), F.when(F.col("l_quantity") == 1, "single"), F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F"), "mixed state")))
-    return t(spark, sf_dir, "lineitem").select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+    x = t(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_partkey") % 3 == 0, "furlongs").otherwise("BOD").alias("parameter"), F.when(F.col("l_returnflag") == "R", "furlongs").otherwise("mg/L").alias("unit"), F.when(F.col("l_linenumber") == 2, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("value"),
+        (F.round(F.col("l_discount") * 100) / 10).alias("confidence"), F.when(F.col("l_linestatus") != "F", "Elora").alias("place"), F.when(F.col("l_linenumber") == 3, "June").otherwise("1960").alias("period"),
+    )
+    return repairs.audit(with_parameter(x).withColumn("q", parse_unit("unit")))
 
 
 @query(r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\s')) AS INTEGER) AS n_links FROM pages")
@@ -445,12 +455,16 @@ def rate_limiter_admission(spark, sf_dir):
     return stateful.rate_limit(t(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 3600.0).groupBy("user_id").agg(F.count_if("admitted").alias("admitted"), F.count("*").alias("n"))
 
 
-@query("WITH h(name, valid_from, valid_to, canonical) AS (VALUES ('AUTOMOBILE', 1990, 1996, 'Old Town'), ('AUTOMOBILE', 1997, 2020, 'New City'), ('BUILDING', NULL, 1998, 'Mill Village')), x AS (SELECT o_orderkey, c_mktsegment AS name, year(o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey) SELECT name, coalesce(h.canonical, name) AS place, count(*) AS n FROM x LEFT JOIN h USING (name) WHERE h.name IS NULL OR y BETWEEN coalesce(valid_from, -9999) AND coalesce(valid_to, 9999) GROUP BY 1, 2 UNION ALL SELECT name, name AS place, count(*) AS n FROM x WHERE name = 'BUILDING' AND y > 1998 GROUP BY 1, 2")
+@query("WITH h(name, valid_from, valid_to, canonical) AS (VALUES ('AUTOMOBILE', 1990, 1996, 'Old Town'), ('AUTOMOBILE', 1997, 2020, 'New City'), ('BUILDING', NULL, 1998, 'Mill Village')), x AS (SELECT o_orderkey, c_mktsegment AS name, year(o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey) SELECT x.name AS name, coalesce(h.canonical, CASE WHEN x.name = 'BUILDING' THEN 'Mill Village' END) AS place, count(*) AS n FROM x LEFT JOIN h ON x.name = h.name AND y BETWEEN coalesce(valid_from, -9999) AND coalesce(valid_to, 9999) GROUP BY 1, 2")
 def temporal_place_resolution(spark, sf_dir):
-    h = spark.createDataFrame([("AUTOMOBILE", 1990, 1996, "Old Town"), ("AUTOMOBILE", 1997, 2020, "New City"), ("BUILDING", None, 1998, "Mill Village")], "h string, valid_from int, valid_to int, canonical string")
-    x = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("name"), F.year("o_orderdate").alias("y"))
-    held = (F.col("name") == F.col("h")) & F.col("y").between(F.coalesce("valid_from", F.lit(-9999)), F.coalesce("valid_to", F.lit(9999)))
-    return x.join(F.broadcast(h), held, "left").groupBy("name", F.coalesce("canonical", "name").alias("place")).agg(F.count("*").alias("n"))
+    none = [None] * 6
+    period = lambda name, a, b: (name, "town", None, None, None, "renamed", None, a, b, None)
+    history = spark.createDataFrame([(["AUTOMOBILE"], "Automobile", "town", *none[:3], "renamed", None, None, None, None, [period("Old Town", 1990, 1996), period("New City", 1997, 2020)]), (["BUILDING"], "Mill Village", "village", *none[:3], "closed", None, None, 1998, None, None)], places.HISTORY)
+    aliases = spark.createDataFrame([], places.ALIASES)
+    gazetteer = spark.createDataFrame([], "id string, name string, generic_term string, generic_category string, concise_code string, lat double, lon double, location string, decision_date string")
+    x = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("name"), F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))
+    found = places.resolve_places(x, "name", "y", history, aliases, gazetteer)
+    return found.groupBy("name", F.col("place.canonical").alias("place")).agg(F.sum("n").alias("n"))
 
 
 NAMES = (("BOD removal efficiency", "%", "bod|removal"), ("Daily flow", "million gallons", "flow|rate"), ("natural gas production", "", "natural gas|concentration"), ("maximum 24 hour flow", "", "flow|rate|maximum"), ("cubic feet air per lb BOD removed", "", None))
@@ -463,15 +477,15 @@ def parameter_resolve(spark, sf_dir):
     return with_parameter(x).groupBy(F.col("resolved.key").alias("key")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN o_orderkey % 2 = 0 THEN 'publication line' ELSE 'annual report period' END AS basis, count(*) AS n FROM orders GROUP BY 1, 2")
 def publication_dating(spark, sf_dir):
     y = F.year("o_orderdate").cast("string")
-    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Published by the Printer, "), y)).otherwise(F.concat(F.lit("Annual report for the year "), y))
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Printed in "), y)).otherwise(F.concat(F.lit("Annual report for the year "), y))
     x = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("identifier"), F.lit(1).alias("page"), text.alias("text"))
     return date_documents(x).groupBy("year", "basis").agg(F.count("*").alias("n"))
 
 
-@query("WITH x AS (SELECT c_custkey AS ord, c_nationkey AS d, CASE WHEN c_custkey % 4 = 0 THEN 'Primary tank' ELSE c_mktsegment END AS f FROM customer), k AS (SELECT d, f, count(*) AS n, min(ord) AS o FROM x WHERE f <> 'Primary tank' GROUP BY d, f), m AS (SELECT d, f FROM k QUALIFY row_number() OVER (PARTITION BY d ORDER BY n DESC, o) = 1) SELECT x.ord AS ord, CASE WHEN x.f = 'Primary tank' THEN m.f END AS parent_facility FROM x LEFT JOIN m ON x.d = m.d")
+@query("WITH x AS (SELECT c_custkey AS ord, c_nationkey AS d, CASE WHEN c_custkey % 4 = 0 THEN 'Tank No. 3' ELSE c_mktsegment END AS f FROM customer), k AS (SELECT d, f, count(*) AS n, min(ord) AS o FROM x WHERE f <> 'Tank No. 3' GROUP BY d, f), m AS (SELECT d, f FROM k QUALIFY row_number() OVER (PARTITION BY d ORDER BY n DESC, o) = 1) SELECT x.ord AS ord, CASE WHEN x.f = 'Tank No. 3' THEN m.f END AS parent_facility FROM x LEFT JOIN m ON x.d = m.d")
 def attach_subunits(spark, sf_dir):
-    x = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_nationkey").alias("identifier"), F.when(F.col("c_custkey") % 4 == 0, "Primary tank").otherwise(F.col("c_mktsegment")).alias("facility"))
+    x = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_nationkey").alias("identifier"), F.when(F.col("c_custkey") % 4 == 0, "Tank No. 3").otherwise(F.col("c_mktsegment")).alias("facility"))
     return places.attach_subunits(x).select("ord", "parent_facility")
