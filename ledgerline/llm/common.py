@@ -209,6 +209,13 @@ def summed_tables(df: DataFrame, partial, size: int, slices: int = 32, fan: int
     return out[:size]
 
 
+def revived(kind: type, state: dict):
+    """An object of a class of this package from its fields: broadcasts carry fields only, since workers need no copy of the package."""
+    out = kind.__new__(kind)
+    out.__dict__.update(state)
+    return out
+
+
 def joined_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", broadcast_rows: int = 2_000_000) -> DataFrame:
     """Inner join of texts with label rows; labels (a few numbers a row) are broadcast up to a counted size, shuffled beyond."""
     return docs.join(F.broadcast(labels) if labels.count() <= broadcast_rows else labels, key)

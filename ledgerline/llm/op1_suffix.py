@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .windows import NO_ID, Block, Scheme, covered, fold_min, repeated
+from .windows import Block, Scheme, address, covered, fold_min, repeated
 
 #: Bytes of a string, of the last rank, and windows of a stretch.
 LENGTH, KMER, GROUP = 400, 160, 16
@@ -75,7 +75,7 @@ def scheme(length: int = LENGTH, kmer: int = KMER, group: int = GROUP) -> Scheme
 def dedup(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, text_out: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for docs (doc_id, text); kept: the remaining bytes."""
     way = scheme(length, kmer)
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    rows = docs.select("doc_id", address(earlier=False).alias("doc"), "text")
     found = repeated(rows, way, earlier=False)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * text_out
 

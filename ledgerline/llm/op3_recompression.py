@@ -16,8 +16,8 @@ eight words that are sure only seven words inside, and no window is sure to hold
 
 Defined cases: null and empty texts have no words; texts of fewer words than a
 window keep all; equal windows within one document, or in rows of one id, are no
-repeats; a row without an id is no earlier document, and the first of them counts
-like an id below all others; further columns are ignored.
+repeats; rows without an id come after all others and are no earlier document, not
+of each other either; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .windows import Block, Scheme, covered, repeated
+from .windows import Block, Scheme, address, covered, repeated
 
 WINDOW, REACH = 13, 3
 #: Words of a text that are looked at together; an anchor's place must fit into 21 bits.
 PIECE = 1 << 20
-#: Sort key of rows without an id: above all others, so that they are never the earlier one.
-LAST = (1 << 63) - 1
 
 
 def _blocks(window: int):
@@ -115,7 +113,7 @@ def _joined(pieces):
 def dedup(docs: DataFrame, window: int = WINDOW, text_out: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) for docs (doc_id, text); kept: the words left, joined by a blank."""
     way = scheme(window)
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
+    rows = docs.select("doc_id", address().alias("doc"), "text")
     found = repeated(rows, way, earlier=True)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * text_out
 

@@ -381,13 +381,13 @@ def redact(text: str, found: list) -> str:
 
 def find(docs: DataFrame, field: Field, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, then base and spans (arrays of kind, start, end; code points) and the redacted text."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(field))
     held = len(keep)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     names = [*docs.select(*keep).columns, "base", "spans", "redacted"]
 
     def run(batches):
-        field = shared.value
+        field = common.revived(Field, shared.value)
         named = lambda x: [{"kind": KINDS[k], "start": s, "end": e} for k, s, e in x]
         for b in batches:
             base, every, text = [], [], []

@@ -7,8 +7,8 @@ clusters they hold.  A piece goes to the tightest bin that has room and neither
 its source nor its cluster: the search starts at the first bin with room enough
 and follows successors until one is compatible, without a limit; else a bin opens.
 
-Pieces are dealt to shards of about SHARD rows by a hash of the document, so a hot
-source or cluster is spread evenly; bins never cross shards.  Within a shard,
+Pieces are dealt to shards of about SHARD rows by a hash of the document and of the
+number of its copy, so a hot source, cluster or row is spread evenly; bins never cross shards.  Within a shard,
 pieces are taken by falling length, then id.  Only lengths and keys are shuffled.
 
 Defined cases: documents without words (null, empty) take no room and are in no
@@ -94,7 +94,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n_words"), F.xxhash64(F.col("source")).alias("source"), F.xxhash64(folded).alias("cluster"), F.col("source").isNull().alias("none"))
     shards = max(1, -(-docs.count() // shard_rows))
     rows = rows.where("n_words > 0").withColumn("source", F.when(~F.col("none"), F.col("source"))).drop("none")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("int"))
+    # repeated rows are numbered, so that they are dealt over the shards too
+    same = ["doc_id", "n_words", "source", "cluster"]
+    rows = rows.groupBy(*same).agg(F.count("*").alias("copies")).select(*same, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "copy"), F.lit(shards)).cast("int")).drop("copy")
     schema = "shard int, bin long, doc_id long, start long, n_words long"
     return rows.groupBy("shard").applyInPandas(lambda x: pack_shard(x, capacity), schema)
 

@@ -32,8 +32,8 @@ from . import common
 
 #: Documents whose ids are broadcast when their texts are fetched; beyond, a shuffle.
 FETCH_IDS = 2_000_000
-#: Key of rows without an id: what is sent to a document is told by content, so they may share it.
-NO_ID = -(1 << 63)
+#: Keys from here on are no ids: each stands for a row without one, and counts as the same, latest document.
+NO_ID = (1 << 63) - (1 << 40)
 
 
 @dataclass
@@ -60,6 +60,25 @@ class Scheme:
     names: int = 1
 
 
+def address(doc_id: str = "doc_id", text: str = "text", earlier: bool = True):
+    """Key by which a row gets back what is repeated in it.
+
+    Where the order of ids counts it is the id, and for rows without one a key of their
+    text above all ids, so that they are not sent to one task; an id as large as these
+    keys counts as none.  Else it is the row's own key.
+    """
+    if not earlier:
+        return common.row_key(doc_id, text)
+    none = F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 39))
+    doc = F.col(doc_id).cast("long")
+    return F.when(doc < NO_ID, doc).otherwise(none)
+
+
+def _as_document(key):
+    """The document that a key stands for, in the order of documents."""
+    return F.least(F.col(key) if isinstance(key, str) else key, F.lit(NO_ID))
+
+
 def fold_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of x[i : i + width] for each i that has so many, in three passes."""
     n = len(x) - width + 1
@@ -122,7 +141,7 @@ def _key(scheme: Scheme) -> list[str]:
     return [f"key{i}" for i in range(scheme.names)]
 
 
-def _parsed(docs: DataFrame, scheme: Scheme, keys: bool) -> DataFrame:
+def _parsed(docs: DataFrame, scheme: Scheme, keys: bool, earlier: bool) -> DataFrame:
     """(key0.., seg, doc, last, n): runs with the least and greatest document and the count, combined within a batch.
 
     Without keys: (seg, doc), the distinct runs of each document.
@@ -147,7 +166,7 @@ def _parsed(docs: DataFrame, scheme: Scheme, keys: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_long(seg[new]), pa.array(doc[new])], names=names)
                 continue
             end = np.append(new[1:], len(seg))
-            yield pa.RecordBatch.from_arrays([*(_long(k[new]) for k in key.T), _long(seg[new]), pa.array(doc[new]), pa.array(doc[end - 1]), pa.array((end - new).astype(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([*(_long(k[new]) for k in key.T), _long(seg[new]), pa.array(doc[new]), pa.array(np.minimum(doc[end - 1], NO_ID) if earlier else doc[end - 1]), pa.array((end - new).astype(np.int64))], names=names)
 
     return docs.select("doc", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
@@ -162,7 +181,7 @@ def _doubled(parsed: DataFrame, key: list[str], earlier: bool) -> DataFrame:
     for covered_ in range(2, len(key) + 1):
         pair = Window.partitionBy(*key[:covered_])
         if earlier:
-            parsed = parsed.withColumn("low", F.min("doc").over(pair)).withColumn("high", F.max("last").over(pair)).where("low < high").drop("low", "high")
+            parsed = parsed.withColumn("low", _as_document(F.min("doc").over(pair))).withColumn("high", F.max("last").over(pair)).where("low < high").drop("low", "high")
         else:
             parsed = parsed.withColumn("times", F.sum("n").over(pair)).where("times > 1").drop("times")
     return parsed
@@ -228,8 +247,10 @@ def repeated(docs: DataFrame, scheme: Scheme, earlier: bool) -> DataFrame:
     earlier: only a window that also starts in a document with a smaller id counts;
     else any second start counts, in the same document too.
     """
+    # where the order of documents counts, rows without an id are one document
+    own = _as_document("own") if earlier else F.col("own")
     # one exchange by key serves the classes and what is known of their keys
-    parsed = _parsed(docs, scheme, keys=True)
+    parsed = _parsed(docs, scheme, True, earlier)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = _key(scheme)
     ranked = _doubled(parsed.repartition(parts, *key[:2]), key, earlier)
@@ -237,13 +258,13 @@ def repeated(docs: DataFrame, scheme: Scheme, earlier: bool) -> DataFrame:
     of_key = Window.partitionBy(*key)
     known = classes.withColumn("classes", F.count("*").over(of_key))
     if earlier:
-        known = known.withColumn("least", F.min("doc").over(of_key)).withColumn("most", F.max("last").over(of_key)).where("least < most")
-        known = known.select("seg", "doc", (F.col("doc") < F.col("last")).alias("whole"), (F.col("classes") > 1).alias("open"))
+        known = known.withColumn("least", _as_document(F.min("doc").over(of_key))).withColumn("most", F.max("last").over(of_key)).where("least < most")
+        known = known.select("seg", "doc", (_as_document("doc") < F.col("last")).alias("whole"), (F.col("classes") > 1).alias("open"))
     else:
         known = known.where((F.col("classes") > 1) | (F.col("n") > 1)).select("seg", "doc", (F.col("n") > 1).alias("whole"), (F.col("classes") > 1).alias("open"))
     known = common.checkpointed(known)
     common.release(docs)
-    held = _parsed(docs, scheme, keys=False).join(known.where("whole").select("seg", F.col("doc").alias("least")), "seg")
+    held = _parsed(docs, scheme, False, earlier).join(known.where("whole").select("seg", F.col("doc").alias("least")), "seg")
     segs = _lists(held.where("doc > least") if earlier else held, "seg")
     common.release(docs)
     # a class alone in its key is settled; of the others one document each shows its windows
@@ -253,10 +274,10 @@ def repeated(docs: DataFrame, scheme: Scheme, earlier: bool) -> DataFrame:
         hulls = None
     else:
         part = common.checkpointed(_shown(docs, open_, scheme, single=False, by_doc=earlier))
-        cores = part.groupBy("core").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("core")
+        cores = part.groupBy("core").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low < high").select("core")
         part = common.checkpointed(part.join(cores, "core", "left_semi"))
         common.release(docs)
-        whole = part.where("hull is not null").groupBy("hull").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("hull", "low")
+        whole = part.where("hull is not null").groupBy("hull").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low < high").select("hull", "low")
         told = part.join(whole, "hull", "left").withColumn("settled", F.col("low").isNotNull())
         told = common.checkpointed(told.withColumn("mine", F.col("settled") & (F.col("own") > F.col("low") if earlier else F.lit(True))))
         hulls = _lists(told.where("mine").select("doc", "hull"), "hull")
@@ -264,14 +285,21 @@ def repeated(docs: DataFrame, scheme: Scheme, earlier: bool) -> DataFrame:
         left = told.where("not mine" if earlier else "not settled").select("core").distinct()
         shown = common.checkpointed(_shown(docs, told.join(left, "core", "left_semi").select("doc", "seg", "k"), scheme, single=True, by_doc=earlier))
     common.release(docs)
-    twice = shown.groupBy("window", "second").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("window", "second", "low")
+    twice = shown.groupBy("window", "second").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low < high").select("window", "second", "low")
     mine = shown.join(twice, ["window", "second"])
     mine = mine.where("own > low").select(F.col("own").alias("doc"), "window") if earlier else mine.select(F.col("own").alias("seg"), "window").join(open_, "seg")
     windows = _lists(mine.select("doc", "window"), "window")
     common.release(docs)
     sent = segs.join(windows, "doc", "full_outer")
     sent = sent.join(hulls, "doc", "full_outer") if hulls is not None else sent.withColumn("hulls", F.lit(None).cast("array<bigint>"))
-    return docs.join(sent, "doc", "left")
+    # only texts with something to cut are shuffled, as long as their keys can be broadcast
+    sent = common.checkpointed(sent)
+    ids = sent.select("doc").distinct()
+    if ids.count() > FETCH_IDS:
+        return docs.join(sent, "doc", "left")
+    none = F.lit(None).cast("array<bigint>")
+    rest = docs.join(F.broadcast(ids), "doc", "left_anti").select("*", *(none.alias(c) for c in ("segs", "windows", "hulls")))
+    return docs.join(F.broadcast(ids), "doc", "left_semi").join(sent, "doc").select(*rest.columns).unionByName(rest)
 
 
 def covered(block: Block, scheme: Scheme, segs: pa.Array, hulls: pa.Array, windows: pa.Array) -> np.ndarray:

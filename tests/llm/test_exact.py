@@ -122,6 +122,15 @@ def test_recompression_keeps_text_and_takes_no_rows(spark):
         op3_recompression.scheme(12)
 
 
+def test_rows_without_an_id_have_keys_of_their_own(spark):
+    """They are later than all others, no earlier document to each other, and not sent to one task."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (None, a + " " + b), (None, b), (None, b), (7, c), (None, c), ((1 << 63) - 1, c), (6, a)]
+    for shuffled in (False, True):
+        got = {(r.doc_id, r.n_words, r.n_removed) for r in op3_recompression.dedup(spark.createDataFrame(rows, DOCS).repartition(3 if shuffled else 1), 13, text_out=False).collect()}
+        assert got == {(5, 30, 0), (None, 60, 30), (None, 30, 0), (7, 30, 0), (None, 30, 30), ((1 << 63) - 1, 30, 30), (6, 30, 30)}
+
+
 def test_recompression_of_long_texts(spark, monkeypatch):
     """A text longer than a piece gives the rows that brute force gives, whatever side of a joint its repeats lie on."""
     rng = random.Random(12)
@@ -382,6 +391,43 @@ def test_packing(spark):
     assert op6_packing.pack(df.limit(0)).count() == 0
 
 
+def naive_packing(pieces, capacity):
+    """Best fit by looking at every bin: (piece number -> bin) of pieces (size, source, cluster) in the order given."""
+    bins, out = [], {}
+    for k, (size, source, cluster) in enumerate(pieces):
+        fits = [(room, b) for b, (room, sources, clusters) in enumerate(bins) if room >= size and (source is None or source not in sources) and cluster not in clusters]
+        b = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append([capacity, set(), set()])
+        bins[b][0] -= size
+        bins[b][1].add(source), bins[b][2].add(cluster)
+        out[k] = b
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_packing_against_naive_best_fit(seed):
+    """The same bins as a search over all of them, with hot sources, copies, ties and texts of several bins."""
+    import pandas as pd
+
+    rng = random.Random(seed)
+    rows = [(0, i, rng.choice([rng.randrange(1, 260), 40, 100]), rng.choice(["hot", "hot", "a", "b", None]), rng.randrange(60)) for i in range(150)]
+    got = op6_packing.pack_shard(pd.DataFrame(rows, columns=["shard", "doc_id", "n_words", "source", "cluster"]), 100)
+    ordered = sorted(rows, key=lambda r: (-r[2], r[1]))
+    tails = sorted(((n % 100, doc, source, cluster) for _, doc, n, source, cluster in ordered if n % 100), key=lambda x: -x[0])
+    want = naive_packing([(n, s, c) for n, _, s, c in tails], 100)
+    found = {r.doc_id: r.bin for r in got.itertuples() if r.n_words < 100}
+    assert found == {doc: want[k] for k, (_, doc, _, _) in enumerate(tails)}
+    full = got[got.n_words == 100]
+    assert sorted(full.bin) == list(range(max(want.values()) + 1, max(want.values()) + 1 + sum(n // 100 for _, _, n, _, _ in rows)))
+
+
+def test_repeated_rows_are_dealt_over_shards(spark):
+    df = spark.createDataFrame([(1, "a b c", "s")] * 60 + [(2, "d e", None)] * 3, DOCS + ", source string")
+    got = op6_packing.pack(df, capacity=10, shard_rows=8).toPandas()
+    assert len(got) == 63 and got[got.doc_id == 1].groupby("shard").size().max() < 30 and got.groupby(["shard", "bin"]).doc_id.apply(lambda d: d.is_unique).all()
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     b = op6_packing.Bins()
     assert [b.place(60, 1, 0, 100), b.place(50, 2, 0, 100), b.place(40, 2, 0, 100), b.place(45, 1, 0, 100), b.place(5, 4, 0, 100)] == [0, 1, 0, 1, 1]

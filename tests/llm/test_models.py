@@ -204,6 +204,43 @@ def test_quality(spark):
     assert op2_quality.score(df.limit(0), vectors, net).count() == 0
 
 
+def test_quality_scores_against_naive_loops(spark):
+    """Word vectors, pooling and the network by definition, on a tiny corpus."""
+    import re
+
+    rows = ["Ab cd, 12 cd", "cd ab ab!", "", None, "x" * 3 + " cd cd Ab 7"]
+    kinds = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[!-/:-@\\[-`{-~]+")
+    tokens = [kinds.findall(t or "") for t in rows]
+    data = "\n".join(t or "" for t in rows)
+    known = {}
+    for _, _, _, h, _ in op2_quality._tokens(pa.array(sorted({w for t in tokens for w in t}))):
+        known = dict(zip(sorted({w for t in tokens for w in t}), h.tolist(), strict=True))
+    assert data and len(set(known.values())) == len(known)
+    cells = np.zeros((op2_quality.VOCAB, op2_quality.DIM))
+    for t in tokens:
+        for i, w in enumerate(t):
+            for j, other in enumerate(t):
+                if i != j and abs(i - j) <= op2_quality.REACH:
+                    h = known[other]
+                    for place, sign in ((20, 40), (30, 41)):
+                        cells[known[w] % op2_quality.VOCAB, (h >> place) % op2_quality.DIM] += 1 if (h >> sign) & 1 else -1
+    cells /= np.maximum(np.linalg.norm(cells, axis=1, keepdims=True), 1e-9)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    vectors = op2_quality.word_vectors(df)
+    assert np.allclose(vectors, cells, atol=1e-6)
+    rng = np.random.default_rng(1)
+    width = 3 * op2_quality.DIM + 1
+    net = {"a": rng.normal(size=(width, 4)), "b": rng.normal(size=4), "c": rng.normal(size=4), "d": np.array([0.3]), "mean": rng.normal(size=width), "scale": rng.random(width) + 0.5, "t": 1.7}
+    got = {r.doc_id: r.score for r in op2_quality.score(df, vectors, net).collect()}
+    for i, t in enumerate(tokens):
+        v = np.array([cells[known[w] % op2_quality.VOCAB] for w in t])
+        x = np.concatenate((v.mean(0), v.std(0), v.max(0), [np.log1p(len(t))])) if len(t) else np.zeros(width)
+        z = [min(8, max(-8, (x[k] - net["mean"][k]) / net["scale"][k])) for k in range(width)]
+        hidden = [np.tanh(sum(z[k] * net["a"][k, j] for k in range(width)) + net["b"][j]) for j in range(4)]
+        score = 1 / (1 + np.exp(-(sum(h * c for h, c in zip(hidden, net["c"], strict=True)) + 0.3) / 1.7))
+        assert abs(got[i] - score) < 1e-4
+
+
 def test_temperature_is_fitted_on_rows_not_trained_on():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 5)).astype(np.float32)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ledgerline.llm import op10_decontam
 
+from test_exact import brute_spans, groups
+
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double"
 
 
@@ -50,6 +52,36 @@ def test_stages_take_effect(spark, folder, tmp_path):
     assert "<EMAIL>" in redacted.text and redacted.n_chars == len(redacted.text)
 
 
+def test_stages_against_brute_force(spark, folder):
+    """Near-duplicate, decontamination and personal-data stages keep and change the rows that plain loops do."""
+    rng = random.Random(9)
+    words = [f"v{k}" for k in range(400)]
+    base = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(6)]
+    item = " ".join(f"item{k}" for k in range(20))
+    rows = []
+    for i in range(60):
+        w = rng.choice(base).split()
+        for _ in range(rng.choice([0, 1, 2, 4, 9])):
+            w[rng.randrange(80)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w) + (" " + " ".join(item.split()[: rng.choice([8, 11, 14, 20])]) if i % 7 == 0 else "") + (" call +1 555 123 4567 or a.b@c.org" if i % 5 == 0 else ""), "en", "s", 1, 0.0))
+    docs = spark.createDataFrame(rows, COLUMNS)
+    component = {doc: c for doc, _, c, _ in groups([r[:2] for r in rows], 5, 80)}
+    near = corpus_pipeline.near_duplicates(spark, docs, folder)
+    assert sorted(r.doc_id for r in near.collect()) == sorted({min(d for d in component if component[d] == c) for c in component.values()})
+
+    def contaminated(text):
+        d, b = text.split(), item.split()
+        return any(sum(0 <= s + i < len(d) and d[s + i] == b[k + i] for i in range(13)) >= 11 for s in range(-2, len(d) - 10) for k in range(len(b) - 12))
+
+    clean = corpus_pipeline.decontamination(spark, docs, folder)
+    assert sorted(r.doc_id for r in clean.collect()) == [r[0] for r in rows if not contaminated(r[1])]
+    for r in corpus_pipeline.personal_data(spark, docs, folder).collect():
+        want = rows[r.doc_id][1]
+        base_spans = brute_spans(want)
+        assert all(want[a:b] not in r.text for _, a, b in base_spans) and (base_spans or r.text == want) and r.n_chars == len(r.text)
+        assert r.text.count("<PHONE>") == sum(k == 3 for k, _, _ in base_spans) and r.text.count("<EMAIL>") == sum(k == 0 for k, _, _ in base_spans)
+
+
 def test_rows_are_judged_each_by_its_text(spark, folder):
     """Rows without an id and rows that share one don't fall with another row."""
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
