@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,12 @@ def greedy_match(gold: DataFrame, got: DataFrame, keys: list[str], rel: float =
     names = [*keys, "gold_ord", "got_ord"]
 
     def one(g: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        def out(matched: dict) -> pd.DataFrame:
+            own = {k: pd.Series([g[k].iloc[0]] * len(matched), dtype=object) for k in keys} if len(matched) else {k: pd.Series([], dtype=object) for k in keys}
+            return pd.DataFrame(own | {"gold_ord": np.array(list(matched), np.int64), "got_ord": np.array(list(matched.values()), np.int64)})[names]
+
         if g.empty or r.empty:
-            return pd.DataFrame({n: [] for n in names})
+            return out({})
         g = g.sort_values("ord", kind="stable")
         # candidates by unit (a missing unit agrees with a missing one), in the order of their values; missing values apart
         lists: dict = {}
@@ -50,8 +55,7 @@ def greedy_match(gold: DataFrame, got: DataFrame, keys: list[str], rel: float =
                 if fits:
                     matched[int(ord_)] = min(fits)
                     taken.add(min(fits))
-        rows = [(*(g[k].iloc[0] for k in keys), a, b) for a, b in matched.items()]
-        return pd.DataFrame(rows, columns=names)
+        return out(matched)
 
     # both sides get columns of their own: where they come from one frame, the optimizer would prune the wrong ones
     used = [*keys, *(c for c in ("ord", "value", "unit", "kind") if c not in keys)]

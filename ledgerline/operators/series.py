@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,53 +70,65 @@ def pettitt(points: DataFrame, keys: Keys, min_n: int = 8) -> DataFrame:
     return out.withColumn("shift", F.col("mean_after") - F.col("mean_before")).withColumn("detected", F.coalesce(F.col("p_value") < 0.05, F.lit(False))).withColumn("reason", F.when(few, F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(f" readings; need {min_n}"))))
 
 
-def _slope(points: list[tuple]) -> float:
-    slopes = sorted((b[1] - a[1]) / (b[0] - a[0]) for i, a in enumerate(points) for b in points[i + 1 :] if b[0] != a[0])
-    if not slopes:
-        return 0.0
-    half = len(slopes) // 2
-    return slopes[half] if len(slopes) % 2 else (slopes[half - 1] + slopes[half]) / 2.0
+# Draws of a trend, years it takes, seed of the published figures, draws that must succeed, share of the tails.
+DRAWS, YEARS, SEED, ENOUGH, TAIL = 500, 6, 12345, 20, 0.05
 
 
-def trend(points: DataFrame, keys: Keys, replicates: int = 500, min_n: int = 6, seed: int = 12345) -> DataFrame:
+def _median_slope(t: np.ndarray, v: np.ndarray) -> float:
+    """Median of the slopes between all points at different times; 0 without any."""
+    i, j = np.triu_indices(len(t), 1)
+    dt = t[j] - t[i]
+    slopes = (v[j] - v[i])[dt != 0] / dt[dt != 0]
+    return float(np.median(slopes)) if len(slopes) else 0.0
+
+
+def _draws(n: int, c: np.ndarray, replicates: int, seed: int):
+    """Index sets of the replicates: n drawn with replacement, each kept with the probability of its confidence, in time order."""
+    rng = random.Random(seed)
+    for _ in range(replicates):
+        picked = np.array([rng.randrange(n) for _ in range(n)])
+        kept = np.array([rng.random() for _ in range(n)]) <= c[picked]
+        yield np.sort(picked[kept], kind="stable")
+
+
+def _rank_trend(v: np.ndarray) -> tuple[int, float]:
+    """S of the rank trend and its two-sided p, variance corrected for ties, with continuity."""
+    n = len(v)
+    i, j = np.triu_indices(n, 1)
+    s = int(np.sign(v[j] - v[i]).sum())
+    ties = np.unique(v, return_counts=True)[1]
+    var = (n * (n - 1) * (2 * n + 5) - float((ties * (ties - 1) * (2 * ties + 5)).sum())) / 18.0
+    return s, min(1.0, math.erfc(abs(s - np.sign(s)) / math.sqrt(2.0 * var))) if var > 0 else 1.0
+
+
+def trend(points: DataFrame, keys: Keys, replicates: int = DRAWS, min_n: int = YEARS, seed: int = SEED) -> DataFrame:
     """Trend of each series with an interval that widens as the readings lose confidence.
 
-    A replicate draws n readings and keeps each with the probability of its
-    confidence.  Runs in one grouped pandas call a series: the draws of the
-    generator are sequential, and a series is a few readings a year.
+    One grouped call a series: the draws of a generator follow each other, and a series
+    is a few readings a year.  What cannot be told is a row with its reason.
     """
-    types = {f.name: f.dataType for f in points.schema.fields}
-    schema = ", ".join(f"`{k}` {types[k].simpleString()}" for k in keys) + ", ok boolean, reason string, n int, direction string, significant boolean, p_value double, slope double, low double, high double, stability double, mean_confidence double"
+    types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    told = "ok boolean, reason string, n int, direction string, significant boolean, p_value double, slope double, low double, high double, stability double, mean_confidence double"
+    names = [*keys, *(x.split()[0] for x in told.split(", "))]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(((float(t), float(v), min(1.0, max(0.0, float(c)))) for t, v, c in zip(rows["t"], rows["v"], rows["c"], strict=True)), key=lambda p: p[0])
-        n, head = len(pts), list(rows[keys].iloc[0])
-        mean = sum(p[2] for p in pts) / n
-
-        def row(ok, reason, *rest):
-            return pd.DataFrame([[*head, ok, reason, n, *(rest or [None] * 7), mean]], columns=[*keys, "ok", "reason", "n", "direction", "significant", "p_value", "slope", "low", "high", "stability", "mean_confidence"])
-
+        rows = rows.sort_values("t", kind="stable")
+        t, v, c = (rows[k].to_numpy(float) for k in ("t", "v", "c"))
+        c, n = np.clip(c, 0.0, 1.0), len(t)
+        out = dict.fromkeys(names) | {k: rows[k].iloc[0] for k in keys} | {"n": n, "mean_confidence": float(c.mean()), "ok": False}
         if n < min_n:
-            return row(False, f"only {n} readings; need {min_n}")
-        rng, slopes = random.Random(seed), []
-        for _ in range(replicates):
-            drawn = [pts[rng.randrange(n)] for _ in range(n)]
-            kept = sorted((p for p in drawn if rng.random() <= p[2]), key=lambda p: p[0])
-            if len(kept) >= 3 and kept[0][0] != kept[-1][0]:
-                slopes.append(_slope(kept))
-        if len(slopes) < 20:
-            return row(False, "reading confidence too low to bootstrap a stable slope")
-        slopes.sort()
-        values = [p[1] for p in pts]
-        s = sum((b > a) - (b < a) for i, a in enumerate(values) for b in values[i + 1 :])
-        tied = sum(k * (k - 1) * (2 * k + 5) for k in (values.count(v) for v in set(values)))
-        var = (n * (n - 1) * (2 * n + 5) - tied) / 18.0
-        p = min(1.0, math.erfc(abs((s - (s > 0) + (s < 0)) / math.sqrt(var)) / math.sqrt(2.0))) if var > 0 else 1.0
-        slope, last = _slope(pts), len(slopes) - 1
-        agree = sum((x > 0) - (x < 0) == (slope > 0) - (slope < 0) for x in slopes) / len(slopes)
-        return row(True, "", "increasing" if s > 0 else "decreasing" if s < 0 else "flat", p < 0.05, p, slope, slopes[int(0.05 * last)], slopes[int(0.95 * last)], agree)
-
-    return points.groupBy(*keys).applyInPandas(one, schema)
+            return pd.DataFrame([out | {"reason": f"only {n} readings; need {min_n}"}])
+        some = (d for d in _draws(n, c, replicates, seed) if len(d) >= 3 and t[d[0]] != t[d[-1]])
+        slopes = np.sort([_median_slope(t[d], v[d]) for d in some])
+        if len(slopes) < ENOUGH:
+            return pd.DataFrame([out | {"reason": "reading confidence too low to bootstrap a stable slope"}])
+        s, p = _rank_trend(v)
+        slope, last = _median_slope(t, v), len(slopes) - 1
+        ends = {"low": slopes[int(TAIL * last)], "high": slopes[int((1 - TAIL) * last)]}
+        way = ("flat", "increasing", "decreasing")[int(np.sign(s))]
+        return pd.DataFrame([out | ends | {"ok": True, "reason": "", "direction": way, "significant": p < 0.05, "p_value": p, "slope": slope, "stability": float((np.sign(slopes) == np.sign(slope)).mean())}])
+
+    return points.groupBy(*keys).applyInPandas(one, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + told)
 
 
 def suspects(points: DataFrame, keys: Keys) -> DataFrame:

@@ -7,14 +7,15 @@ reads are made from the columns of the whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import keys as K
 from ledgerline.functions import text as T
 from ledgerline.functions.parameters import resolve, same_measurement
 from ledgerline.operators import batches, decisions, evidence, ledger, narrate, places, records, repairs, sampling, scoring, search, town, vocabulary
-from ledgerline.plans.catalog import ITEM_SQL, ORACLES, QUERIES, items, points, query, t
+from ledgerline.plans import tools
+from ledgerline.plans.catalog import ITEM_SQL, ORACLES, QUERIES, SLOT_SQL, items, points, query, standings, t
 from ledgerline.sources import writers
 
 
@@ -508,4 +509,99 @@ def vocabulary_errors(spark, sf_dir):
     return vocabulary.validation_errors(terms).groupBy(F.col("problem").alias("w")).agg(F.count("*").cast("int").alias("n"))
 
 
+@query("SELECT lower(n_name) AS place, count(DISTINCT year(o_orderdate)) AS n, CAST(min(year(o_orderdate)) AS INTEGER) AS first_year FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def years_of_places(spark, sf_dir):
+    n = t(spark, sf_dir, "nation")
+    x = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    x = tools.years_of(x.select(F.col("n_name").alias("place"), F.date_format("o_orderdate", "yyyy-MM").alias("period")))
+    return x.select("place", F.size("years").cast("long").alias("n"), F.get("years", F.lit(0)).alias("first_year"))
+
+
+@query("SELECT c_nationkey AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name), 'ation_1') GROUP BY 1")
+def library_lookup(spark, sf_dir):
+    c = t(spark, sf_dir, "customer").join(t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("place", F.col("n_name"))
+    return tools.held(c, " ATION_1 ").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT problem, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN s_suppkey % 3 = 0 AND s_nationkey % 2 = 0 THEN 'declared tier 0 but requires header auth; tier 0 means keyless' END, CASE WHEN s_suppkey % 3 > 0 THEN 'tier ' || s_suppkey % 3 || ' but no env_var to read a key from' END, CASE WHEN s_nationkey > 15 THEN 'endpoint is not https' END], lambda x: x IS NOT NULL)) AS problem FROM supplier) GROUP BY 1")
+def provider_problems(spark, sf_dir):
+    s = t(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 3).alias("tier"), F.when(F.col("s_nationkey") > 15, "http://x").otherwise("https://x").alias("endpoint"), F.lit("CC0").alias("licence"), F.when(F.col("s_nationkey") % 2 == 0, "header").otherwise("none").alias("auth_mode"), F.lit("").alias("env_var"))
+    return tools.provider_problems(s).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SLOT_SQL}, a AS (SELECT slot, count(*) FILTER (WHERE verified) AS verified, count(DISTINCT value) FILTER (WHERE verified) AS v, count(DISTINCT (identifier, page)) FILTER (WHERE verified) AS pages, count(DISTINCT quote) FILTER (WHERE verified) AS quotes FROM sl GROUP BY slot), b AS (SELECT CASE WHEN verified = 0 THEN 'unsupported' WHEN v <= 1 THEN 'settled' WHEN pages = 1 AND quotes = verified THEN 'undistinguished' ELSE 'contested' END AS state FROM a) SELECT count(*) AS slots, count(*) FILTER (WHERE state = 'settled') AS settled, count(*) FILTER (WHERE state = 'contested') AS contested, count(*) FILTER (WHERE state = 'undistinguished') AS undistinguished, count(*) FILTER (WHERE state = 'unsupported') AS unsupported FROM b")
+def ledger_report(spark, sf_dir):
+    return tools.ledger_report(ledger.slots(standings(spark, sf_dir)))
+
+
+@query(f"WITH {SLOT_SQL}, a AS (SELECT slot, count(DISTINCT value) AS n_values, count(DISTINCT (identifier, page)) AS pages, count(DISTINCT quote) AS quotes, count(*) AS n FROM sl WHERE verified GROUP BY slot) SELECT slot, n_values, quotes = 1 AS same_sentence FROM a WHERE n_values > 1 AND NOT (pages = 1 AND quotes = n) ORDER BY n_values DESC, slot LIMIT 20")
+def disputed_slots(spark, sf_dir):
+    return tools.disputed(standings(spark, sf_dir)).select("slot", "n_values", "same_sentence")
+
+
+def answer_sheet(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A gold page for each line number of an order below four, and a reading of each: every value is its own, kinds and streams of one part in three are wrong."""
+    x = t(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    order = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_extendedprice", "l_shipdate"))
+    x = x.withColumn("ord", order.cast("long")).select(F.col("l_orderkey").cast("string").alias("identifier"), F.col("l_linenumber").alias("page"), "ord", (F.lit(10.0) * F.pow(F.lit(2.0), F.col("ord").cast("double"))).alias("value"), F.lit("mg/l").alias("unit"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("stream"), "l_partkey")
+    wrong = F.col("l_partkey") % 3 == 0
+    got = x.select("identifier", "page", "ord", "value", "unit", F.when(wrong, "none").otherwise(F.col("kind")).alias("kind"), F.when(wrong, "none").otherwise(F.col("stream")).alias("stream"))
+    return x.drop("l_partkey"), got
+
+
+@query("SELECT CAST(1 AS DOUBLE) AS precision, CAST(1 AS DOUBLE) AS recall, round(count(*) FILTER (WHERE l_partkey % 3 <> 0) / CAST(count(*) AS DOUBLE), 6) AS kind_accuracy, round(count(*) FILTER (WHERE l_partkey % 3 <> 0) / CAST(count(*) AS DOUBLE), 6) AS stream_accuracy FROM lineitem WHERE l_linenumber <= 3")
+def rescored_run(spark, sf_dir):
+    totals, _ = tools.rescored(*answer_sheet(spark, sf_dir))
+    return totals.select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "kind_accuracy", "stream_accuracy")))
+
+
+@query("SELECT l_returnflag AS gold_kind, 'none' AS got_kind, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 AND l_partkey % 3 = 0 GROUP BY 1")
+def kind_confusions(spark, sf_dir):
+    return tools.kind_confusions(*answer_sheet(spark, sf_dir))
+
+
+@query("WITH x AS (SELECT p_type AS canonical, lower(p_brand) AS spelling FROM part) SELECT CASE WHEN canonical = 'STANDARD' THEN 'forestry' ELSE 'unsorted' END AS domain, spelling, canonical FROM x GROUP BY ALL UNION SELECT CASE WHEN canonical = 'STANDARD' THEN 'forestry' ELSE 'unsorted' END, canonical, canonical FROM x")
+def applied_reviews(spark, sf_dir):
+    p = t(spark, sf_dir, "part").groupBy(F.col("p_type").alias("stem")).agg(F.count("*").alias("n"), F.collect_set("p_brand").alias("variants")).withColumn("units", F.array().cast("array<string>"))
+    return tools.applied_review(tools.review_file(p).withColumn("decision", F.lit("keep")))
+
+
+@query("WITH s AS (SELECT o_custkey AS c, CAST(min(year(o_orderdate)) AS INTEGER) AS f FROM orders GROUP BY 1) SELECT 'c' || c AS place, f AS first_year, c % 2 = 0 AS extracted, CASE WHEN c % 3 = 0 THEN CAST(c AS DOUBLE) END AS lat FROM s")
+def silent_municipalities(spark, sf_dir):
+    name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    o = t(spark, sf_dir, "orders")
+    silences = o.groupBy("o_custkey").agg(F.min(F.year("o_orderdate")).alias("first_year")).select(name("o_custkey").alias("place"), "first_year")
+    c = t(spark, sf_dir, "customer")
+    located = c.where("c_custkey % 3 = 0").select(F.upper(name("c_custkey")).alias("place"), F.col("c_custkey").cast("double").alias("lat"), F.lit(1.0).alias("lon"))
+    read = c.where("c_custkey % 2 = 0").select(name("c_custkey").alias("place"), F.lit("1960").alias("period"))
+    return tools.municipalities(silences, located, read).select("place", "first_year", "extracted", "lat")
+
+
+@query("SELECT p_brand AS stratum, least(3, count(DISTINCT p_name)) AS documents FROM part GROUP BY 1 ORDER BY count(DISTINCT p_name) DESC, p_brand LIMIT 10")
+def trial_pages(spark, sf_dir):
+    pages = t(spark, sf_dir, "part").select(F.col("p_brand").alias("stratum"), F.col("p_name").alias("identifier"), F.col("p_size").alias("page"))
+    return batches.trial_pages(pages, strata=10, documents=3).groupBy("stratum").agg(F.count("*").alias("documents"))
+
+
+@query("SELECT p_brand AS place, count(*) = count(*) FILTER (WHERE p_size % 7 <> 0) AS complete, count(DISTINCT p_partkey) FILTER (WHERE p_size % 7 = 0) AS missing FROM part GROUP BY 1")
+def batch_completion(spark, sf_dir):
+    p = t(spark, sf_dir, "part").select(F.col("p_brand").alias("place"), F.col("p_partkey").cast("string").alias("identifier"), "p_size")
+    x = batches.complete(p.where("p_size % 7 <> 0").drop("p_size"), p)
+    return x.select("place", "complete", F.size("missing").cast("long").alias("missing"))
+
+
+@query("SELECT p_size % 2 = 0 AS valid, count(*) AS n FROM part GROUP BY 1")
+def verbatim_evidence(spark, sf_dir):
+    text = F.concat(F.lit("printed in "), "p_name", F.lit(", "), "p_brand")
+    said = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(", "), "p_brand")).otherwise(F.upper("p_name"))
+    return t(spark, sf_dir, "part").select(batches.guess_is_valid(said, text).alias("valid")).groupBy("valid").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lower(p_type) AS stem, count(*) AS n, count(DISTINCT p_brand) AS families FROM part GROUP BY 1")
+def survey_terms(spark, sf_dir):
+    p = t(spark, sf_dir, "part").select(F.concat(F.lit("Average "), "p_type").alias("parameter"), F.lit(None).cast("string").alias("unit"), F.concat(F.lit("the average "), F.lower("p_type")).alias("source_text"), F.lit("s").alias("stratum"), F.col("p_brand").alias("family"), F.lit(80.0).alias("ocr_confidence"))
+    return vocabulary.survey(vocabulary.observed(p)).where("archive_language and not settled and not suspect").select(F.col("term").alias("stem"), "n", "families")
+
+
+
 __all__ = ["ORACLES", "QUERIES"]
