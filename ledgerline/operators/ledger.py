@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import evidence_tokens
+
 
 def first_wins(rows: DataFrame, key: str, ord_: str) -> DataFrame:
     """One row for each key, the one that came first; ties by the whole row."""
@@ -30,7 +32,7 @@ def slots(standings: DataFrame, slot: str = "slot") -> DataFrame:
         F.count_if(ok).alias("verified"),
         F.count_distinct(F.when(ok, F.col("value"))).alias("n_values"),
         F.count_distinct(F.when(ok, page)).alias("pages"),
-        F.count_distinct(F.when(ok, F.col("quote"))).alias("quotes"),
+        F.count_distinct(F.when(ok, F.array_join(evidence_tokens("quote"), chr(31)))).alias("quotes"),
     )
     state = F.when(F.col("verified") == 0, "unsupported").when(F.col("n_values") <= 1, "settled").when((F.col("pages") == 1) & (F.col("quotes") == F.col("verified")), "undistinguished").otherwise("contested")
     return x.withColumn("state", state)

@@ -154,9 +154,10 @@ def majority_unit(readings: DataFrame, keys: Keys, unit: str = "unit", ord_: str
     parsed = parsed.withColumn("_q", parse_unit(known["unit"], known.get("era"), known.get("flow")))
     same = [F.col(g).eqNullSafe(F.col(h)) for g, h in zip(given, hidden, strict=True)]
     x = readings.join(parsed, same, "left").drop(*hidden).withColumn("_base", F.col("_q.base"))
-    vote = x.where("_base is not null").groupBy(*keys, "_base").agg(F.count("*").alias("_votes"), F.min(ord_).alias("_first"))
-    vote = vote.groupBy(*keys).agg(F.min(F.struct((-F.col("_votes")).alias("_votes"), "_first", "_base")).alias("_best")).select(*keys, F.col("_best._base").alias("series_unit"))
-    x = x.join(vote, keys, "left")
+    # one exchange by the series: votes are counted where its readings lie together
+    series, by_unit = Window.partitionBy(*keys), Window.partitionBy(*keys, "_base")
+    vote = F.when(F.col("_base").isNotNull(), F.struct((-F.count("*").over(by_unit)).alias("votes"), F.min(ord_).over(by_unit).alias("first"), F.col("_base").alias("unit")))
+    x = x.withColumn("_vote", vote).withColumn("series_unit", F.min("_vote").over(series)["unit"]).drop("_vote")
     why = F.when(F.col("_base").isNull(), F.concat(F.lit("unrecognised unit "), F.coalesce(F.col(unit), F.lit("none")))).when(F.col("_base") != F.col("series_unit"), F.concat(F.col("_base"), F.lit(" ("), F.col("_q.dimension"), F.lit(") is not comparable with the series unit "), F.col("series_unit")))
     return x.withColumn("rejected", why).drop("_base").withColumnRenamed("_q", "parsed_unit")
 

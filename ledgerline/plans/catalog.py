@@ -116,13 +116,13 @@ def exceedance_rate(spark, sf_dir):
     return series.exceedance(x, ["stream"], "l_extendedprice", "limit", "year").select("stream", "n", "n_exceeding", r6("rate").alias("rate"), F.array_join("years", ",").alias("years"))
 
 
-STANDARD = "st AS (SELECT DISTINCT p_brand AS b, CAST(1990 + p_size % 20 AS INTEGER) AS sy, CAST(p_size AS DOUBLE) AS sv FROM part WHERE p_size % 7 = 0), ob AS (SELECT p_partkey AS id, p_brand AS b, CAST(1990 + p_partkey % 25 AS INTEGER) AS y FROM part)"
+STANDARD = "st AS (SELECT DISTINCT p_brand AS b, CAST(1990 + p_size % 20 AS INTEGER) AS sy, CAST(p_size AS DOUBLE) AS sv FROM part), ob AS (SELECT p_partkey AS id, p_brand AS b, CAST(1990 + p_partkey % 25 AS INTEGER) AS y FROM part)"
 
 
 @query(f"WITH {STANDARD}, x AS (SELECT id, sy, sv, CASE WHEN sy > y THEN 1 ELSE 0 END AS later, abs(y - sy) AS gap FROM ob JOIN st USING (b) WHERE abs(y - sy) <= 15), r AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY later, gap) AS k FROM x) SELECT id, min(sy) AS standard_year, CAST(count(DISTINCT sv) AS INTEGER) AS n_values, min(sv) AS low, max(sv) AS high, CASE WHEN count(DISTINCT sv) = 1 THEN 'limit' WHEN count(DISTINCT sv) = 2 THEN 'range' ELSE 'ambiguous' END AS verdict FROM r WHERE k = 1 GROUP BY id")
 def standard_asof_nearest(spark, sf_dir):
     p = t(spark, sf_dir, "part")
-    s = p.where("p_size % 7 = 0").select(F.col("p_brand").alias("b"), (F.lit(1990) + F.col("p_size") % 20).cast("int").alias("year"), F.col("p_size").cast("double").alias("value")).distinct()
+    s = p.select(F.col("p_brand").alias("b"), (F.lit(1990) + F.col("p_size") % 20).cast("int").alias("year"), F.col("p_size").cast("double").alias("value")).distinct()
     o = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("b"), (F.lit(1990) + F.col("p_partkey") % 25).cast("int").alias("year"))
     x = series.standard_for(o, s, ["b"], "id")
     return x.select("id", "standard_year", F.size("values").alias("n_values"), F.array_min("values").alias("low"), F.array_max("values").alias("high"), "verdict")
@@ -175,11 +175,11 @@ def record_key_dedup(spark, sf_dir):
     return records(spark, sf_dir).groupBy("key").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_order")).where("n > 1")
 
 
-@query(f"WITH {READING_SQL}, e AS (SELECT key FROM rk WHERE l_orderkey % 3 = 0), i AS (SELECT * FROM rk WHERE l_orderkey % 3 <> 0 AND l_orderkey % 5 = 0 OR l_orderkey % 6 = 0) SELECT key, min(l_orderkey) AS l_orderkey FROM i WHERE key NOT IN (SELECT key FROM e) GROUP BY key")
+@query(f"WITH {READING_SQL} SELECT key, min(l_orderkey) AS l_orderkey FROM rk WHERE key NOT IN (SELECT key FROM rk WHERE stream = 'A') GROUP BY key")
 def merge_anti_join(spark, sf_dir):
-    x = records(spark, sf_dir).select("key", "l_orderkey")
-    new = x.where("l_orderkey % 3 <> 0 and l_orderkey % 5 = 0 or l_orderkey % 6 = 0")
-    return ledger.fresh(new, x.where("l_orderkey % 3 = 0"), "key", "l_orderkey").select("key", "l_orderkey")
+    """The whole library offered to what is there of one stream."""
+    x = records(spark, sf_dir).select("key", "l_orderkey", "stream")
+    return ledger.fresh(x.drop("stream"), x.where("stream = 'A'"), "key", "l_orderkey").select("key", "l_orderkey")
 
 
 @query("SELECT substr(sha256(array_to_string(list_sort(list(key)), '|')), 1, 16) AS bundle_id, place, period, stream, count(*) AS n_records FROM (WITH " + READING_SQL + " SELECT key, place, CAST(yr AS VARCHAR) AS period, stream FROM rk) GROUP BY ALL")
@@ -207,9 +207,9 @@ def ledger_most_flagged(spark, sf_dir):
     return ledger.most_flagged(flags, claims.dropDuplicates(["claim_id"]))
 
 
-@query(f"WITH {SLOT_SQL}, a AS (SELECT split_part(slot, '|', 1) AS place, slot FROM sl GROUP BY ALL HAVING count(DISTINCT value) FILTER (WHERE verified) > 2), b AS (SELECT *, CAST(row_number() OVER (PARTITION BY place ORDER BY slot) AS INTEGER) AS turn FROM a) SELECT place, slot, turn FROM b ORDER BY turn, place, slot LIMIT 60")
+@query(f"WITH {SLOT_SQL}, a AS (SELECT split_part(slot, '|', 1) AS place, slot FROM sl GROUP BY ALL HAVING count(DISTINCT value) FILTER (WHERE verified) > 1 AND NOT (count(DISTINCT (identifier, page)) FILTER (WHERE verified) = 1 AND count(DISTINCT quote) FILTER (WHERE verified) = count(*) FILTER (WHERE verified))), b AS (SELECT *, CAST(row_number() OVER (PARTITION BY place ORDER BY slot) AS INTEGER) AS turn FROM a) SELECT place, slot, turn FROM b ORDER BY turn, place, slot LIMIT 60")
 def contested_round_robin(spark, sf_dir):
-    x = ledger.slots(standings(spark, sf_dir)).where("n_values > 2").select("slot").withColumn("place", F.split_part("slot", F.lit("|"), F.lit(1)))
+    x = ledger.slots(standings(spark, sf_dir)).where("state = 'contested'").select("slot").withColumn("place", F.split_part("slot", F.lit("|"), F.lit(1)))
     return ledger.round_robin(x, "place", "slot").select("place", "slot", "turn")
 
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import evidence_tokens
 from ledgerline.operators import decisions, narrate, scoring, series, town, vocabulary
 from ledgerline.plans.views import reading_series
 
@@ -84,7 +85,7 @@ def watershed_page(rivers: DataFrame) -> DataFrame:
 def disputed(standings: DataFrame, limit: int = 20) -> DataFrame:
     """Contested slots of standings (slot, value, verified, identifier, page, quote), those with most readings first: the values that survive with where each stands, and whether one sentence is read in two ways."""
     ok = standings.where("verified")
-    quotes = F.count_distinct(F.trim(F.lower(F.regexp_replace("quote", r"\W+", " "))))
+    quotes = F.count_distinct(F.array_join(evidence_tokens("quote"), chr(31)))
     x = ok.groupBy("slot").agg(F.sort_array(F.collect_set(F.struct("value", "identifier", "page", "quote"))).alias("readings"), F.count_distinct("value").alias("n_values"), F.count_distinct(F.struct("identifier", "page")).alias("pages"), quotes.alias("quotes"), F.count("*").alias("n"))
     listed = (F.col("pages") == 1) & (F.col("quotes") == F.col("n"))
     x = x.where((F.col("n_values") > 1) & ~listed).withColumn("same_sentence", F.col("quotes") == 1)
