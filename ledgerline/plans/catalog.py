@@ -233,13 +233,32 @@ def evidence_verdict(spark, sf_dir):
     return evidence.verdicts(rec, pages, ["id"]).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(len(regexp_extract_all(text, '[A-Za-z]{3,}')) AS INTEGER) AS words, CAST(len(regexp_extract_all(text, '-?\d[\d,]*\.?\d*')) AS INTEGER) AS numbers, round(len(regexp_extract_all(text, '\p{Nd}')) / CAST(greatest(1, len(regexp_extract_all(text, '\p{Nd}')) + len(regexp_extract_all(text, '\p{L}'))) AS DOUBLE), 6) AS digit_ratio FROM documents""")
+def hits_sql(pattern: str, text: str = "text") -> str:
+    return f"len(regexp_extract_all({text}, '" + pattern.replace("'", "''") + "'))"
+
+
+SIGNAL_SQL = f"""l AS (SELECT doc_id, source, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l0 FROM documents),
+m AS (SELECT *, CASE WHEN len(l0) = 0 THEN [text] ELSE l0 END AS ls FROM l),
+p AS (SELECT *, list_transform(ls, lambda x: {hits_sql(T.WORD, 'x')}) AS w, list_transform(ls, lambda x: {hits_sql(T.NUMBER, 'x')}) AS n, len(ls) AS k FROM m),
+q AS (SELECT *, list_sort(w) AS o FROM p),
+r AS (SELECT *, CAST(trunc(greatest(4, least(8, (o[(k + 1) // 2] + o[k // 2 + 1]) / 2.0))) AS INTEGER) AS line_width FROM q),
+sg AS (SELECT doc_id, source, length(text) AS chars, {hits_sql(T.WORD)} AS words, {hits_sql(T.NUMBER)} AS numbers,
+  {hits_sql(chr(92) + 'p{Nd}')} / CAST(greatest(1, {hits_sql(chr(92) + 'p{Nd}')} + {hits_sql(chr(92) + 'p{L}')}) AS DOUBLE) AS digit_ratio,
+  len(list_filter(range(1, k + 1), lambda i: w[i] >= line_width AND n[i] <= 3)) / CAST(k AS DOUBLE) AS prose_ratio, len(list_filter(range(1, k + 1), lambda i: n[i] >= 5 AND w[i] <= 4)) / CAST(k AS DOUBLE) AS table_ratio, line_width,
+  {hits_sql(T.UNIT)} + {hits_sql(T.COUNTED)} AS unit_hits, {hits_sql(T.STANDARD)} AS standard_hits, {hits_sql(T.FIGURE)} AS figure_hits, {hits_sql(T.MAP)} AS map_hits, regexp_matches(text, '{T.BOILERPLATE}') AS boilerplate FROM r)"""
+RATIOS = ("digit_ratio", "prose_ratio", "table_ratio")
+COUNTS = ("chars", "words", "numbers", "line_width", "unit_hits", "standard_hits", "figure_hits", "map_hits")
+
+
+@query(f"WITH {SIGNAL_SQL} SELECT doc_id, {', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in COUNTS)}, {', '.join(f'round({c}, 6) AS {c}' for c in RATIOS)}, boilerplate FROM sg")
 def page_signals(spark, sf_dir):
     s = t(spark, sf_dir, "documents").select("doc_id", T.page_signals("text").alias("s"))
-    return s.select("doc_id", "s.chars", "s.words", "s.numbers", r6("s.digit_ratio").alias("digit_ratio"))
+    return s.select("doc_id", *(F.col(f"s.{c}").cast("int").alias(c) for c in COUNTS), *(r6(f"s.{c}").alias(c) for c in RATIOS), "s.boilerplate")
 
 
-@query()
+@query(f"""WITH {SIGNAL_SQL}, x AS (SELECT *, list_filter([CASE WHEN prose_ratio >= 0.15 AND unit_hits > 0 THEN 'prose' END, CASE WHEN standard_hits >= 1 AND unit_hits > 0 THEN 'standard' END, CASE WHEN table_ratio >= 0.08 OR (digit_ratio >= 0.30 AND numbers >= 20) THEN 'table' END, CASE WHEN figure_hits >= 1 AND digit_ratio < 0.30 THEN 'figure' END, CASE WHEN map_hits >= 3 THEN 'map' END], lambda v: v IS NOT NULL) AS told FROM sg),
+y AS (SELECT source, CASE WHEN map_hits >= 2 AND chars < 1200 THEN ['map'] WHEN chars < 120 OR (boilerplate AND numbers < 5) THEN ['skip'] WHEN len(told) > 0 THEN told WHEN prose_ratio >= 0.30 AND numbers >= 3 THEN ['prose'] ELSE ['skip'] END AS paths FROM x)
+SELECT source, path, count(*) AS n FROM (SELECT source, unnest(paths) AS path FROM y) GROUP BY 1, 2""")
 def page_routes(spark, sf_dir):
     s = t(spark, sf_dir, "documents").select("doc_id", "source", T.page_signals("text").alias("s"))
     return s.select("source", F.explode(T.page_routes("s")).alias("path")).groupBy("source", "path").agg(F.count("*").alias("n"))
@@ -387,7 +406,10 @@ def rarest_collection_stratify(spark, sf_dir):
     return sampling.rarest_stratum(i, "item", "c", ["5-LOW"])
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT source, count(*) AS size FROM documents GROUP BY 1), w AS (SELECT source, least(size, greatest(1, CAST(round_even(100 * sqrt(size) / sum(sqrt(size)) OVER (), 0) AS BIGINT))) AS q FROM s),
+r(names, q, i) AS (SELECT list(source ORDER BY source), list(q ORDER BY source), 0 FROM w UNION ALL
+  SELECT names, list_transform(range(1, len(q) + 1), lambda k: q[k] - CASE WHEN k = len(q) - list_position(list_reverse(q), list_max(q)) + 1 THEN 1 ELSE 0 END), i + 1 FROM r WHERE list_sum(q) > 100 AND list_max(q) > 1)
+SELECT unnest(names) AS stratum, CAST(unnest(q) AS INTEGER) AS quota FROM (SELECT * FROM r ORDER BY i DESC LIMIT 1)""")
 def sqrt_allocation(spark, sf_dir):
     sizes = {r["source"]: r["n"] for r in t(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).collect()}
     return spark.createDataFrame(sorted(sampling.allocate(sizes, 100).items()) or [("", 0)], "stratum string, quota int")
@@ -450,7 +472,10 @@ def html_page_parse(spark, sf_dir):
     return readers.html_pages(t(spark, sf_dir, "pages")).select("page_id", "title", F.col("n_links").cast("int").alias("n_links"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r(user_id, i, held, admitted) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST([] AS DOUBLE[]), CAST(0 AS BIGINT) FROM e UNION ALL
+  SELECT r.user_id, e.i, CASE WHEN len(list_filter(held, lambda h: t - h < 3600)) < 3 THEN list_append(list_filter(held, lambda h: t - h < 3600), t) ELSE list_filter(held, lambda h: t - h < 3600) END, admitted + CASE WHEN len(list_filter(held, lambda h: t - h < 3600)) < 3 THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, max(admitted) AS admitted, max(i) AS n FROM r GROUP BY 1""")
 def rate_limiter_admission(spark, sf_dir):
     return stateful.rate_limit(t(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 3600.0).groupBy("user_id").agg(F.count_if("admitted").alias("admitted"), F.count("*").alias("n"))
 

@@ -418,13 +418,6 @@ def trend_sentences(spark, sf_dir):
     return series.trend(points(spark, sf_dir), ["series"]).select("series", F.when(F.col("ok"), "computed").otherwise(said).alias("said"))
 
 
-@query("WITH s AS (SELECT source, count(*) AS size FROM documents GROUP BY 1), w AS (SELECT source, size, sqrt(size) / sum(sqrt(size)) OVER () AS share FROM s), a AS (SELECT source, least(size, greatest(1, CAST(round_even(100 * share, 0) AS BIGINT))) AS q FROM w) SELECT count(*) AS strata, CAST(least(100, sum(q)) AS BIGINT) AS total FROM a")
-def allocated_budget(spark, sf_dir):
-    sizes = {r["source"]: r["n"] for r in t(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).collect()}
-    got = sampling.allocate(sizes, 100)
-    return spark.createDataFrame([(len(got), sum(got.values()))], "strata long, total long")
-
-
 @query("SELECT p_type AS name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, name LIMIT 1")
 def vocabulary_matches(spark, sf_dir):
     p = t(spark, sf_dir, "part")
