@@ -407,6 +407,6 @@ def op4_pii(spark, sf_dir: str) -> DataFrame:
     found = find(docs, train(docs))
     of = lambda k: F.filter("base", lambda x: x["kind"] == k)
     n = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *n, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *n, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 

@@ -215,6 +215,17 @@ def test_hot_group_whose_first_ids_are_edited_most(spark):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(i, 0, i == 0) for i in range(161)]
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(21)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    other = list(long)
+    for i in range(0, 60_000, 20):
+        other[i] = f"e{i}"
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(reversed(long))), (4, "short"), (5, " ".join(long))]
+    got = op7_minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 2, 80).collect()
+    assert sorted((tuple(r) for r in got), key=str) == groups(rows, 2, 80) and {r.component_id for r in got if r.doc_id in (1, 2, 5)} == {1}
+
+
 def test_rows_of_one_id_in_several_classes(spark):
     """A shared id connects its classes, whichever of them holds the smallest id."""
     for rows in ([(3, "b b2 b3"), (5, "b b2 b3"), (5, "a a2 a3")], [(9, "x x1"), (2, "x x1"), (9, "y y1"), (9, "z z1"), (4, "z z1"), (None, "y y1"), (7, "q q1")]):
@@ -335,6 +346,13 @@ def test_pii_field_adds_and_base_stays(spark):
     assert op4_pii.find(frame(spark, rows).limit(0), op4_pii.train(frame(spark, rows).limit(0))).count() == 0
 
 
+def test_pii_of_very_long_texts(spark):
+    text = ("word " * 3000 + "a.b@c.org 10.0.0.1 +1 555 123 4567 4111 1111 1111 1111 ") * 40 + "1" * 5000 + " " + "x" * 100_000
+    got = op4_pii.find(spark.createDataFrame([(1, text), (2, None), (3, "")], DOCS), op4_pii.Field()).collect()
+    found = {r.doc_id: [(op4_pii.KINDS.index(s.kind), s.start, s.end) for s in r.base] for r in got}
+    assert sorted(found[1]) == sorted(brute_spans(text)) and len(found[1]) >= 160 and found[2] == found[3] == []
+
+
 def segmentations(group):
     """All sets of candidates that do not overlap, in order of place."""
     if not group:
