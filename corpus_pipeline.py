@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and reread as the next stage's docs.  All but the last return the columns of docs.
 Columns beyond those a stage works on pass through it, whatever their names.
+
+Defined cases, for every stage: an empty table gives an empty one; a null text counts as
+empty; rows without an id, and rows that share one, are judged each by its own text; a
+repeated row is judged like the first.  Of rows equal in id and text near-dedup keeps one.
 """
 
 from __future__ import annotations
@@ -29,7 +33,11 @@ def _sent(rows: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Learned from labelled documents outside the held-out fifth.  Null and empty texts get
+    the score of a text without words; without labels every score is one half, and all stay.
+    """
     labels = common.table(spark, sf_dir, "labels").select("doc_id", "quality").where(~common.held_out("doc_id", 5, 0))
     vectors, net = op2_quality.train(docs.select("doc_id", "text"), labels)
     rows, names, text = _numbered(docs)
@@ -59,12 +67,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage.
+
+    Null and empty texts hold none; benchmark rows count whether they have an id or not; an
+    empty benchmark leaves all documents.
+    """
     return op10_decontam.clean(docs, common.table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, spans of personal data replaced by their kind; n_chars follows the text."""
+    """All documents, spans of personal data replaced by their kind; n_chars follows the text.
+
+    A null text stays null, and its n_chars is null then.
+    """
     field = op4_pii.train(docs.select("doc_id", "text"))
     rows, names, text = _numbered(docs)
     found = op4_pii.find(rows, field, text=text, keep=tuple(rows.columns)).withColumn(text, F.col("redacted"))
@@ -75,7 +90,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(shard, bin, doc_id, start, n_words): where each piece of each document goes."""
+    """(shard, bin, doc_id, start, n_words): where each piece of each document goes.
+
+    Documents without words are in no bin; documents without a source conflict with none.
+    """
     return op6_packing.pack(docs.select("doc_id", "text", "source"))
 
 
