@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.functions import numerals
+from ledgerline.functions import numerals, quotes
+from ledgerline.operators import places, records, repairs
 
 #: SQL bodies of temporary functions: name, arguments, body.
 BODIES = (
@@ -16,9 +19,32 @@ BODIES = (
 )
 
 
+#: Vectorised functions: name, result, Python function of one text.
+TEXT_FUNCTIONS = (
+    ("ll_words_to_number", "double", lambda x: numerals.words_to_number(x) if x else None),
+    ("ll_evidence_tokens", "array<string>", lambda x: [t for t, _, _ in quotes.tokens(x or "")]),
+    ("ll_place_key", "string", places.folded_name),
+    ("ll_term_key", "string", records.term_key),
+    ("ll_readable", "string", lambda x: repairs.human_number(float(x)) if x else ""),
+)
+
+
 def register(spark: SparkSession) -> list[str]:
     """Publish the scalar functions to SQL; returns their names."""
     for name, args, body in BODIES:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURN {body}")
-    spark.udf.register("ll_words_to_number", lambda x: numerals.words_to_number(x) if x else None, "double")
-    return [b[0] for b in BODIES] + ["ll_words_to_number"]
+    for name, result, function in TEXT_FUNCTIONS:
+        spark.udf.register(name, _vectorised(function, result))
+
+    def value_in_quote(value: pd.Series, quote: pd.Series) -> pd.Series:
+        return pd.Series([quotes.value_in_quote(None if pd.isna(v) else float(v), q or "")[0] for v, q in zip(value, quote, strict=True)])
+
+    spark.udf.register("ll_value_in_quote", F.pandas_udf(value_in_quote, "string"))
+    return [b[0] for b in BODIES] + [t[0] for t in TEXT_FUNCTIONS] + ["ll_value_in_quote"]
+
+
+def _vectorised(function, result: str):
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: function(None if v is None else v))
+
+    return F.pandas_udf(run, result)

@@ -143,6 +143,8 @@ def test_sql_functions(spark):
     assert "ll_slug" in sql.register(spark)
     r = spark.sql("SELECT ll_slug('A b!') AS a, ll_words_to_number('twenty two') AS b, ll_values_match(100, 100.5) AS c").first()
     assert (r.a, r.b, r.c) == ("a-b", 22.0, True)
+    r = spark.sql("SELECT ll_evidence_tokens('Flow > 3. 12') AS a, ll_value_in_quote(3.12, 'was 3.12') AS b, ll_place_key('Élora Twp') AS c, ll_term_key('B.O.D') AS d, ll_value_in_quote(CAST(NULL AS DOUBLE), NULL) AS e").first()
+    assert (r.a, r.b, r.c, r.e) == (["word:flow", "semantic:>", "number:3.12"], "ok", "elora township", "unchecked")
 
 
 def test_stream_limiter(spark, tmp_path):
