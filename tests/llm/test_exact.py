@@ -240,10 +240,15 @@ def test_near_duplicates_in_a_mixed_corpus(spark):
     assert op7_minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_components_of_chains_and_stars(spark, monkeypatch, bound):
+    from ledgerline.llm import components as module
+
+    monkeypatch.setattr(module, "BROADCAST_EDGES", bound)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
+    assert components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
 
 
 def test_top_k(spark):
