@@ -38,8 +38,9 @@ def containing(passages: DataFrame, pages: DataFrame) -> DataFrame:
         found = some if found is None else found.unionByName(some)
     if found is None:
         return passages.select("passage_id").join(pages.select("page_id"), F.lit(False))
-    pairs = found.distinct().join(p.select("passage_id", "q"), "passage_id").join(tokens, "page_id")
-    return pairs.where(T.contains_run(F.col("t"), F.col("q"))).select("passage_id", "page_id").distinct()
+    # only pages with a candidate are tokenised again
+    pairs = found.distinct().join(p.select("passage_id", "q"), "passage_id").join(pages.select("page_id", "text"), "page_id")
+    return pairs.where(T.contains_run(T.evidence_tokens("text"), F.col("q"))).select("passage_id", "page_id").distinct()
 
 
 def verdicts(records: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:

@@ -69,6 +69,7 @@ def for_prompt(page_text: DataFrame, terms: DataFrame, limit: int = 240) -> Data
     Pages and terms meet by words; a page that shares words with fewer than ``limit``
     terms is filled up from the most used ones.
     """
+    terms = terms if "aliases" in terms.columns else terms.withColumn("aliases", F.array().cast("array<string>"))
     long_words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) > 3))
     keys = F.array_distinct(F.transform(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>"))), F.lower))
     t = terms.select("canonical", "domain", "readings_covered", F.explode(keys).alias("name")).withColumn("key", normalised(F.col("name"))).where("key <> ''")
@@ -78,13 +79,13 @@ def for_prompt(page_text: DataFrame, terms: DataFrame, limit: int = 240) -> Data
     phrase = by_word.join(first, "w").join(p, "page_id").where(F.contains(F.concat(F.lit(" "), "h", F.lit(" ")), F.concat(F.lit(" "), "key", F.lit(" "))))
     word = by_word.where(F.length("w") > 3).join(t.select("canonical", F.explode(long_words(F.col("key"))).alias("w")).distinct(), "w")
     hits = phrase.select("page_id", "canonical", F.lit(1).alias("phrase"), F.lit(0).alias("word")).unionByName(word.select("page_id", "canonical", F.lit(0).alias("phrase"), F.lit(1).alias("word")))
-    hits = hits.groupBy("page_id", "canonical").agg(F.max("phrase").alias("phrase"), F.max("word").alias("word")).join(terms.select("canonical", "domain", F.col("readings_covered").alias("covered")), "canonical")
+    hits = hits.groupBy("page_id", "canonical").agg(F.max("phrase").alias("phrase"), F.max("word").alias("word")).join(terms.select("canonical", "domain", F.col("readings_covered").cast("long").alias("covered")), "canonical")
     order = Window.partitionBy("page_id").orderBy(F.desc("phrase"), F.desc("word"), F.desc("covered"), "canonical")
     hits = hits.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit).drop("k")
     have = page_text.select("page_id").join(hits.groupBy("page_id").agg(F.count("*").alias("n"), F.collect_set("canonical").alias("has")), "page_id", "left")
     short = have.withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < limit)
     # the most used terms are at most ``limit``, one list for all pages that are short of some
-    top = terms.orderBy(F.desc("readings_covered"), "canonical").limit(limit).agg(F.sort_array(F.collect_list(F.struct((-F.col("readings_covered")).alias("c"), "canonical", "domain"))).alias("top"))
+    top = terms.orderBy(F.desc("readings_covered"), "canonical").limit(limit).agg(F.sort_array(F.collect_list(F.struct((-F.col("readings_covered").cast("long")).alias("c"), "canonical", "domain"))).alias("top"))
     filled = short.join(F.broadcast(top)).withColumn("more", F.slice(F.filter("top", lambda x: ~F.array_contains(F.coalesce("has", F.array().cast("array<string>")), x["canonical"])), 1, limit))
     more = filled.select("page_id", F.explode(F.slice("more", F.lit(1), F.greatest(F.lit(0), F.lit(limit) - F.col("n")))).alias("x"))
     more = more.select(F.col("x.canonical").alias("canonical"), "page_id", F.lit(0).alias("phrase"), F.lit(0).alias("word"), F.col("x.domain").alias("domain"), (-F.col("x.c")).alias("covered"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.parameters import with_parameter
 from ledgerline.operators import series
 from ledgerline.operators.places import facility_key
+from ledgerline.operators.town import town_name
 
 # The parameters of a story, the years a trend needs, the year before which a record counts as gone quiet.
 STORY = ("bod|removal", "suspended solids|removal", "flow|rate")
@@ -73,7 +74,8 @@ def frontier(read: DataFrame, links: DataFrame, coverage: DataFrame) -> DataFram
     trend = held.where(F.col("n") >= TREND_YEARS).select(F.lit("trend").alias("kind"), F.col("place").alias("subject"), F.when(told, none).otherwise(one).alias("needs"), F.when(told, one).otherwise(none).alias("have"), F.lit(2.0).alias("value"))
     silence = held.where((F.col("b") < QUIET) & ~F.col("is_read")).select(F.lit("silence").alias("kind"), F.col("place").alias("subject"), one.alias("needs"), none.alias("have"), F.lit(1.5).alias("value"))
     # of several spellings of one town the shortest
-    towns = read.where("place is not null and place <> ''").groupBy(F.lower(F.regexp_replace("place", r"(?i)^(city|town|village|township) of ", "")).alias("k")).agg(F.min_by("place", F.struct(F.length("place"), "place")).alias("place"))
+    name = F.coalesce(town_name("place"), F.trim("place"))
+    towns = read.where("place is not null and trim(place) <> ''").select(name.alias("place")).groupBy(F.lower("place").alias("k")).agg(F.min_by("place", F.struct(F.length("place"), "place")).alias("place"))
     decision = towns.select(F.lit("decision").alias("kind"), F.col("place").alias("subject"), F.array(F.concat("place", F.lit(" council minutes"))).alias("needs"), one.alias("have"), F.lit(2.5).alias("value"))
     return down.unionByName(trend).unionByName(river).unionByName(decision).unionByName(silence)
 

@@ -9,9 +9,11 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.keys import bundle_key, slug
+from ledgerline.functions.keys import bundle_key, slug, visitor_tag
 from ledgerline.operators.evidence import grounded_condition, verdicts
 from ledgerline.operators.ledger import fresh
+from ledgerline.operators.places import place_key
+from ledgerline.operators.repairs import recovery_summary
 from ledgerline.operators.vocabulary import validation_errors
 
 
@@ -162,3 +164,15 @@ def unlocated(records: DataFrame, gazetteer: DataFrame, least: int = 2) -> DataF
     """Places of ``least`` records or more that the gazetteer does not have."""
     n = records.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return n.join(gazetteer.select(F.lower("name").alias("g")).distinct(), F.lower("place") == F.col("g"), "left_anti")
+
+
+def record_asks(asks: DataFrame, path: str, salt: str) -> DataFrame:
+    """Add what visitors asked for (place, peer) to a demand table: each visitor once a town, told by a tag that cannot be turned back.  The new rows."""
+    x = asks.where(F.trim("place") != "").select(place_key("place").alias("place"), visitor_tag(salt, "peer").alias("tag"))
+    return merge(x.withColumn("key", F.concat_ws("|", "place", "tag")).withColumn("ord", F.lit(0)), path)
+
+
+def recovery_report(guesses: DataFrame, path: str) -> DataFrame:
+    """Add year guesses (identifier, basis, confidence, year, truth) to a run's table and sum up all that it holds: a run that was cut off goes on where it was."""
+    merge(guesses.withColumn("key", F.col("identifier")).withColumn("ord", F.lit(0)), path)
+    return recovery_summary(guesses.sparkSession.read.parquet(path))

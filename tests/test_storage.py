@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.operators import evidence
 from ledgerline.sources import readers, writers
@@ -93,3 +94,30 @@ def test_verdicts_of_the_page(spark):
     assert evidence.verdicts(rec, spark.createDataFrame([("y", page)], "id string, text string"), ["id"]).where("state <> 'unsupported'").count() == 0
     grounded = spark.createDataFrame([("each", "the beaches"), ("55 ft", "at 55 ft head"), (None, "x")], "c string, q string").select(evidence.grounded_condition("c", "q").alias("g")).collect()
     assert [r.g for r in grounded] == [None, "55 ft", None]
+
+
+def test_demand_and_recovery_tables(spark, tmp_path):
+    asks = spark.createDataFrame([("Élora", "1.2.3.4"), ("elora", "1.2.3.4"), ("Elora", "5.6.7.8"), (" ", "x")], "place string, peer string")
+    assert writers.record_asks(asks, str(tmp_path / "d"), "s").count() == 2 and writers.record_asks(asks, str(tmp_path / "d"), "s").count() == 0
+    g = spark.createDataFrame([("a", "title", 0.9, 1960, 1960), ("b", "title", 0.9, 1961, 1960)], "identifier string, basis string, confidence double, year int, truth int")
+    assert [tuple(r) for r in writers.recovery_report(g.limit(1), str(tmp_path / "r")).collect()] == [("title", "high", 1, 1, 1)]
+    assert [tuple(r) for r in writers.recovery_report(g, str(tmp_path / "r")).collect()] == [("title", "high", 2, 1, 2)]
+
+
+def test_sharing_of_bundles(spark, tmp_path, capsys):
+    from ledgerline import share
+
+    quote = "the average flow was 3.12 million gallons"
+    record = {"kind": "observation", "parameter": "flow", "value": 3.12, "unit": "MGD", "place": "Elora", "confidence": 0.9, "provenance": {"identifier": "i", "page": 1, "source_text": quote}}
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib" / "a.json").write_text(json.dumps({"place": "Elora", "records": [record, record, record | {"period": "1961"}]}))
+    assert share.main(["export", str(tmp_path / "lib"), str(tmp_path / "b"), "--contributor", "me"], spark) == 0
+    assert share.main(["read", str(tmp_path / "b")], spark) == 0 and "'n_records': 2" in capsys.readouterr().out
+    spark.createDataFrame([("i", 1, "In 1960 " + quote + ".")], "identifier string, page int, text string").write.parquet(str(tmp_path / "p"))
+    share.main(["import", str(tmp_path / "b"), str(tmp_path / "p"), str(tmp_path / "table")], spark)
+    assert "'accepted': True} 2" in capsys.readouterr().out and spark.read.parquet(str(tmp_path / "table")).count() == 2
+    share.main(["import", str(tmp_path / "b"), str(tmp_path / "p"), str(tmp_path / "table")], spark)
+    assert "'accepted': True} 0" in capsys.readouterr().out
+    bad = spark.read.parquet(str(tmp_path / "b" / "records")).withColumn("value", F.lit(9.0))
+    counts, fresh = share.take_in(bad, spark.read.parquet(str(tmp_path / "p")), str(tmp_path / "table"))
+    assert counts.first().failed == 2 and fresh.count() == 0

@@ -79,7 +79,7 @@ def test_story_of_a_place(spark):
 
 
 def test_frontier(spark):
-    read = spark.createDataFrame([("Elora", 1960), ("Town of Elora", 1961)], "place string, year int")
+    read = spark.createDataFrame([("Elora", 1960), ("Elora WPCP", 1961)], "place string, year int")
     links = spark.createDataFrame([("Grand", "Elora", "Galt"), ("Grand", "Galt", "Paris")], "watercourse string, upstream string, downstream string")
     held = spark.createDataFrame([("Galt", y) for y in range(1960, 1968)] + [("elora", 1960)], "place string, year int")
     got = {(r.kind, r.subject): (r.needs, r.have) for r in views.frontier(read, links, held).collect()}
