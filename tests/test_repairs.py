@@ -15,7 +15,7 @@ def test_nearest_year(quote, value, year):
 def test_corrections(spark):
     x = spark.createDataFrame([("flow 5.5 in 1968 compared with 4.8 in 1967", 4.8, "1968"), ("flow 5.5 in 1968 compared with 4.8 in 1967", 5.5, "1968"), ("flow", 1.0, "1968")], "quote string, value double, period string")
     assert [(r.outcome, r.period) for r in repairs.corrected_years(x).collect()] == [("change", "1967"), ("agree", "1968"), ("abstain", "1968")]
-    items = spark.createDataFrame([("i", 1961, "Elora WPCP report")], "identifier string, year int, title string")
+    items = spark.createDataFrame([("i", 1961, "Elora sewage works report")], "identifier string, year int, title string")
     rec = spark.createDataFrame([("i", "March", None), ("i", "1960", "x"), ("j", "May", " ")], "identifier string, period string, facility string")
     assert {r.period for r in repairs.anchored_periods(rec, items).collect()} == {"1961 March", "1960", "May"}
     assert {r.facility for r in repairs.backfilled_facility(rec, items).collect()} == {"water pollution control plant", "x", None}
