@@ -79,7 +79,8 @@ def page_routes(s: str) -> Column:
 
 
 NUMBER_TOKEN = r"(?<![\w.])[+\-−]?(?:\d{1,3}(?:,\s*\d{3})+(?:\.\s*\d+)?|\d+\.\s*\d+|\.\s*\d+|\d+)(?!\w|\.\s*\d)"
-EVIDENCE = rf"(?U)(\+/-|<=|>=|[<>≤≥±%=£$€]|{NUMBER_TOKEN}|\p{{L}}+(?:['’]\p{{L}}+)?)"
+#: Words first: the alternatives never begin alike, and most tokens are words.
+EVIDENCE = rf"(?U)(\p{{L}}+(?:['’]\p{{L}}+)?|{NUMBER_TOKEN}|\+/-|<=|>=|[<>≤≥±%=£$€])"
 
 
 def evidence_tokens(text) -> Column:
