@@ -24,16 +24,20 @@ def containing(passages: DataFrame, pages: DataFrame) -> DataFrame:
     p = passages.select("passage_id", T.evidence_tokens("text").alias("q")).where(F.size("q") > 0)
     width = F.coalesce(*(F.when(F.size("q") >= w, w) for w in WIDTHS))
 
-    def runs(tokens: str, w: int) -> Column:
-        """Hashes of all runs of w tokens."""
-        return F.transform(F.sequence(F.lit(0), F.size(tokens) - w), lambda i: F.xxhash64(*(F.get(tokens, i + k) for k in range(w))))
+    def hashed(tokens: Column) -> Column:
+        return F.transform(tokens, lambda t: F.xxhash64(t))
 
-    least = F.coalesce(*(F.when(width == w, F.array_min(runs("q", w))) for w in WIDTHS))
-    p = p.withColumn("w", width).withColumn("h", least)
-    tokens = pages.select("page_id", T.evidence_tokens("text").alias("t"))
+    def runs(names: str, w: int) -> Column:
+        """Hashes of all runs of w tokens, from the hashes of the tokens."""
+        return F.transform(F.sequence(F.lit(0), F.size(names) - w), lambda i: F.xxhash64(*(F.get(names, i + k) for k in range(w))))
+
+    least = F.coalesce(*(F.when(width == w, F.array_min(runs("n", w))) for w in WIDTHS))
+    p = p.withColumn("w", width).withColumn("n", hashed(F.col("q"))).withColumn("h", least)
+    tokens = pages.select("page_id", hashed(T.evidence_tokens("text")).alias("t"))
     found = None
     for w in sorted(r[0] for r in p.select("w").distinct().collect()):
-        some = tokens.where(F.size("t") >= w).select("page_id", F.explode(F.array_distinct(runs("t", w))).alias("h"))
+        # no filter on the tokens' number: pushed down, it would tokenise every page twice
+        some = tokens.select("page_id", F.explode(F.when(F.size("t") >= w, F.array_distinct(runs("t", w)))).alias("h"))
         some = some.join(p.where(F.col("w") == w).select("passage_id", "h"), "h").select("passage_id", "page_id")
         found = some if found is None else found.unionByName(some)
     if found is None:
