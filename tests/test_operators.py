@@ -46,6 +46,23 @@ def test_containing_short_passages(spark):
     assert sorted(tuple(r) for r in evidence.containing(p, d).collect()) == [(1, 7), (2, 7), (2, 8), (5, 7)]
 
 
+def test_quoted_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from ledgerline.plans import catalog
+
+    passages = [(1, "The flow was 12 units there."), (2, "ow was"), (3, "5"), (4, "a  b\tc d"), (5, ""), (6, None), (7, "..."), (1, "The flow was 12 units there."), (None, "flow was 12"), (8, "> 5 of"), (9, " cost 5 "), (10, "no such words at all")]
+    pages = ["In all The flow was 12 units there. Yes", "THE FLOW WAS 12 UNITS THERE.", "xThe flow was 12 units there.y", "was 5% of 5", "5 of 5%", "a b c d a  b\tc d", "", None, "x > 5 of", "now $ cost 5 now", "now cost 5 ...\n% now", "the cost 5 \n", "...", "%\n..."]
+    pages = [(i, x) for i, x in enumerate(pages)] + [(0, pages[0]), (None, pages[0]), (None, pages[2])]
+    for name, schema, rows in (("benchmark", "item_id long, text string", passages), ("documents", "doc_id long, text string", pages)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(catalog.ORACLES["evidence_containment"]).fetchall()
+    assert len(want) > 30 and sorted(map(str, want)) == sorted(str(tuple(r)) for r in catalog.evidence_containment(spark, str(tmp_path)).collect())
+
+
 def test_nearest_agrees_with_all_pairs(spark):
     import random
 
