@@ -107,6 +107,37 @@ def test_greedy_match_prefers_the_same_kind(spark):
     assert [(r.gold_ord, r.got_ord) for r in scoring.greedy_match(gold, got, ["page"]).collect()] == [(2, 1)]
 
 
+def test_greedy_match_of_many_pages(spark):
+    """Pages follow each other through a worker (a call for each takes minutes on sf0.1) and match as a plain loop does."""
+    import random
+
+    rnd = random.Random(3)
+    nan = float("nan")
+    schema = "doc string, page int, ord long, value double, unit string, kind string"
+
+    def rows(top):
+        of = [("a", 1, 500), (None, 2, 3), ("a", None, 4), *(("b", p, rnd.randint(0, top)) for p in range(300))]
+        return [(d, p, o, rnd.choice([1.0, 1.005, 2.0, None, nan, 0.0]), rnd.choice(["m", None]), rnd.choice(["x", "y"])) for d, p, n in of for o in range(n)]
+
+    gold, got = rows(4), rows(3)
+    want = []
+    for page in {r[:2] for r in gold}:
+        g, r = ([x for x in side if x[:2] == page] for side in (gold, got))
+        used, done = set(), set()
+        none = lambda v: v is None or v != v
+        near = lambda v, w: none(v) and none(w) or not none(v) and not none(w) and abs(v - w) <= 0.01 * max(abs(v), abs(w))
+        for same in (True, False):
+            for x in g:
+                fits = [y for y in r if y[2] not in used and y[4] == x[4] and near(x[3], y[3]) and (not same or x[5] == y[5])] if x[2] not in done else []
+                if fits:
+                    used.add(fits[0][2]), done.add(x[2])
+                    want.append((*page, x[2], fits[0][2], x[5], fits[0][5]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    found = scoring.greedy_match(spark.createDataFrame(gold, schema), spark.createDataFrame(got, schema), ["doc", "page"], told=("kind",))
+    assert sorted(map(str, want)) == sorted(str(tuple(x)) for x in found.collect()) and len(want) > 400
+    assert "CoGroups" not in found._jdf.queryExecution().toString()
+
+
 def test_search_counts_substrings(spark):
     x = spark.createDataFrame([(1, "Water works", ["sewage"], "X", 1970), (2, "Roads", ["water"], "Water Co", None), (3, "Roads", ["x"], "Water Co", 1960)], "ord int, title string, subject array<string>, publisher string, year int")
     assert [(r.ord, r.score) for r in search.search(x, "water").collect()] == [(1, 3.0), (2, 2.5)]
