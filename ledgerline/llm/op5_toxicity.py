@@ -5,10 +5,10 @@ Class bigrams back off to class continuation counts (in how many distinct left
 contexts a word was seen), and those to continuation counts that both classes
 share, so that a rare expression costs both about the same.  All counts are exact,
 keyed by word and by pair, and taken from every labelled row in one exchange by
-word; they grow with the input.  As usual for such models a word with a single
-context is an unknown word, and the bigram order is pruned: it keeps pairs that
-toxic text holds and that occur twice at least; the mass of the others goes to the
-continuation order.
+word; they grow with the input.  Every pair of the labelled rows is in the bigram
+order and every word in the continuation order.  (``fit`` alone gives the usual
+pruned model: a word with a single context is unknown, and the bigram order keeps
+pairs that toxic text holds and that occur twice at least.)
 
 A document's features are its length-normalised log-likelihood ratio over the
 whole text, and the greatest length-normalised ratio of the continuation order
@@ -17,7 +17,9 @@ each time, which continuation counts see through).  A logistic curve, fitted on
 cross-fitted features (each half of the rows scored by the other half's counts),
 turns them into a probability.
 
-The model is broadcast up to BROADCAST entries; beyond, tokens are joined with it.
+The model is broadcast up to BROADCAST entries; beyond, only its words are, and a
+text's pairs are joined with the others; what they add to its ratio is a sum.  Where
+the words alone are too many, tokens are joined with them too.
 
 Defined cases: null and empty texts get the score of a text without evidence;
 null labels are not learned; with one class missing every score is 0.0 (or 1.0
@@ -34,6 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -42,7 +45,7 @@ CURVE_ROWS = 40_000
 #: Words of the spans whose best ratio is a feature.
 SPANS = (24, 4, 2, 1)
 #: Entries (words and pairs, some 30 bytes each) up to which the model is broadcast.
-BROADCAST = 12_000_000
+BROADCAST = 6_000_000
 #: Tokens that a worker counts before it hands the counts on.
 HELD = 2_000_000
 #: Left context of a text's first word.
@@ -95,8 +98,12 @@ def counts(labelled: DataFrame) -> DataFrame:
 
         def out():
             w, v, kind = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield table(w, v, kind)
-            yield table(v, v, kind, null=True)
+            # an eighth of the words at a time: batches and what they take to make stay small
+            for null, by in ((False, w), (True, v)):
+                for part in range(8):
+                    own = by >> np.uint64(61) == part
+                    if own.any():
+                        yield table(by[own], v[own], kind[own], null)
 
         for b in batches:
             toxic, fold = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
@@ -127,7 +134,7 @@ def _discount(n1, n2):
 
 @dataclass
 class Tables:
-    """The model's entries: words (w, x_*, l_*), where x is the continuation order's log ratio and l that of what the word leaves to it as a history; pairs (w, v, r_*)."""
+    """The model's entries: words (w, x_*, l_*), where x is the continuation order's log ratio and l that of what the word leaves to it as a history; pairs (w, v, e_*), what seeing the pair adds to both."""
 
     words: DataFrame
     pairs: DataFrame
@@ -135,21 +142,16 @@ class Tables:
     unknown: list[float]
 
 
-def fit(counted: DataFrame) -> Tables | None:
-    """The models of counts; None unless both classes were seen."""
+def fit(counted: DataFrame, whole: bool = False) -> Tables | None:
+    """The models of counts, of all pairs and words or pruned; None unless both classes were seen."""
     both = [(m, y) for m in MODELS for y in (0, 1)]
     seen = F.col("v").isNotNull()
-    kept = seen & (F.col("c10") + F.col("c11") > 0) & (F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11") > 1)
-    none = F.lit(None).cast("long")
-    zero = [F.lit(0).cast("long")] * 4
-    cells = [F.col(f"c{k}") for k in ("00", "01", "10", "11")]
-    # a pair gives its word a context; a kept pair goes on by itself, a history's count to its word: all in the partition of w
-    own = F.struct(none.alias("v"), *(F.when(seen & (_of(m, y) > 0), 1).otherwise(0).cast("long").alias(f"n_{m}{y}") for m, y in both), *(F.when(seen, z).otherwise(c).alias(f"c{k}") for k, c, z in zip(("00", "01", "10", "11"), cells, zero, strict=True)))
-    pair = F.when(kept, F.struct(F.col("v"), *(F.lit(0).cast("long").alias(f"n_{m}{y}") for m, y in both), *(c.alias(f"c{k}") for k, c in zip(("00", "01", "10", "11"), cells, strict=True))))
-    rows = counted.select("w", F.explode(F.filter(F.array(own, pair), lambda x: x.isNotNull())).alias("x")).select("w", "x.*")
-    stored = common.checkpointed(rows.groupBy("w", "v").agg(*(F.sum(c).alias(c) for c in rows.columns[2:])))
-    word = stored.where("v is null").drop("v")
-    pairs = stored.where("v is not null").select("w", "v", "c00", "c01", "c10", "c11")
+    kept = seen if whole else seen & (F.col("c10") + F.col("c11") > 0) & (F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11") > 1)
+    stored = common.checkpointed(counted)
+    # a pair gives its word a context; the counts of a history are its word's
+    contexts = [F.count_if(seen & (_of(m, y) > 0)).alias(f"n_{m}{y}") for m, y in both]
+    word = common.checkpointed(stored.groupBy("w").agg(*contexts, *(F.coalesce(F.sum(F.when(~seen, F.col(f"c{k}"))), F.lit(0)).alias(f"c{k}") for k in ("00", "01", "10", "11"))))
+    pairs = stored.where(kept)
     total = word.agg(F.count("*").alias("words"), *(F.coalesce(f(n), F.lit(0)).alias(f"{k}_{n[2:]}") for n in (f"n_{m}{y}" for m, y in both) for k, f in (("sum", F.sum), ("one", lambda n: F.count_if(F.col(n) == 1)), ("two", lambda n: F.count_if(F.col(n) == 2)), ("any", lambda n: F.count_if(F.col(n) > 0))))).first()
     once = pairs.agg(*(F.count_if(_of(m, y) == k).alias(f"{m}{y}{k}") for m, y in both for k in (1, 2))).first()
     if not (total["sum_all0"] and total["sum_all1"]):
@@ -166,25 +168,26 @@ def fit(counted: DataFrame) -> Tables | None:
             columns.append((F.greatest(F.col(f"n_{m}{y}") - d, F.lit(0.0)) / n + left[y] * shared).alias(f"p_{m}{y}"))
             history.append(_of(m, y).alias(f"h_{m}{y}"))
         unknown.append(float(np.log(left[1] / left[0])))
-    word = word.select("w", *columns, *history, (F.col("n_all0") + F.col("n_all1") > 1).alias("known"))
+    word = word.select("w", *columns, *history, (F.col("n_all0") + F.col("n_all1") > (0 if whole else 1)).alias("known"))
     top = [(F.greatest(_of(m, y) - _discount(once[f"{m}{y}1"], once[f"{m}{y}2"]), F.lit(0.0)) / F.greatest(F.col(f"h_{m}{y}"), F.lit(1))).alias(f"t_{m}{y}") for m, y in both]
     before = word.select(F.col("w").alias("v"), *(f"h_{m}{y}" for m, y in both))
     pairs = pairs.join(before, "v").select("w", "v", *top)
     used = pairs.groupBy("v").agg(*(F.sum(f"t_{m}{y}").alias(f"u_{m}{y}") for m, y in both))
     left = used.select("v", *(F.greatest(F.lit(1e-6), 1 - F.col(f"u_{m}{y}")).alias(f"l_{m}{y}") for m, y in both))
-    pairs = pairs.join(left, "v").join(word.select("w", *(f"p_{m}{y}" for m, y in both)), "w")
-    ratio = [F.log((F.col(f"t_{m}1") + F.col(f"l_{m}1") * F.col(f"p_{m}1")) / (F.col(f"t_{m}0") + F.col(f"l_{m}0") * F.col(f"p_{m}0"))).cast("float").alias(f"r_{m}") for m in MODELS]
+    pairs = pairs.join(left, "v").join(word.select("w", "known", *(f"p_{m}{y}" for m, y in both)), "w")
+    low = [F.when(F.col("known"), F.log(F.col(f"p_{m}1") / F.col(f"p_{m}0"))).otherwise(u) + F.log(F.col(f"l_{m}1") / F.col(f"l_{m}0")) for m, u in zip(MODELS, unknown, strict=True)]
+    more = [(F.log((F.col(f"t_{m}1") + F.col(f"l_{m}1") * F.col(f"p_{m}1")) / (F.col(f"t_{m}0") + F.col(f"l_{m}0") * F.col(f"p_{m}0"))) - base).cast("float").alias(f"e_{m}") for m, base in zip(MODELS, low, strict=True)]
     words = word.join(left.withColumnRenamed("v", "w"), "w", "left").where("known or l_all0 is not null")
     x = [F.when(F.col("known"), F.log(F.col(f"p_{m}1") / F.col(f"p_{m}0"))).otherwise(u).cast("float").alias(f"x_{m}") for m, u in zip(MODELS, unknown, strict=True)]
     back = [F.coalesce(F.log(F.col(f"l_{m}1") / F.col(f"l_{m}0")), F.lit(0.0)).cast("float").alias(f"l_{m}") for m in MODELS]
-    return Tables(common.checkpointed(words.select("w", *x, *back)), common.checkpointed(pairs.select("w", "v", *ratio)), unknown)
+    return Tables(common.checkpointed(words.select("w", *x, *back)), common.checkpointed(pairs.select("w", "v", *more)), unknown)
 
 
 class Model:
     """The entries of some models, by hash."""
 
-    def __init__(self, tables: Tables, models: tuple[int, ...]):
-        words, pairs = tables.words.toArrow(), tables.pairs.toArrow()
+    def __init__(self, tables: Tables, models: tuple[int, ...], pairs: bool = True):
+        words, pairs = tables.words.toArrow(), (tables.pairs if pairs else tables.pairs.limit(0)).toArrow()
         w = words.column("w").to_numpy().view(np.uint64)
         order = np.argsort(w)
         self.words, self.models = w[order], models
@@ -193,7 +196,7 @@ class Model:
         key = pair_keys(pairs.column("v").to_numpy().view(np.uint64), pairs.column("w").to_numpy().view(np.uint64))
         order = np.argsort(key)
         self.pairs = key[order]
-        self.r = [pairs.column(f"r_{MODELS[m]}").to_numpy()[order] for m in models]
+        self.more = [pairs.column(f"e_{MODELS[m]}").to_numpy()[order] for m in models]
         self.unknown = [tables.unknown[m] for m in models]
 
     @staticmethod
@@ -215,10 +218,10 @@ class Model:
         place = np.concatenate(([len(word)], of[:-1])) if len(of) else of
         place = np.where(before == START, len(word), place)
         whole = x + left[place]
-        asked = np.flatnonzero(left[place] != 0)
+        asked = np.flatnonzero(had[place])
         found, hit = self._find(self.pairs, pair_keys(before[asked], h[asked]))
         if len(self.pairs):
-            whole[asked[hit]] = self.r[k][found[hit]]
+            whole[asked[hit]] += self.more[k][found[hit]]
         return whole, x
 
     def features(self, column: pa.Array, k: int = 0) -> np.ndarray:
@@ -260,8 +263,42 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return mean, scale, w
 
 
-def _joined_features(docs: DataFrame, tables: Tables, model: int, text: str, keep: tuple[str, ...]) -> DataFrame:
+def _paired_features(docs: DataFrame, tables: Tables, model: int, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """Columns ``keep`` and x, the features, where only the words are broadcast: a text's pairs, one hash each, are joined with the model's."""
+    rows, held = docs.select(*keep, F.xxhash64(text).alias("_key"), F.col(text).alias("_text")), len(keep)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(Model(tables, (model,), pairs=False)))
+
+    def base(batches):
+        words = common.revived(Model, shared.value)
+        for b in batches:
+            x, n = np.zeros((b.num_rows, 2 + len(SPANS))), np.zeros(b.num_rows, np.int64)
+            for a, e, h, row in _words(b.column(held + 1)):
+                if len(h):
+                    x[a:e], n[a:e] = pooled(*words.ratios(h, row), row, e - a), np.bincount(row, minlength=e - a)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(held + 1)), pa.array(n), pa.array(list(x), pa.list_(pa.float64()))], names=[*b.schema.names[: held + 1], "_n", "x"])
+
+    def met(batches):
+        words = common.revived(Model, shared.value)
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            for a, _, h, row in _words(b.column(1)):
+                v = _before(h, row)
+                told = np.flatnonzero(words._find(words.words, v)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a + row[told]]), pa.array(h[told].view(np.int64)), pa.array(v[told].view(np.int64))], names=["_key", "w", "v"])
+
+    pair = F.xxhash64("v", "w").alias("pair")
+    found = rows.select("_key", "_text").mapInArrow(met, "_key long, w long, v long").select("_key", pair)
+    found = found.join(tables.pairs.select(pair, F.col(f"e_{MODELS[model]}").cast("double").alias("e")), "pair").groupBy("_key").agg(F.sum("e").alias("e"))
+    found = found.join(rows.groupBy("_key").agg(F.count("*").alias("copies")), "_key").select("_key", (F.col("e") / F.col("copies")).alias("e"))
+    out = rows.mapInArrow(base, rows.drop("_text").schema.add("_n", "long").add("x", T.ArrayType(T.DoubleType()))).join(found, "_key", "left")
+    e, n = F.coalesce("e", F.lit(0.0)), F.greatest("_n", F.lit(1))
+    return out.select(*keep, F.concat(F.array(F.col("x")[0] + e / n, F.col("x")[1] + e / F.sqrt(n)), F.slice("x", 3, len(SPANS))).alias("x"))
+
+
+def _joined_features(docs: DataFrame, tables: Tables, model: int, text: str, keep: tuple[str, ...], broadcast: int = BROADCAST) -> DataFrame:
     """Columns ``keep`` and x, the features, where the model is too large to broadcast: tokens are joined with its tables."""
+    if tables.words.count() <= broadcast:
+        return _paired_features(docs, tables, model, text, keep)
     m = MODELS[model]
     rows = docs.select(*keep, F.col(text).alias("_text"), F.xxhash64(text).alias("_key"))
 
@@ -276,9 +313,10 @@ def _joined_features(docs: DataFrame, tables: Tables, model: int, text: str, kee
     found = texts.mapInArrow(run, "key long, place long, w long, v long")
     found = found.join(tables.words.select("w", F.col(f"x_{m}").alias("x")), "w", "left")
     found = found.join(tables.words.select(F.col("w").alias("v"), F.col(f"l_{m}").alias("l")), "v", "left")
-    found = found.join(tables.pairs.select("w", "v", F.col(f"r_{m}").alias("r")), ["w", "v"], "left")
+    found = found.join(tables.pairs.select("w", "v", F.col(f"e_{m}").alias("e")), ["w", "v"], "left")
     x = F.coalesce("x", F.lit(tables.unknown[model]).cast("float"))
-    found = found.select("key", F.struct("place", x.alias("x"), F.coalesce("r", x + F.coalesce("l", F.lit(0.0).cast("float"))).alias("whole")).alias("t"))
+    none = F.lit(0.0).cast("float")
+    found = found.select("key", F.struct("place", x.alias("x"), (x + F.coalesce("l", none) + F.coalesce("e", none)).alias("whole")).alias("t"))
     found = found.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("t"))
 
     def pool(batches):
@@ -301,7 +339,7 @@ def train(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS, broa
     labels = labels.where("toxic in (0, 1)").select("doc_id", "toxic")
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")
     rows = common.joined_labels(docs.select("doc_id", "text"), labels)
-    tables = fit(counts(rows.select("text", F.col("toxic").cast("int").alias("toxic"), fold)))
+    tables = fit(counts(rows.select("text", F.col("toxic").cast("int").alias("toxic"), fold)), whole=True)
     common.release(docs)
     sample = docs.select("doc_id", "text").join(F.broadcast(common.label_sample(labels, curve_rows)), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), fold)
     if tables is None:

@@ -173,6 +173,41 @@ def test_kneser_ney_against_its_definition(spark):
         assert np.allclose(r.x, model.features(pa.array([r.text], pa.string()))[0], atol=1e-5)
 
 
+def test_whole_kneser_ney_leaves_no_pair_out(spark):
+    """Pairs of ordinary text, pairs seen once and words of one context count by definition, in all three ways to score."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(8)
+    texts_ = [(" ".join(rng.choice("abcdefgh" + ("xyz" if i % 2 else "mno")) for _ in range(rng.randrange(1, 25))), i % 2) for i in range(40)] + [("a onlyonce b", 0)]
+    pair = [Counter(), Counter()]
+    for t, y in texts_:
+        pair[y].update(zip(["^", *t.split()], t.split(), strict=False))
+    near = [Counter(w for _, w in pair[y]) for y in (0, 1)]
+    history, after = [Counter(), Counter()], [Counter(v for v, _ in pair[y]) for y in (0, 1)]
+    for y in (0, 1):
+        for (v, _), n in pair[y].items():
+            history[y][v] += n
+    discount = lambda c: (lambda one, two: one / (one + 2 * two) if one else 0.5)(sum(n == 1 for n in c), sum(n == 2 for n in c))
+    d, top = ([discount(x[y].values()) for y in (0, 1)] for x in (near, pair))
+    size, words = sum(near[0].values()) + sum(near[1].values()), len(set(near[0]) | set(near[1]) | {"^"})
+    left = [d[y] * len(near[y]) / sum(near[y].values()) for y in (0, 1)]
+    low = lambda y, w: max(near[y][w] - d[y], 0) / sum(near[y].values()) + left[y] * (near[0][w] + near[1][w] + 0.5) / (size + 0.5 * words)
+    p = lambda y, v, w: max(pair[y][v, w] - top[y], 0) / max(1, history[y][v]) + (top[y] * after[y][v] / history[y][v] if history[y][v] else 1) * low(y, w)
+    tables = op5_toxicity.fit(op5_toxicity.counts(spark.createDataFrame([(t, y, 0) for t, y in texts_], "text string, toxic int, fold int")), whole=True)
+    assert tables.pairs.count() == len(pair[0] | pair[1])
+    model = op5_toxicity.Model(tables, (0,))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts_)] + [(90, None), (90, texts_[0][0]), (None, "new words a b")], "doc_id long, text string")
+    for i, (t, _) in enumerate(texts_):
+        x = [math.log(p(1, v, w) / p(0, v, w)) for v, w in zip(["^", *t.split()], t.split(), strict=False)]
+        assert np.allclose(model.features(pa.array([t]))[0][:2], [sum(x) / len(x), sum(x) / len(x) ** 0.5], atol=1e-4), i
+    for bound in (op5_toxicity.BROADCAST, 0):
+        got = op5_toxicity._joined_features(docs, tables, 0, "text", ("doc_id", "text"), bound).collect()
+        assert len(got) == len(texts_) + 3
+        for r in got:
+            assert np.allclose(r.x, model.features(pa.array([r.text], pa.string()))[0], atol=1e-5)
+
+
 def test_toxicity_beyond_the_broadcast(spark, toxic):
     df, labels = toxic
     y = spark.createDataFrame([x for x in labels if x[0] % 5], "doc_id long, toxic int")
