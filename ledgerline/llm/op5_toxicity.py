@@ -17,9 +17,11 @@ each time, which continuation counts see through).  A logistic curve, fitted on
 cross-fitted features (each half of the rows scored by the other half's counts),
 turns them into a probability.
 
-The model is broadcast up to BROADCAST entries; beyond, only its words are, and a
-text's pairs are joined with the others; what they add to its ratio is a sum.  Where
-the words alone are too many, tokens are joined with them too.
+``scored`` learns and scores in one: it broadcasts the words, packed, and no table of
+pairs is stored.  A model that is kept (``train``, ``score``) is broadcast up to
+BROADCAST entries; beyond, only its words are, and a text's pairs are joined with the
+others; what they add to its ratio is a sum.  Where the words alone are too many,
+tokens are joined with them too, in ``scored`` as well.
 
 Defined cases: null and empty texts get the score of a text without evidence;
 null labels are not learned; with one class missing every score is 0.0 (or 1.0
@@ -48,6 +50,8 @@ SPANS = (24, 4, 2, 1)
 BROADCAST = 6_000_000
 #: Tokens that a worker counts before it hands the counts on.
 HELD = 2_000_000
+#: Slices of all pairs that ``scored`` takes one after the other; the fewer, the more disk at once.
+SLICES = 4
 #: Left context of a text's first word.
 START = np.uint64(0x5851F42D4C957F2D)
 #: The models: of all labelled rows, and of those outside each fold.
@@ -392,10 +396,348 @@ def score(docs: DataFrame, model, curve, text: str = "text", keep: tuple[str, ..
     return docs.select(*keep, F.col(text)).mapInArrow(run, schema)
 
 
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers, the first ascending, in few bytes."""
+    head, body = [len(columns)], []
+    for i, c in enumerate(columns):
+        if i == 0 and len(c):
+            c = np.diff(c, prepend=c[:1] - c[:1])
+        if c.dtype.kind == "u":
+            c = c.astype(np.min_scalar_type(c.max() if len(c) else 0))
+        head += [len(c), ord(c.dtype.kind), c.dtype.itemsize]
+        body.append(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes())
+    plain = np.array(head, np.int64).tobytes() + b"".join(body)
+    return len(plain).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(plain, asbytes=True)
+
+
+def _unpacked(blob: bytes, wide: bool = True) -> list[np.ndarray]:
+    plain = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    n = int(np.frombuffer(plain, np.int64, 1)[0])
+    head, at, out = np.frombuffer(plain, np.int64, 3 * n, 8).reshape(n, 3), 8 + 24 * n, []
+    for i, (rows, kind, width) in enumerate(head.tolist()):
+        c = np.frombuffer(plain, np.uint8, rows * width, at).reshape(width, rows).T.copy().view(f"{chr(kind)}{width}").reshape(rows)
+        at += rows * width
+        c = c.astype(np.uint64) if chr(kind) == "u" and wide else c
+        out.append(np.cumsum(c, dtype=np.uint64) if i == 0 else c)
+    return out
+
+
+def _summed(key: np.ndarray, columns) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A place of each distinct key, and the sums of columns over its rows."""
+    order = np.argsort(key)
+    first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(key) else order
+    return order[first], [np.add.reduceat(c[order], first) if len(key) else c for c in columns]
+
+
+def _dealt(by: np.ndarray, parts: int, *columns: np.ndarray):
+    """(part, blob) for each part that some rows fall to by their hash; rows in the order of the first column."""
+    part = ((by >> np.uint64(33)) % np.uint64(parts)).astype(np.min_scalar_type(parts))
+    order = np.argsort(columns[0])
+    order = order[np.argsort(part[order], kind="stable")]
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    for k in np.flatnonzero(np.diff(ends)):
+        own = order[ends[k] : ends[k + 1]]
+        yield int(k), _packed(*(c[own] for c in columns))
+
+
+def _joined(blobs) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*(_unpacked(x) for x in blobs), strict=True)]
+
+
+def _by_model(c):
+    """Counts of MODELS and classes, in that order, from those of classes and folds."""
+    return [x for of in (lambda y: c[2 * y] + c[2 * y + 1], lambda y: c[2 * y + 1], lambda y: c[2 * y]) for x in (of(0), of(1))]
+
+
+def _word_rows(rows: DataFrame, parts: int) -> DataFrame:
+    """(blob, size, totals): words with their contexts, followers and counts as a history, from rows (text, k0, k1, fold) that stand for k0 ordinary and k1 toxic labelled rows.
+
+    totals: the pairs seen once and twice, by model and class.  Counts travel packed; pairs are not stored.
+    """
+
+    def first(batches):
+        held, n = [], 0
+
+        def out():
+            w, v, row, *kinds = (np.concatenate(x) for x in zip(*held, strict=True))
+            at, sums = _summed(pair_keys(v, w), kinds)
+            got = list(_dealt(w[at], parts, w[at], v[at], *sums))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["part", "blob"])
+
+        for b in batches:
+            k0, k1, fold = (b.column(i).to_numpy(zero_copy_only=False).astype(np.uint64) for i in (1, 2, 3))
+            for a, _, h, row in _words(b.column(0)):
+                if len(h):
+                    own = a + row
+                    held.append((h, _before(h, row), own, *(k[own] * (fold[own] == f) for k in (k0, k1) for f in (0, 1))))
+                    n += len(h)
+                if n > HELD // 4:
+                    yield out()
+                    held, n = [], 0
+        if held:
+            yield out()
+
+    def pairs(batches):
+        blobs = [x for b in batches for x in b.column(1).to_pylist()]
+        if not blobs:
+            return
+        w, v, *c = _joined(blobs)
+        at, c = _summed(pair_keys(v, w), c)
+        w, v, seen = w[at], v[at], _by_model(c)
+        totals = [int((x == k).sum()) for k in (1, 2) for x in seen]
+        seen, none = [(x > 0).astype(np.uint32) for x in seen], np.zeros(len(at), np.uint32)
+        word = np.concatenate((w, v))
+        del blobs, at, w, v
+        at, sums = _summed(word, (np.concatenate(x) for x in [*((x, none) for x in seen), *((none, x) for x in (*seen, *c))]))
+        del seen, none, c
+        got = list(_dealt(word[at], parts, word[at], *sums))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary()), pa.array([totals, *[None] * (len(got) - 1)], pa.list_(pa.int64()))], names=["part", "blob", "totals"])
+
+    def words(batches):
+        blobs, totals = [], np.zeros(12, np.int64)
+        for b in batches:
+            blobs += b.column(1).to_pylist()
+            for x in b.column(2).to_pylist():
+                totals += np.array(x if x else [0] * 12)
+        if blobs:
+            word, *c = _joined(blobs)
+            at, c = _summed(word, c)
+            yield pa.RecordBatch.from_arrays([pa.array([_packed(word[at], *c)], pa.binary()), pa.array([len(at)], pa.int64()), pa.array([totals.tolist()], pa.list_(pa.int64()))], names=["blob", "size", "totals"])
+
+    out = rows.select("text", "k0", "k1", "fold").mapInArrow(first, "part int, blob binary").repartitionById(parts, "part").mapInArrow(pairs, "part int, blob binary, totals array<long>")
+    return common.checkpointed(out.repartitionById(parts, "part").mapInArrow(words, "blob binary, size long, totals array<long>"))
+
+
+def _word_model(stats: DataFrame) -> dict | None:
+    """The words' part of the model, packed, for ``_opened``; None unless both classes were seen."""
+    got = stats.collect()
+    if not got:
+        return None
+    word, *c = (np.concatenate(x) for x in zip(*(_unpacked(bytes(r["blob"]), wide=False) for r in got), strict=True))
+    totals = np.sum([r["totals"] for r in got], axis=0)
+    del got
+    order = np.argsort(word)
+    sums = [int(n.sum(dtype=np.int64)) for n in c[:6]]
+    if not (sums[0] and sums[1]):
+        return None
+    # of contexts: discount, their number, what the discount takes of it; of pairs: discount
+    d = [_discount(int((n == 1).sum()), int((n == 2).sum())) for n in c[:6]]
+    left = [d[k] * int((c[k] > 0).sum()) / sums[k] if sums[k] else 1.0 for k in range(6)]
+    top = [_discount(int(totals[k]), int(totals[6 + k])) for k in range(6)]
+    return {"packed": _packed(word[order], *(x[order] for x in c)), "d": d, "sums": sums, "lost": left, "top": top}
+
+
+def _opened(state: dict, use: str) -> Model:
+    """What of the words' model one use takes ("words", "pairs" or "ratios"), made once in a worker."""
+    if state.get("use") != use:
+        word, *c = _unpacked(state["packed"], wide=False)
+        made = {"words": word, "d": state["top"], "models": (0, 1, 2), "pairs": np.zeros(0, np.uint64), "more": [np.zeros(0, np.float32)] * 3}
+        if use != "words":
+            h = _by_model([x.astype(np.uint64 if x.dtype.itemsize > 4 or x.max() >= 1 << 31 else np.uint32) for x in c[12:]])
+            p, l = [], []
+            for k in range(6):
+                size, pair = max(1, state["sums"][k]), k // 2 * 2
+                shared = (c[pair].astype(float) + c[pair + 1] + 0.5) / (state["sums"][pair] + state["sums"][pair + 1] + 0.5 * len(word))
+                p.append((np.maximum(c[k] - state["d"][k], 0) / size + state["lost"][k] * shared).astype(np.float32))
+                # a discount is one at most, so what it takes of a history is one for each follower
+                l.append(np.maximum(1e-6, 1 - (h[k] - state["top"][k] * c[6 + k]) / np.maximum(1, h[k])).astype(np.float32))
+            if use == "pairs":
+                made |= {"words": None, "p": p, "l": l, "h": h}
+            else:
+                known, lost = (c[0] > 0) | (c[1] > 0), state["lost"]
+                made["unknown"] = [float(np.log(lost[2 * m + 1] / lost[2 * m])) for m in range(3)]
+                made["x"] = [np.where(known, np.log(p[2 * m + 1] / p[2 * m]), made["unknown"][m]).astype(np.float32) for m in range(3)]
+                made["left"] = [np.log(l[2 * m + 1] / l[2 * m]).astype(np.float32) for m in range(3)]
+        state |= {"use": use, "made": made}
+    return common.revived(Model, state["made"])
+
+
+def _pair_sums(rows: DataFrame, shared, parts: int, part: int, slices: int) -> DataFrame:
+    """(key, e): what the pairs of a text that are in a slice of all pairs add to its ratio, from rows (text, k0, k1, fold, model, key).
+
+    Every word of every text meets the others of its pair once, packed: their labels give the pair's
+    counts, and these each text's entries, which go back to the block of texts they came from.
+    """
+    schema = "part int, block long, texts boolean, blob binary"
+
+    def batch(got):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], names=["part", "block", "texts", "blob"])
+
+    def first(batches):
+        from pyspark import TaskContext
+
+        words, task, block = _opened(shared.value, "words"), TaskContext.get().partitionId() << 32, 0
+        held, labels, keys, n, base = [], [], [], 0, 0
+
+        def out():
+            h, v, row = (np.concatenate(x) for x in zip(*held, strict=True))
+            kinds, code = np.unique(np.concatenate(labels), axis=0, return_inverse=True)
+            code = code.reshape(-1).astype(np.uint64)
+            id = task + block
+            got = [(int(id % parts), id, True, _packed(np.zeros(0, np.uint64), np.concatenate(keys).view(np.uint64)))]
+            (w, of), (u, ov) = (np.unique(x, return_inverse=True) for x in (h, v))
+            (at, there), (by, had) = words._find(words.words, w), words._find(words.words, u)
+            told = there[of] & had[ov]
+            row, key = row[told], (at[of[told]].astype(np.uint64) << np.uint64(32)) | by[ov[told]].astype(np.uint64)
+            for k, blob in _dealt(common.mix(key), parts, key, row, code[row]):
+                got.append((k, id, False, blob))
+            # the labels that the codes stand for
+            got.append((-1, id, False, _packed(np.zeros(0, np.uint64), *kinds.T)))
+            return got
+
+        def sent(got):
+            kinds = got.pop()[3]
+            size = len(kinds).to_bytes(8, "little")
+            return batch([x if x[2] else (*x[:3], size + kinds + x[3]) for x in got])
+
+        for b in batches:
+            own = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.uint64) for i in (1, 2, 3, 4)], axis=1)
+            for a, e, h, row in _words(b.column(0)):
+                labels.append(own[a:e]), keys.append(b.column(5).to_numpy()[a:e])
+                v = _before(h, row)
+                mine = pair_keys(v, h) % np.uint64(slices) == part
+                held.append((h[mine], v[mine], (base + row[mine]).astype(np.uint64)))
+                base, n = base + e - a, n + int(mine.sum())
+                if n > HELD // 4:
+                    yield sent(out())
+                    held, labels, keys, n, base, block = [], [], [], 0, 0, block + 1
+        if held:
+            yield sent(out())
+
+    def met(batches):
+        words = _opened(shared.value, "pairs")
+        key, place, kind, kinds, blocks, most = [], [], [], [], [], 0
+        for b in batches:
+            texts = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            if texts.any():
+                yield b.filter(pa.array(texts))
+            for i in np.flatnonzero(~texts):
+                blob = b.column(3)[i].as_py()
+                size = 8 + int.from_bytes(blob[:8], "little")
+                k, row, code = _unpacked(blob[size:])
+                table = np.stack(_unpacked(blob[8:size])[1:], axis=1)
+                key.append(k), place.append(row | np.uint64(len(blocks) << 32)), kind.append(code + np.uint64(most))
+                kinds.append(table), blocks.append(b.column(1)[i].as_py())
+                most += len(table)
+        if not key:
+            return
+        key, place, kind = (np.concatenate(x) for x in (key, place, kind))
+        kinds, code = np.unique(np.concatenate(kinds), axis=0, return_inverse=True)
+        kind = code.reshape(-1)[kind.astype(np.int64)]
+        order = np.argsort(key)
+        key, place, kind = key[order], place[order], kind[order].astype(np.int32)
+        del order, code
+        begins = np.concatenate(([True], key[1:] != key[:-1]))
+        first, of = np.flatnonzero(begins), np.cumsum(begins) - 1
+        c = [np.add.reduceat((kinds[:, y] * (kinds[:, 2] == f))[kind], first) for y in (0, 1) for f in (0, 1)]
+        w, v = (key[first] >> np.uint64(32)).astype(np.int64), (key[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        by = _by_model(c)
+        e = np.zeros(len(key), np.float64)
+        for m in range(3):
+            own = np.flatnonzero(kinds[kind, 3] == m)
+            if len(own):
+                low = [words.l[2 * m + y][v].astype(float) * words.p[2 * m + y][w] for y in (0, 1)]
+                top = [np.maximum(by[2 * m + y] - words.d[2 * m + y], 0) / np.maximum(1, words.h[2 * m + y][v]) for y in (0, 1)]
+                e[own] = np.log((top[1] + low[1]) / (top[0] + low[0]) * (low[0] / low[1]))[of[own]]
+        del by, c, of, kind, key, w, v
+        at, (e,) = _summed(place, [e])
+        place = place[at]
+        ends = np.searchsorted(place >> np.uint64(32), np.arange(len(blocks) + 1, dtype=np.uint64))
+        got = []
+        for i, id in enumerate(blocks):
+            own = slice(ends[i], ends[i + 1])
+            got.append((int(id % parts), id, False, _packed(place[own] & np.uint64(0xFFFFFFFF), e[own].astype(np.float32))))
+        yield batch(got)
+
+    def back(batches):
+        keys, sums = {}, {}
+        for b in batches:
+            for id, texts, blob in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if texts:
+                    keys[id] = _unpacked(blob)[1]
+                else:
+                    sums.setdefault(id, []).append(blob)
+        for id, key in keys.items():
+            e = np.zeros(len(key))
+            for row, x in map(_unpacked, sums.pop(id, [])):
+                e[row.astype(np.int64)] += x
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(e)], names=["key", "e"])
+
+    out = rows.select("text", "k0", "k1", "fold", "model", "key").mapInArrow(first, schema).repartitionById(parts, "part")
+    out = out.mapInArrow(met, schema).repartitionById(parts, "part").mapInArrow(back, "key long, e double")
+    # texts that are alike have alike sums
+    return common.checkpointed(out.groupBy("key").agg(F.max("e").alias("e")))
+
+
+def _whole_features(rows: DataFrame, shared, sums: DataFrame, keep: tuple[str, ...], broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Columns ``keep`` and x, the features, of rows (keep, model, key, text)."""
+    held = len(keep)
+
+    def base(batches):
+        words = _opened(shared.value, "ratios")
+        for b in batches:
+            model = b.column(held).to_numpy(zero_copy_only=False)
+            x, n = np.zeros((b.num_rows, 2 + len(SPANS))), np.zeros(b.num_rows, np.int64)
+            for a, e, h, row in _words(b.column(held + 2)):
+                for m in np.unique(model[a:e]) if len(h) else ():
+                    got, own = pooled(*words.ratios(h, row, m), row, e - a), model[a:e] == m
+                    x[a:e][own] = got[own]
+                n[a:e] = np.bincount(row, minlength=e - a)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(held)), b.column(held + 1), pa.array(n), pa.array(list(x), pa.list_(pa.float64()))], names=[*b.schema.names[:held], "_key", "_n", "_x"])
+
+    rows = rows.select(*keep, F.col("model").alias("_model"), F.col("key").alias("_key"), F.col("text").alias("_text"))
+    out = rows.mapInArrow(base, rows.select(*keep, "_key").schema.add("_n", "long").add("_x", T.ArrayType(T.DoubleType())))
+    sums = sums.select(F.col("key").alias("_key"), F.col("e").alias("_e"))
+    out = out.join(F.broadcast(sums) if sums.count() <= broadcast_rows else sums, "_key", "left")
+    e, n = F.coalesce("_e", F.lit(0.0)), F.greatest("_n", F.lit(1))
+    return out.select(*keep, F.concat(F.array(F.col("_x")[0] + e / n, F.col("_x")[1] + e / F.sqrt(n)), F.slice("_x", 3, len(SPANS))).alias("x"))
+
+
+def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), curve_rows: int = CURVE_ROWS, broadcast: int = BROADCAST, slices: int = SLICES) -> DataFrame:
+    """Columns ``keep`` of docs (doc_id, text, ...), then score, learned from labels (doc_id, toxic): what ``train`` and ``score`` give, without a stored model.
+
+    Pairs are counted and looked up in one exchange, a slice of them after the other, so that
+    no table of them is stored; the words' part of the model is broadcast.  Each slice reads the texts anew.
+    """
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    known = labels.where("toxic in (0, 1)").select("doc_id", "toxic")
+    fold = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.lit(0)).cast("int").alias("fold")
+    by_doc = known.groupBy(F.col("doc_id").alias("_id")).agg(F.count_if(F.col("toxic") == 0).alias("k0"), F.count_if(F.col("toxic") == 1).alias("k1"))
+    by_doc = common.checkpointed(by_doc)
+    few = by_doc.count() <= 2_000_000
+    key = lambda m: F.xxhash64("text", m).alias("key")
+    one = docs.join(F.broadcast(by_doc) if few else by_doc, F.col("doc_id") == F.col("_id"), "left")
+    one = one.select("text", *(F.coalesce(k, F.lit(0)).alias(k) for k in ("k0", "k1")), fold, F.lit(0).alias("model"), key(F.lit(0)))
+    stats = _word_rows(one.where("k0 + k1 > 0"), parts)
+    common.release(docs)
+    size = stats.agg(F.sum("size")).first()[0] or 0
+    state = _word_model(stats) if size <= broadcast else None
+    if state is None:
+        model, curve = train(docs.select("doc_id", "text"), labels, curve_rows, broadcast)
+        return score(docs, model, curve, keep=keep)
+    shared = docs.sparkSession.sparkContext.broadcast(state)
+    del state
+    sample = docs.select("doc_id", "text").join(F.broadcast(common.label_sample(known, curve_rows)), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), (fold + 1).alias("model"))
+    sample = sample.select("toxic", "text", "model", key(F.col("model")))
+    both = one.unionByName(sample.select("text", *(F.lit(0).cast("long").alias(k) for k in ("k0", "k1")), F.lit(0).alias("fold"), "model", "key"))
+    sums = None
+    for part in range(slices):
+        more = _pair_sums(both, shared, parts, part, slices)
+        sums = more if sums is None else common.checkpointed(sums.unionByName(more).groupBy("key").agg(F.sum("e").alias("e")))
+        del more
+        common.release(docs)
+    got = _whole_features(sample, shared, sums, ("toxic",)).toPandas()
+    curve = _curve(np.stack(got["x"]), got["toxic"].to_numpy(float))
+    own = [F.col(c) for c in keep]
+    found = _whole_features(docs.select(*own, "text", F.lit(0).alias("model"), key(F.lit(0))), shared, sums, keep)
+    mean, scale, w = (x.tolist() for x in curve)
+    z = sum((F.lit(w[i] / scale[i]) * (F.col("x")[i] - mean[i]) for i in range(len(mean))), F.lit(w[-1]))
+    return found.select(*keep, (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
+
+
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = common.table(spark, sf_dir, "labels").select("doc_id", "toxic")
     out = common.held_out("doc_id", 5, 0)
-    model, curve = train(docs, labels.where(~out))
-    scored = score(docs.select("doc_id", out.alias("held_out"), "text"), model, curve, keep=("doc_id", "held_out"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    found = scored(docs.select("doc_id", out.alias("held_out"), "text"), labels.where(~out), keep=("doc_id", "held_out"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -218,6 +218,36 @@ def test_toxicity_beyond_the_broadcast(spark, toxic):
     assert got[0] == got[1]
 
 
+@pytest.mark.parametrize("slices", [1, 3])
+def test_whole_toxicity_without_stored_pairs(spark, toxic, monkeypatch, slices):
+    """The query's way gives what the stored model gives: odd rows, repeated rows and labels, few tokens at a time."""
+    df, labels = toxic
+    df = df.unionByName(df.limit(40))
+    y = spark.createDataFrame([x for x in labels if x[0] % 5] + labels[1:4] + [(9001, None), (9002, 7)], "doc_id long, toxic int")
+    want = op5_toxicity.score(df, *op5_toxicity.train(df, y)).collect()
+    monkeypatch.setattr(op5_toxicity, "HELD", 4_000)
+    monkeypatch.setattr(op5_toxicity, "fit", None)  # no table of pairs is made
+    got = op5_toxicity.scored(df, y, slices=slices).collect()
+    order = lambda rows: sorted(((str(r.doc_id), r.score) for r in rows))
+    assert [k for k, _ in order(got)] == [k for k, _ in order(want)]
+    assert np.allclose([x for _, x in order(got)], [x for _, x in order(want)], atol=1e-5)
+
+
+def test_whole_toxicity_of_one_class(spark, toxic):
+    df, labels = toxic
+    for only in (0, 1):
+        y = spark.createDataFrame([x for x in labels if x[1] == only], "doc_id long, toxic int")
+        assert {r.score for r in op5_toxicity.scored(df.limit(3), y).collect()} == {float(only)}
+    assert op5_toxicity.scored(df.limit(0), y).count() == 0
+
+
+def test_packed_columns_come_back():
+    a, b = np.array([3, 3, 9, 2**63 + 5], np.uint64), np.array([0.5, -1.0], np.float32)
+    c = [np.array(x, np.uint64) for x in ([0, 300, 2**40], [])]
+    for x, y in zip((a, b, *c), op5_toxicity._unpacked(op5_toxicity._packed(a, b, *c)), strict=True):
+        assert x.tolist() == y.tolist()
+
+
 def test_quality(spark):
     rng = random.Random(4)
     rows, labels = [], []
