@@ -226,6 +226,29 @@ def test_near_duplicates_of_very_long_texts(spark):
     assert sorted((tuple(r) for r in got), key=str) == groups(rows, 2, 80) and {r.component_id for r in got if r.doc_id in (1, 2, 5)} == {1}
 
 
+def test_differences_are_cut_before_they_are_dealt(spark, monkeypatch):
+    """Members of a bucket that are far from its centre give no row for each shingle of their difference."""
+    import numpy as np
+
+    from ledgerline.llm import common, op7_minhash
+
+    rng, seen, real = np.random.default_rng(5), {}, common.checkpointed
+
+    def told(df):
+        out = real(df)
+        if {"differ", "d"} <= set(out.columns):
+            seen["whole"] = out.agg({"d": "sum"}).first()[0]
+        elif {"key", "rep", "d"} <= set(out.columns):
+            seen.setdefault("dealt", out.count())
+        return out
+
+    monkeypatch.setattr(common, "checkpointed", told)
+    same = " ".join(f"s{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, same + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 40))) for i in range(60)], "doc_id long, text string")
+    assert op7_minhash.near_duplicates(docs, 2, 80).where("not kept").count() == 0
+    assert seen["dealt"] < 0.6 * seen["whole"]
+
+
 def test_rows_of_one_id_in_several_classes(spark):
     """A shared id connects its classes, whichever of them holds the smallest id."""
     for rows in ([(3, "b b2 b3"), (5, "b b2 b3"), (5, "a a2 a3")], [(9, "x x1"), (2, "x x1"), (9, "y y1"), (9, "z z1"), (4, "z z1"), (None, "y y1"), (7, "q q1")]):
