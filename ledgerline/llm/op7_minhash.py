@@ -12,12 +12,14 @@ members form a group, whose centre c is the pivot with most links.  All members
 compared with c.  Two members of one component need no more, nor do two that are both
 linked to c.  For the others
 let D(x) be the difference set x ^ c.  Then |x ^ y| = |D(x) ^ D(y)|, and J(x, y) >= t
-with J(x, c) < t means that D(x) and D(y) share more than t / (1 + t) of D(y), and all
-but |x| (1 - t) / t of D(x).  In any order that all keep, two such sets share one of
-the first |D| - need + 1 shingles of each; a row is cut to these before it is dealt,
-those that a sample shows to be frequent last.  What occurs in one component only is
-dropped, and only members outside the centre's component meet the others; a pair whose
-remaining shingles are too few for what it must share is not compared.  Nothing is capped.
+takes all but |x| (1 - t) / t of D(x); if J(y, c) < t, it takes more than half of
+|D(x)| + (|c| - |x|) (1 - t) / (1 + t) too.  In any order that all keep, two such sets
+share one of the first |D| - need + 1 shingles of each; a row is cut to these before it
+is dealt, those that a sample shows to be frequent last: one linked to c to what a
+partner that is not needs (its head), others to what any partner needs, of which the head
+meets the others.  What occurs in one component only is dropped, and only members outside
+the centre's component meet the others; a pair is not compared if what it shares in front,
+with what may lie behind, is too little for a link.  Nothing is capped.
 
 With 32 bands of 4 rows a pair at similarity 0.8 meets in some band but for a
 chance of 5e-8, and the sketch passes it but for 1e-8.
@@ -223,31 +225,39 @@ def _rest(docs: DataFrame, stars: DataFrame, found: DataFrame, width: int, perce
     full = _with_sets(pairs, sets).withColumn("linked", _linked(percent))
     # the links to the centre are given out, so what is linked to it is in its component
     own = F.when(F.col("linked"), F.col("main")).otherwise(F.col("component"))
-    full = full.select("a", F.col("b").alias("rep"), F.col("component").alias("was"), own.alias("component"), "main", "linked", F.size("y").alias("n"), F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("differ"))
+    full = full.select("a", F.col("b").alias("rep"), F.col("component").alias("was"), own.alias("component"), "main", "linked", F.size("y").alias("n"), F.size("x").alias("nc"), F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("differ"))
     full = common.checkpointed(full.withColumn("d", F.size("differ")))
     common.release(docs)
     central = full.where("linked and was <> main").select("a", F.col("rep").alias("b"))
-    # what a link takes: of one linked to the centre, whose partner is not, more than t / (1 + t); of others, all but n (1 - t) / t
-    most = F.floor(F.col("d") * percent / (100 + percent)) + 1
-    need = F.when(F.col("linked"), most).otherwise(F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent)))
+    # what a link takes: of any, all but n (1 - t) / t; where the partner is not linked to the centre, whose size is nc, more than (d + (nc - n) (1 - t) / (1 + t)) / 2
+    most = F.greatest(F.lit(1), F.expr(f"d - n * {100 - percent} div {percent}"))
+    half = F.greatest(most, F.expr(f"(d * {100 + percent} + (nc - n) * {100 - percent}) div {2 * (100 + percent)} + 1"))
+    full = full.withColumn("half", half).withColumn("need", F.when(F.col("linked"), half).otherwise(most))
     # two that share so many shingles share one of the first d - need + 1 of each, whatever order all are in: what is frequent comes last
     ordered = full.join(_frequent(full), "a", "left").withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
     order = F.concat(F.array_sort(F.array_except("differ", "often")), F.array_intersect("often", "differ"))
-    front = ordered.select("a", "rep", "component", "main", "linked", "n", "d", F.slice(order, F.lit(1), (F.col("d") - need + 1).cast("int")).alias("front"))
-    dealt = front.select("a", "rep", "component", "main", "linked", "n", "d", F.posexplode("front").alias("at", "e"))
-    dealt = common.checkpointed(dealt.select(F.xxhash64("a", "e").alias("key"), "a", "rep", "component", "main", "linked", "n", "d", (F.col("d") - F.col("at") - 1).alias("rest")))
+    own = ["a", "rep", "component", "main", "linked", "n", "d", "half", "need"]
+    front = ordered.select(*own, F.slice(order, F.lit(1), F.greatest(F.lit(0), F.expr("d - need + 1")).cast("int")).alias("front"))
+    dealt = front.select(*own, F.posexplode("front").alias("at", "e"))
+    dealt = common.checkpointed(dealt.select(F.xxhash64("a", "e").alias("key"), *own, F.expr("at <= d - half").alias("head"), F.expr("d - at - 1").alias("rest")))
     # two members that are both linked to the centre are not compared: these links hold them together
     shared = dealt.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all"))
     dealt = dealt.join(shared.where("low <> high and not all").select("key"), "key")
+    # of a row's keys left: how many come before, how many there are, in the whole front and in its head
+    row = Window.partitionBy("a", "rep")
+    dealt = dealt.withColumn("at", F.row_number().over(row.orderBy(F.desc("rest"), "key")) - 1).withColumn("s", F.count("*").over(row)).withColumn("sh", F.count_if("head").over(row))
     dealt = common.checkpointed(dealt)
     x, y = dealt.where("component <> main").alias("x"), dealt.alias("y")
     # twice what two members must share, times 100 + percent
     must = f"((x.d + y.d) * {100 + percent} - (x.n + y.n) * {100 - percent})"
-    near = f"x.component <> y.component and not (x.linked and y.linked) and (y.component = y.main or x.rep < y.rep) and abs(x.d - y.d) * {100 + percent} <= (x.n + y.n) * {100 - percent} and {must} <= 2 * {100 + percent} * least(x.d, y.d)"
-    # all keys are in one order: from a key that two members share on, they share one more than the lesser rest at most
-    near += f" and {must} <= 2 * {100 + percent} * (1 + least(x.rest, y.rest))"
+    near = f"x.component <> y.component and (y.linked or x.head and y.head) and (y.component = y.main or x.rep < y.rep) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    near += f" and abs(x.d - y.d) * {100 + percent} <= (x.n + y.n) * {100 - percent} and {must} <= 2 * {100 + percent} * least(x.d, y.d)"
+    # all keys are in one order.  What two share up to the end of the front that ends first is seen, and less than that one's need lies behind it
+    hidden = "greatest(if(y.linked, x.need, x.half), y.half) - 1"
+    behind = f"least(x.rest, y.rest, least(if(y.linked, x.s, x.sh) - x.at, y.sh - y.at) - 1 + {hidden})"
+    near += f" and {must} <= 2 * {100 + percent} * (least(x.at, y.at) + 1 + {behind})"
     met = x.join(y, "key").where(near).groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    met = met.agg(F.count("*").alias("shared"), F.min(F.least("x.rest", "y.rest")).alias("more"), F.max(F.expr(must)).alias("must"))
+    met = met.agg(F.count("*").alias("shared"), F.min(F.expr(f"least(x.rest, y.rest, {hidden})")).alias("more"), F.max(F.expr(must)).alias("must"))
     return central, met.where(F.col("must") <= 2 * (100 + percent) * (F.col("shared") + F.col("more"))).select("a", "b", F.lit(False).alias("star"))
 
 

@@ -249,6 +249,27 @@ def test_differences_are_cut_before_they_are_dealt(spark, monkeypatch):
     assert seen["dealt"] < 0.6 * seen["whole"]
 
 
+def test_few_pairs_of_a_hot_group_are_compared(spark, monkeypatch):
+    """Members that share a few frequent shingles of their differences to the centre, too few for a link, give no pairs."""
+    rng, seen, real = random.Random(8), [], op7_minhash._compared
+
+    def told(docs, pairs, *more):
+        seen.append(pairs.count())
+        return real(docs, pairs, *more)
+
+    monkeypatch.setattr(op7_minhash, "_compared", told)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for i in range(300):
+        w = list(base)
+        for k in rng.sample(range(150), rng.randrange(2, 15) if i % 3 == 0 else rng.randrange(17, 24)):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(300 + i, t + " tail") for i, t in rows[1:30:3]]
+    got = op7_minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 1, 80).collect()
+    assert sorted((tuple(r) for r in got), key=str) == groups(rows, 1, 80)
+    assert len({r.component_id for r in got}) > 100 and len(seen) == 2 and seen[1] < 2 * len(rows)
+
+
 def test_rows_of_one_id_in_several_classes(spark):
     """A shared id connects its classes, whichever of them holds the smallest id."""
     for rows in ([(3, "b b2 b3"), (5, "b b2 b3"), (5, "a a2 a3")], [(9, "x x1"), (2, "x x1"), (9, "y y1"), (9, "z z1"), (4, "z z1"), (None, "y y1"), (7, "q q1")]):
