@@ -87,7 +87,9 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 7) -> dict:
     order = rng.permutation(len(x))
     x, y = x[order].astype(np.float64), y[order].astype(np.float64)
     mean, scale = x.mean(axis=0), np.maximum(1e-3, x.std(axis=0))
-    x = np.clip((x - mean) / scale, -8, 8)
+    x -= mean
+    x /= scale
+    np.clip(x, -8, 8, out=x)
     cut = max(1, int(len(x) * CALIBRATION)) if len(x) > 20 else 0
     held, held_y, x, y = x[:cut], y[:cut], x[cut:], y[cut:]
     p = {"a": rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), "b": np.zeros(HIDDEN), "c": rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), "d": np.zeros(1)}
@@ -121,20 +123,25 @@ def probability(x: np.ndarray, net: dict) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
     """(word vectors, network or a constant) from docs (doc_id, text) and labels (doc_id, quality)."""
     vectors = word_vectors(docs)
+    common.release(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     sample = common.label_sample(labels.where("quality in (0, 1)").select("doc_id", "quality"), fit_rows)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(list(pooled(b.column(0), shared.value).astype(np.float64)), pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("y"))
-    got = rows.select("text", "y").mapInArrow(run, "x array<double>, y int").toPandas()
-    if not len(got):
+            x, y = pooled(b.column(0), shared.value), b.column(1).to_numpy(zero_copy_only=False).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names=["x", "y"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("quality").cast("int").alias("y"))
+    # packed by batch: in an array each number would be an object in the driver's JVM and again in its Python
+    got = rows.select("text", "y").mapInArrow(run, "x binary, y binary").collect()
+    x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, 3 * DIM + 1)
+    y = np.frombuffer(b"".join(r["y"] for r in got), np.int8)
+    del got
+    if not len(y):
         return vectors, 0.5
-    x, y = np.stack(got["x"]), got["y"].to_numpy()
     order = np.lexsort((*x.T[:8], y))  # the same rows in the same order whatever the partitions
-    return vectors, fit_network(x[order], y[order]) if len(set(y)) == 2 else float(y[0])
+    return vectors, fit_network(x[order], y[order]) if len(set(y.tolist())) == 2 else float(y[0])
 
 
 def score(docs: DataFrame, vectors: np.ndarray, net, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -312,3 +312,23 @@ def test_temperature_is_fitted_on_rows_not_trained_on():
     y = (x[:, 0] + rng.normal(size=600) > 0).astype(int)
     p = op2_quality.probability(x, op2_quality.fit_network(x, y))
     assert abs(p.mean() - y.mean()) < 0.1 and ((p > 0.5) == y).mean() > 0.7
+
+
+def test_quality_features_reach_the_driver_packed(spark, monkeypatch):
+    """Features come as bytes, some 400 a row, not as an object a number; the network is that of rows pooled here."""
+    rng = random.Random(4)
+    rows = [(i, texts(rng, "en", 40) if i % 3 else texts(rng, "de", 40).upper()) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    y = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, quality int")
+    seen = []
+    for name in ("collect", "toPandas", "toArrow"):
+        plain = getattr(type(df), name)
+        monkeypatch.setattr(type(df), name, lambda self, *a, plain=plain, **k: seen.append(self.dtypes) or plain(self, *a, **k))
+    vectors, net = op2_quality.train(df, y)
+    monkeypatch.undo()
+    assert seen and not [t for columns in seen for _, t in columns if t.startswith("array")]
+    x = op2_quality.pooled(pa.array([t for _, t in rows]), vectors)
+    q = np.array([int(i % 3 > 0) for i, _ in rows])
+    order = np.lexsort((*x.T[:8], q))
+    want = op2_quality.fit_network(x[order].astype(np.float64), q[order])
+    assert all(np.allclose(net[k], want[k], rtol=1e-6, atol=1e-9) for k in want)
